@@ -14,7 +14,7 @@ SCALE = 1_000_000
 
 def quantise(value: Column, scale: int = SCALE) -> Column:
     """Fixed-point score: the only form in which scores are compared or published."""
-    return F.round(value * F.lit(float(scale))).cast("bigint")
+    return F.floor(value * F.lit(float(scale)) + F.lit(0.5)).cast("bigint")
 
 
 def circular_slice(array: Column, center: Column, width: Column) -> Column:
@@ -80,6 +80,6 @@ def shift_logits(query: Column, valid: Column, gallery: Column, angular_bins: in
 
 def cyclic_score(query: Column, valid: Column, gallery: Column, angular_bins: int, channels: int) -> Column:
     """Best quantised logit over all shifts, with the smallest shift that reaches it."""
-    logits = F.transform(shift_logits(query, valid, gallery, angular_bins, channels), quantise)
+    logits = F.transform(shift_logits(query, valid, gallery, angular_bins, channels), lambda x: quantise(x))
     best = F.array_max(logits)
     return F.struct(best.alias("score_q"), (F.array_position(logits, best) - 1).cast("bigint").alias("shift"))

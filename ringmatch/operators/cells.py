@@ -1,0 +1,108 @@
+"""Fragment-and-replicate grids for work on (query, gallery) blocks.
+
+Both sides are hashed into blocks of a bounded size. A query block is copied once per gallery
+block it must meet and the other way round, so each (query block, gallery block) cell lands in a
+shuffle partition of its own and is processed by one NumPy kernel call. Pairs never exist as rows.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Grid:
+    """Number of hash blocks per side."""
+
+    query_blocks: int
+    gallery_blocks: int
+
+    @property
+    def cells(self) -> int:
+        return self.query_blocks * self.gallery_blocks
+
+    def query_block(self, *key: str) -> Column:
+        return F.pmod(F.xxhash64(*key), F.lit(self.query_blocks)).cast("int")
+
+    def gallery_block(self, *key: str) -> Column:
+        return F.pmod(F.xxhash64(*key), F.lit(self.gallery_blocks)).cast("int")
+
+    def cell(self, query_block: Column, gallery_block: Column) -> Column:
+        return query_block * F.lit(self.gallery_blocks) + gallery_block
+
+
+def plan_grid(
+    query_rows: int,
+    gallery_rows: int,
+    row_values: int,
+    parallelism: int,
+    side_bytes: int = 96 << 20,
+    min_pairs: int = 1 << 20,
+) -> Grid:
+    """Blocks that fit ``side_bytes`` each, refined until every core has a cell worth its start."""
+    rows = max(1, side_bytes // (8 * max(1, row_values)))
+    q = max(1, math.ceil(query_rows / rows))
+    g = max(1, math.ceil(gallery_rows / rows))
+    useful = max(1, min(parallelism, query_rows * gallery_rows // min_pairs))
+    while q * g < useful:
+        if query_rows / q >= gallery_rows / g:
+            q += 1
+        else:
+            g += 1
+    return Grid(q, g)
+
+
+def grid_for(queries: DataFrame, gallery: DataFrame, row_values: int, sizes=None, **options) -> Grid:
+    """Grid from row counts; ``sizes=(query_rows, gallery_rows)`` skips the two count jobs."""
+    query_rows, gallery_rows = sizes or (queries.count(), gallery.count())
+    parallelism = queries.sparkSession.sparkContext.defaultParallelism
+    return plan_grid(query_rows, gallery_rows, row_values, parallelism, **options)
+
+
+def replicate_queries(queries: DataFrame, grid: Grid, key: Sequence[str]) -> DataFrame:
+    other = F.explode(F.sequence(F.lit(0), F.lit(grid.gallery_blocks - 1)))
+    copies = queries.withColumn("_other", other)
+    return copies.withColumn("cell", grid.cell(grid.query_block(*key), F.col("_other"))).drop("_other")
+
+
+def replicate_gallery(gallery: DataFrame, grid: Grid, key: Sequence[str]) -> DataFrame:
+    other = F.explode(F.sequence(F.lit(0), F.lit(grid.query_blocks - 1)))
+    copies = gallery.withColumn("_other", other)
+    return copies.withColumn("cell", grid.cell(F.col("_other"), grid.gallery_block(*key))).drop("_other")
+
+
+def run_cells(
+    queries: DataFrame,
+    gallery: DataFrame,
+    grid: Grid,
+    kernel: Callable[[pa.Table, pa.Table], pa.RecordBatch],
+    schema: str,
+) -> DataFrame:
+    """Bring each cell's two sides together and run the kernel on them.
+
+    Columns shared by both sides must have equal types; ``cell`` is the partition number itself.
+    """
+    both = queries.withColumn("_query", F.lit(True)).unionByName(
+        gallery.withColumn("_query", F.lit(False)), allowMissingColumns=True
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        del held
+        is_query = table.column("_query")
+        left = table.filter(is_query)
+        right = table.filter(pc.invert(is_query))
+        if left.num_rows and right.num_rows:
+            yield kernel(left, right)
+
+    return both.repartitionById(grid.cells, F.col("cell")).mapInArrow(run, schema)
