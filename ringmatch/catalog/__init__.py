@@ -1,6 +1,8 @@
 """Checkable queries over the driver tables."""
 
 from ringmatch.catalog import (  # noqa: F401
+    crops,
+    manifests,
     retrieval,
 )
 from ringmatch.catalog.registry import ORACLES, QUERIES  # noqa: F401

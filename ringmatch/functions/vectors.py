@@ -82,4 +82,5 @@ def cyclic_score(query: Column, valid: Column, gallery: Column, angular_bins: in
     """Best quantised logit over all shifts, with the smallest shift that reaches it."""
     logits = F.transform(shift_logits(query, valid, gallery, angular_bins, channels), lambda x: quantise(x))
     best = F.array_max(logits)
-    return F.struct(best.alias("score_q"), (F.array_position(logits, best) - 1).cast("bigint").alias("shift"))
+    shift = (F.array_position(logits, best) - 1).cast("bigint")
+    return F.named_struct(F.lit("score_q"), best, F.lit("shift"), shift)
