@@ -3,6 +3,7 @@
 from ringmatch.catalog import (  # noqa: F401
     crops,
     manifests,
+    mining,
     retrieval,
 )
 from ringmatch.catalog.registry import ORACLES, QUERIES  # noqa: F401
