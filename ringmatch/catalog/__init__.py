@@ -2,6 +2,7 @@
 
 from ringmatch.catalog import (  # noqa: F401
     crops,
+    geometry,
     manifests,
     mining,
     retrieval,
