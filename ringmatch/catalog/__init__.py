@@ -5,6 +5,7 @@ from ringmatch.catalog import (  # noqa: F401
     geometry,
     manifests,
     mining,
+    planning,
     retrieval,
 )
 from ringmatch.catalog.registry import ORACLES, QUERIES  # noqa: F401

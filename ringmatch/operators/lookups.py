@@ -25,9 +25,8 @@ def stage_table(spark: SparkSession, stages: Sequence[Mapping]) -> DataFrame:
         for s in stages
     ]
     ranges = spark.range(1).select(F.explode(F.array(*entries)).alias("s")).select("s.*")
-    return ranges.select(
-        F.explode(F.sequence("lo", "hi")).cast("bigint").alias("epoch"), "stage", "hard_batch_fraction"
-    )
+    epochs = F.sequence(F.col("lo").cast("bigint"), F.col("hi").cast("bigint"))
+    return ranges.select(F.explode(epochs).alias("epoch"), "stage", "hard_batch_fraction")
 
 
 def with_stage(df: DataFrame, stages: Sequence[Mapping], epoch: str = "epoch") -> DataFrame:
