@@ -3,7 +3,9 @@
 from ringmatch.catalog import (  # noqa: F401
     crops,
     geometry,
+    jobs,
     manifests,
+    metrics,
     mining,
     planning,
     retrieval,

@@ -414,6 +414,17 @@ def x2_strict_subset(spark, sf):
     return audits.subset_audit(X.manifest(spark, sf), "val", "test")
 
 
+@query(
+    "x2_split_contract",
+    f"""WITH {S.MANIFEST}, f AS (SELECT query_id, bool_or(split = 'train') AS a, bool_or(split = 'val') AS v,
+      bool_or(split = 'test') AS t FROM manifest GROUP BY query_id)
+    SELECT count(*) FILTER (WHERE a AND v) AS train_val, count(*) FILTER (WHERE a AND t) AS train_test,
+           count(*) FILTER (WHERE v AND NOT t) AS val_outside_test, count(*) FILTER (WHERE t AND NOT v) AS test_only FROM f""",
+)
+def x2_split_contract(spark, sf):
+    return audits.split_contract(X.manifest(spark, sf))
+
+
 @query(
     "x3_split_union",
     f"""WITH {S.MANIFEST} SELECT DISTINCT query_id, source_mat_index FROM manifest WHERE split IN ('train', 'val')""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ringmatch.catalog import fixtures as X
 from ringmatch.catalog import sql as S
 from ringmatch.catalog.registry import query
+from ringmatch.functions.seeds import stable_seed
 from ringmatch.functions.vectors import quantise
 from ringmatch.operators import mining
 from ringmatch.session import scratch_path
@@ -107,8 +108,6 @@ def w4_exact_rerank(spark, sf):
     FROM dented GROUP BY fov_deg, anchor""",
 )
 def a14_pool_audit(spark, sf):
-    from ringmatch.functions.seeds import stable_seed
-
     rows = pool(spark, sf)
     draw = stable_seed(F.col("anchor"), "dent")
     dent = (draw % 13 == 0) & (F.col("rank") == 5)
@@ -123,7 +122,8 @@ def a14_pool_audit(spark, sf):
 )
 def s10_pool_store(spark, sf):
     path, target = scratch_path(spark, "pools"), scratch_path(spark, "newest")
-    rows = pool(spark, sf)
+    pool(spark, sf).write.parquet(scratch := scratch_path(spark, "mined"))
+    rows = spark.read.parquet(scratch)
     banks.write_pool(rows.filter("rank <= 4"), path, 16)
     banks.write_pool(rows.filter("rank <= 2"), path, 24)
     banks.write_pool(rows, path, 24)

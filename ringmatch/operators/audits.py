@@ -123,6 +123,19 @@ def subset_audit(manifest: DataFrame, inner: str, outer: str, column: str = "que
     return counts.withColumn("strict_subset", (F.col("outside") == 0) & (F.col("outer_only") > 0))
 
 
+def split_contract(manifest: DataFrame, column: str = "query_id") -> DataFrame:
+    """Both overlaps of train and the val-in-test counts in one pass over the ids."""
+    member = {s: F.bool_or(F.col("split") == s).alias(s) for s in ("train", "val", "test")}
+    flags = manifest.groupBy(column).agg(*member.values())
+    train, val, test = F.col("train"), F.col("val"), F.col("test")
+    return flags.agg(
+        F.count_if(train & val).alias("train_val"),
+        F.count_if(train & test).alias("train_test"),
+        F.count_if(val & ~test).alias("val_outside_test"),
+        F.count_if(test & ~val).alias("test_only"),
+    )
+
+
 def alignment(bank: DataFrame, manifest: DataFrame, bank_id: str = "id", manifest_id: str = "satellite_id") -> DataFrame:
     """Ids whose copies differ between an artifact and the manifest, or that repeat in either."""
     left = bank.groupBy(F.col(bank_id).alias("id")).agg(F.count(F.lit(1)).alias("in_bank"))

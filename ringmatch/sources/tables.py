@@ -45,7 +45,8 @@ def read_pair_list(spark: SparkSession, path: str) -> DataFrame:
         .csv(path)
         .select(
             *[F.coalesce(c, F.lit("")).alias(c) for c in PAIR_COLUMNS],
-            F.col("_corrupt").isNotNull().alias("malformed"),
+            # The length keeps a data column in the scan, which refuses to return the flag alone.
+            (F.col("_corrupt").isNotNull() & (F.length(F.coalesce(PAIR_COLUMNS[0], F.lit(""))) >= 0)).alias("malformed"),
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_start"),
             F.monotonically_increasing_id().alias("_place"),
