@@ -17,7 +17,8 @@ CHANNELS = 8
 BIN_FOVS = (360, 180, 90, 45)
 CROP_FOVS = (360, 180, 90, 70)
 PANORAMA_WIDTH = 756
-KEY_BLOCK = 1 << 16
+# Consecutive keys per block: near the square root of the key range at scale.
+KEY_BLOCK = 1 << 14
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

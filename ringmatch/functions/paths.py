@@ -6,16 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def file_name(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
 def file_stem(path: Column) -> Column:
     """Last path segment without its final suffix."""
-    name = F.regexp_extract(path, r"([^/]*)/*$", 1)
-    return F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")
+    return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]+$", "")
 
 
 def numeric_id(path: Column, digits: int = 7) -> Column:
     """File stem, or null where it is not exactly ``digits`` decimal digits."""
-    stem = file_stem(path)
-    return F.when(stem.rlike(f"^[0-9]{{{digits}}}$"), stem)
+    found = F.regexp_extract_all(file_name(path), F.lit(rf"^([0-9]{{{digits}}})(\.[^.]+)?$"), F.lit(1))
+    return F.get(found, F.lit(0))
 
 
 def is_relative_inside(path: Column) -> Column:

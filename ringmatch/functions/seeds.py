@@ -21,7 +21,8 @@ def stable_seed(*items) -> Column:
     Python values become literals, columns are cast to string.
     """
     digest = F.sha2(F.concat_ws("::", *[_text(i) for i in items]), 256)
-    swapped = F.concat(*[F.substring(digest, start, 2) for start in (7, 5, 3, 1)])
+    # One use of the digest: filters do not share repeated subexpressions.
+    swapped = F.regexp_replace(F.substring(digest, 1, 8), "(..)(..)(..)(..)", "$4$3$2$1")
     return F.conv(swapped, 16, 10).cast("bigint")
 
 

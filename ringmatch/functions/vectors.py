@@ -17,6 +17,14 @@ def quantise(value: Column, scale: int = SCALE) -> Column:
     return F.floor(value * F.lit(float(scale)) + F.lit(0.5)).cast("bigint")
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``.
+
+    A column used inside a lambda would be evaluated again for every element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def circular_slice(array: Column, center: Column, width: Column) -> Column:
     """``width`` consecutive elements around ``center`` with wrap-around."""
     size = F.size(array)
@@ -43,8 +51,11 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def l2_normalise(vector: Column, floor: float = 1e-12) -> Column:
-    norm = F.greatest(F.sqrt(dot(vector, vector)), F.lit(floor))
-    return F.transform(vector, lambda x: x / norm)
+    def scaled(v: Column) -> Column:
+        norm = F.greatest(F.sqrt(dot(v, v)), F.lit(floor))
+        return let(norm, lambda n: F.transform(v, lambda x: x / n))
+
+    return let(vector, scaled)
 
 
 def joint_descriptor(content: Column, order: Column, order_weight: float) -> Column:
@@ -72,15 +83,23 @@ def shift_logits(query: Column, valid: Column, gallery: Column, angular_bins: in
         lambda x, i: F.when(F.element_at(valid, int_div(i, channels).cast("int") + 1), x).otherwise(F.lit(0.0)),
     )
     bins = F.greatest(F.size(F.filter(valid, lambda v: v)), F.lit(1)).cast("double")
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(angular_bins - 1)),
-        lambda k: dot(masked, rotate_bins(gallery, k, angular_bins, channels)) / bins,
-    )
+
+    def at_all_shifts(side: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(angular_bins - 1)),
+            lambda k: dot(side["query"], rotate_bins(side["gallery"], k, angular_bins, channels)) / side["bins"],
+        )
+
+    parts = F.named_struct(F.lit("query"), masked, F.lit("gallery"), gallery, F.lit("bins"), bins)
+    return let(parts, at_all_shifts)
 
 
 def cyclic_score(query: Column, valid: Column, gallery: Column, angular_bins: int, channels: int) -> Column:
     """Best quantised logit over all shifts, with the smallest shift that reaches it."""
-    logits = F.transform(shift_logits(query, valid, gallery, angular_bins, channels), lambda x: quantise(x))
-    best = F.array_max(logits)
-    shift = (F.array_position(logits, best) - 1).cast("bigint")
-    return F.named_struct(F.lit("score_q"), best, F.lit("shift"), shift)
+    def best(logits: Column) -> Column:
+        top = F.array_max(logits)
+        shift = (F.array_position(logits, top) - 1).cast("bigint")
+        return F.named_struct(F.lit("score_q"), top, F.lit("shift"), shift)
+
+    logits = shift_logits(query, valid, gallery, angular_bins, channels)
+    return let(F.transform(logits, lambda x: quantise(x)), best)

@@ -12,14 +12,13 @@ from ringmatch.functions.paths import is_relative_inside, numeric_id
 
 def triplet_violations(pairs: DataFrame, digits: int = 7) -> DataFrame:
     """Rows whose three paths do not carry one and the same well-formed id."""
-    columns = ("satellite_path", "query_path", "annotation_path")
-    ids = {c: numeric_id(F.col(c), digits) for c in columns}
-    sat, query, note = (ids[c] for c in columns)
+    ids = {f"_{c}": numeric_id(F.col(c), digits) for c in ("satellite_path", "query_path", "annotation_path")}
+    sat, query, note = (F.col(c) for c in ids)
     malformed = sat.isNull() | query.isNull() | note.isNull()
     mismatch = (sat != query) | (query != note)
     outside = ~(is_relative_inside(F.col("satellite_path")) & is_relative_inside(F.col("query_path")))
     reason = F.when(malformed, "malformed_id").when(mismatch, "id_mismatch").when(outside, "path_escape")
-    return pairs.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+    return pairs.withColumns(ids).withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop(*ids)
 
 
 def apply_exclusions(annotations: DataFrame, exclusions: DataFrame) -> dict[str, DataFrame]:

@@ -68,7 +68,7 @@ def shuffled_index(
     id_cols: Sequence[str],
     partition_cols: Sequence[str] = (),
     name: str = "shuffle_index",
-    block_bits: int = 8,
+    block_bits: int = 12,
 ) -> DataFrame:
     """0-based position in the keyed random order of the rows.
 
