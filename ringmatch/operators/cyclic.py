@@ -17,7 +17,7 @@ from ringmatch.functions.vectors import SCALE
 from ringmatch.operators.cells import Grid, grid_for, replicate_gallery, replicate_queries, run_cells
 
 QUERY_KEY = ["query_id", "fov_deg"]
-SUB_PAIRS = 1 << 15
+SUB_PAIRS = 1 << 14
 
 
 def _read_queries(table: pa.Table, bins: int, channels: int):
@@ -33,38 +33,20 @@ def _read_gallery(table: pa.Table, bins: int, channels: int):
     return spectrum, K.quarter_turn(spectrum)
 
 
-def score_pairs(
-    pairs: DataFrame,
-    queries: DataFrame,
-    gallery: DataFrame,
-    angular_bins: int,
-    channels: int,
-    sizes=None,
-    grid: Grid | None = None,
-) -> DataFrame:
-    """Exact score and shift for a list of (query_id, fov_deg, gallery_id) pairs.
+def _needed_tiles(placed: DataFrame, gallery: DataFrame) -> DataFrame:
+    """Gallery rows with each cell that asks for them, once per cell."""
+    return placed.select("cell", F.col("gallery_id").alias("id")).distinct().join(gallery.select("id", "direction"), "id")
 
-    A descriptor travels once per block that needs it, however many pairs name it, so a gallery
-    row that is everybody's candidate is no hot spot.
-    """
-    grid = grid or grid_for(queries, gallery, angular_bins * channels, sizes)
-    placed = pairs.select(
-        *QUERY_KEY,
-        "gallery_id",
-        grid.query_block(*QUERY_KEY).alias("_qb"),
-        grid.gallery_block("gallery_id").alias("_gb"),
-    ).withColumn("cell", grid.cell(F.col("_qb"), F.col("_gb")))
-    targets = placed.groupBy(*QUERY_KEY, "cell").agg(F.collect_list("gallery_id").alias("targets"))
-    left = targets.join(queries.select(*QUERY_KEY, "direction", "valid"), QUERY_KEY)
-    needed = placed.select("cell", F.col("gallery_id").alias("id")).distinct()
-    right = needed.join(gallery.select("id", "direction"), "id")
+
+def _score_targets(left: DataFrame, right: DataFrame, grid: Grid, angular_bins: int, channels: int, keep: list[str]) -> DataFrame:
+    """Score every (row, target) of ``left`` within its cell, passing on the ``keep`` columns."""
     inverse = K.inverse_transform(angular_bins)
 
     def kernel(q: pa.Table, g: pa.Table) -> pa.RecordBatch:
         query, divisor = _read_queries(q, angular_bins, channels)
         gallery_re, gallery_im = _read_gallery(g, angular_bins, channels)
         lists = q.column("targets").combine_chunks()
-        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         wanted = lists.flatten()
         place = pc.index_in(wanted, value_set=g.column("id").combine_chunks())
         known = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
@@ -79,31 +61,61 @@ def score_pairs(
             score[start : start + step], shift[start : start + step] = K.best_shift(logits)
         picked = pa.array(row)
         return pa.RecordBatch.from_arrays(
-            [
-                q.column("query_id").combine_chunks().take(picked),
-                q.column("fov_deg").combine_chunks().take(picked),
-                wanted.take(pa.array(known)),
-                pa.array(score.astype(np.int64)),
-                pa.array(shift),
-            ],
-            names=["query_id", "fov_deg", "gallery_id", "score_q", "shift"],
+            [q.column(name).combine_chunks().take(picked) for name in keep]
+            + [wanted.take(pa.array(known)), pa.array(score.astype(np.int64)), pa.array(shift)],
+            names=[*keep, "gallery_id", "score_q", "shift"],
         )
 
-    fov_type = queries.schema["fov_deg"].dataType.simpleString()
-    schema = f"query_id string, fov_deg {fov_type}, gallery_id string, score_q bigint, shift bigint"
-    return run_cells(left, right, grid, kernel, schema)
+    fields = ", ".join(f"{c} {left.schema[c].dataType.simpleString()}" for c in keep)
+    return run_cells(left, right, grid, kernel, f"{fields}, gallery_id string, score_q bigint, shift bigint")
 
 
-def positive_scores(queries: DataFrame, gallery: DataFrame, angular_bins: int, channels: int, **options) -> DataFrame:
-    """Score and shift of every query against its own gallery entry."""
-    pairs = queries.select(*QUERY_KEY, F.col("positive_id").alias("gallery_id"))
-    scored = score_pairs(pairs, queries, gallery, angular_bins, channels, **options)
-    return scored.select(
+def score_pairs(
+    pairs: DataFrame,
+    queries: DataFrame,
+    gallery: DataFrame,
+    angular_bins: int,
+    channels: int,
+    sizes=None,
+    grid: Grid | None = None,
+) -> DataFrame:
+    """Exact score and shift for a list of (query_id, fov_deg, gallery_id) pairs.
+
+    A descriptor travels once per block that needs it, however many pairs name it, so a gallery
+    row that is everybody's candidate is no hot spot.
+    """
+    grid = grid or grid_for(queries, gallery, angular_bins * channels, sizes)
+    placed = pairs.select(
         *QUERY_KEY,
-        F.col("gallery_id").alias("positive_id"),
-        F.col("score_q").alias("positive_score_q"),
-        F.col("shift").alias("positive_shift"),
+        "gallery_id",
+        grid.cell(grid.query_block(*QUERY_KEY), grid.gallery_block("gallery_id")).alias("cell"),
     )
+    targets = placed.groupBy(*QUERY_KEY, "cell").agg(F.collect_list("gallery_id").alias("targets"))
+    left = targets.join(queries.select(*QUERY_KEY, "direction", "valid"), QUERY_KEY)
+    return _score_targets(left, _needed_tiles(placed, gallery), grid, angular_bins, channels, QUERY_KEY)
+
+
+def with_positive_scores(
+    queries: DataFrame, gallery: DataFrame, angular_bins: int, channels: int, sizes=None, grid: Grid | None = None
+) -> DataFrame:
+    """Queries with the score and shift of their own gallery entry.
+
+    A query meets its entry in the cell of both hashes, so queries that share one entry spread over
+    all query blocks. Queries without an entry are left out; check for them beforehand.
+    """
+    grid = grid or grid_for(queries, gallery, angular_bins * channels, sizes)
+    cell = grid.cell(grid.query_block(*QUERY_KEY), grid.gallery_block("positive_id"))
+    placed = queries.select(*QUERY_KEY, "direction", "valid", F.col("positive_id").alias("gallery_id"), cell.alias("cell"))
+    left = placed.withColumn("targets", F.array("gallery_id")).drop("gallery_id")
+    keep = [*QUERY_KEY, "direction", "valid"]
+    scored = _score_targets(left, _needed_tiles(placed, gallery), grid, angular_bins, channels, keep)
+    names = {"gallery_id": "positive_id", "score_q": "positive_score_q", "shift": "positive_shift"}
+    return scored.withColumnsRenamed(names)
+
+
+def positive_scores(queries: DataFrame, gallery: DataFrame, angular_bins: int, channels: int, **options) -> DataFrame:
+    """Score and shift of every query against its own gallery entry."""
+    return with_positive_scores(queries, gallery, angular_bins, channels, **options).drop("direction", "valid")
 
 
 def aligned_candidates(
@@ -119,7 +131,7 @@ def rank_partials(
 ) -> DataFrame:
     """One row per (query, gallery block): entries ahead of the positive and the block's best entry.
 
-    ``scored`` are queries joined with :func:`positive_scores`. The positive takes part with its
+    ``scored`` comes from :func:`with_positive_scores`. The positive takes part with its
     recorded score, so that it can never be ahead of itself.
     """
     grid = grid or grid_for(scored, gallery, angular_bins * channels, sizes)
@@ -209,8 +221,7 @@ def evaluate_all_pairs(
 ) -> DataFrame:
     """Exact rank, top-1 and shifts of every query over the whole gallery."""
     grid = grid_for(queries, gallery, angular_bins * channels, sizes)
-    positive = positive_scores(queries, gallery, angular_bins, channels, grid=grid)
-    scored = queries.join(positive.drop("positive_id"), QUERY_KEY)
+    scored = with_positive_scores(queries, gallery, angular_bins, channels, grid=grid)
     return exact_ranks(rank_partials(scored, gallery, angular_bins, channels, grid=grid))
 
 
