@@ -49,6 +49,8 @@ def queries(spark: SparkSession, sf_dir: str, fovs=BIN_FOVS) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").count()
     partner = own.select(F.col("vec_id").alias("partner"), F.col("direction").alias("other"))
     joined = own.withColumn("partner", (F.col("vec_id") * 7 + 3) % rows).join(partner, "partner")
+    # Few bytes turn into several vectors per row: spread the rows before deriving them.
+    joined = joined.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id")
     per_fov = joined.withColumn("fov_deg", F.explode(fov_list(fovs)))
     roll = stable_seed(SEED, "fixture", "val", 1, F.col("id"), F.col("fov_deg"), "roll") % BINS
     rolled = per_fov.withColumn("true_shift", roll).withColumn(

@@ -38,6 +38,15 @@ def apply_exclusions(annotations: DataFrame, exclusions: DataFrame) -> dict[str,
     }
 
 
+def exclusion_violations(parts: dict[str, DataFrame]) -> DataFrame:
+    """Every reason to refuse an exclusion list, from :func:`apply_exclusions`."""
+    out = None
+    for reason in ("duplicate", "unmatched", "ordinal_mismatch"):
+        rows = parts[reason].select("split", "query_id", F.lit(reason).alias("reason"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def with_existence_flags(applied: DataFrame, query_ids: DataFrame, satellite_ids: DataFrame) -> DataFrame:
     """Mark which side of an excluded pair exists on disk (id frames hold distinct ``id``)."""
     q = query_ids.select(F.col("id").alias("query_id"), F.lit(True).alias("_q"))
@@ -135,6 +144,36 @@ def split_contract(manifest: DataFrame, column: str = "query_id") -> DataFrame:
     )
 
 
+def contract_audit(manifest: DataFrame, splits: Sequence[str]) -> DataFrame:
+    """Counts, uniqueness, pairing and split overlaps of a whole manifest in one pass over the ids.
+
+    One row: ``pairs_<split>`` and ``distinct_<split>`` per split, ``broken`` (rows that pair
+    different ids; at 0 both sides have the same ids), ``other`` (rows of unlisted splits) and the
+    overlaps of :func:`split_contract`.
+    """
+    count = {s: F.count_if(F.col("split") == s).alias(f"_{s}") for s in (*splits, *_absent(splits))}
+    per_id = manifest.groupBy("query_id").agg(
+        *count.values(),
+        F.count_if(F.col("query_id") != F.col("satellite_id")).alias("_broken"),
+        F.count_if(~F.col("split").isin(*splits)).alias("_other"),
+    )
+    has = {s: F.col(f"_{s}") > 0 for s in count}
+    return per_id.agg(
+        *[F.sum(f"_{s}").alias(f"pairs_{s}") for s in splits],
+        *[F.count_if(has[s]).alias(f"distinct_{s}") for s in splits],
+        F.sum("_broken").alias("broken"),
+        F.sum("_other").alias("other"),
+        F.count_if(has["train"] & has["val"]).alias("train_val"),
+        F.count_if(has["train"] & has["test"]).alias("train_test"),
+        F.count_if(has["val"] & ~has["test"]).alias("val_outside_test"),
+        F.count_if(has["test"] & ~has["val"]).alias("test_only"),
+    )
+
+
+def _absent(splits: Sequence[str]) -> list[str]:
+    return [s for s in ("train", "val", "test") if s not in splits]
+
+
 def alignment(bank: DataFrame, manifest: DataFrame, bank_id: str = "id", manifest_id: str = "satellite_id") -> DataFrame:
     """Ids whose copies differ between an artifact and the manifest, or that repeat in either."""
     left = bank.groupBy(F.col(bank_id).alias("id")).agg(F.count(F.lit(1)).alias("in_bank"))
@@ -149,7 +188,11 @@ def alignment(bank: DataFrame, manifest: DataFrame, bank_id: str = "id", manifes
 
 
 def require_empty(violations: DataFrame, message: str, shown: int = 3) -> None:
-    """Raise with a few examples if a violation frame has rows."""
-    examples = violations.limit(shown).collect()
+    """Raise with a few examples if a violation frame has rows.
+
+    The limit sits below an exchange, so that one job looks at all partitions at once; a plain
+    ``take`` would walk an empty frame in ever larger steps.
+    """
+    examples = violations.limit(shown).coalesce(1).collect()
     if examples:
         raise ValueError(f"{message}: first={[tuple(r) for r in examples]}")

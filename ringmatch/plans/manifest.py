@@ -20,30 +20,28 @@ from ringmatch.sources.tables import (
 )
 
 
-def _require_counts(counts: DataFrame, expected: Mapping[str, int], what: str) -> None:
-    require_empty(audits.count_audit(counts, expected).filter("NOT matches"), f"Unexpected {what} count")
-    found = {row[0] for row in counts.select("split").collect()}
-    if found != set(expected):
+def _require_counts(found: Mapping[str, int], expected: Mapping[str, int], what: str) -> None:
+    if set(found) != set(expected):
         raise ValueError(f"Splits are {sorted(found)}, expected {sorted(expected)}")
+    for split, count in expected.items():
+        if found[split] != count:
+            raise ValueError(f"Unexpected {what} count of {split}: {found[split]}, expected {count}")
 
 
 def audit_manifest(manifest: DataFrame, expected: Mapping[str, int]) -> None:
     """Refuse a manifest that breaks its count, id or split contract."""
-    summary = audits.bijection_audit(manifest)
-    _require_counts(summary.select("split", "pairs"), expected, "final")
-    broken = (
-        (F.col("pairs") != F.col("distinct_queries"))
-        | (F.col("pairs") != F.col("distinct_satellites"))
-        | (F.col("broken_pairs") > 0)
-    )
-    require_empty(summary.filter(broken), "Ids must be unique and paired one to one")
     if not {"train", "val"} <= set(expected):
         raise ValueError("Manifests must contain train and val splits")
-    splits = audits.split_contract(manifest).first()
-    if splits["train_val"] or splits["train_test"]:
-        raise ValueError(f"train must be disjoint from val and test: {splits.asDict()}")
-    if "test" in expected and (splits["val_outside_test"] or not splits["test_only"]):
-        raise ValueError(f"val must be a strict subset of test: {splits.asDict()}")
+    found = audits.contract_audit(manifest, list(expected)).first().asDict()
+    if found["other"]:
+        raise ValueError(f"{found['other']} rows belong to splits other than {sorted(expected)}")
+    _require_counts({s: found[f"pairs_{s}"] or 0 for s in expected}, expected, "final")
+    if found["broken"] or any(found[f"pairs_{s}"] != found[f"distinct_{s}"] for s in expected):
+        raise ValueError(f"Ids must be unique and paired one to one: {found}")
+    if found["train_val"] or found["train_test"]:
+        raise ValueError(f"train must be disjoint from val and test: {found}")
+    if "test" in expected and (found["val_outside_test"] or not found["test_only"]):
+        raise ValueError(f"val must be a strict subset of test: {found}")
 
 
 def _require_equal_inventory(files: DataFrame, referenced: DataFrame, what: str) -> None:
@@ -137,15 +135,15 @@ def build_from_index(
     source_mat_index, ...; the templates may use ``{split}`` and ``{query_id}``.
     """
     annotated = indices.groupBy("split").agg(F.count(F.lit(1)).alias("pairs"))
-    _require_counts(annotated, expected_annotated, "annotation")
+    _require_counts({r["split"]: r["pairs"] for r in annotated.collect()}, expected_annotated, "annotation")
     annotations, outside = resolve_ordinals(ids, indices)
     annotations = durable(annotations)
     require_empty(outside, "Index outside the id list")
     require_empty(audits.duplicate_ids(annotations, "query_id"), "Duplicate annotations")
     parts = audits.apply_exclusions(annotations, exclusions)
-    require_empty(parts["duplicate"], "Duplicate exclusion entries")
-    require_empty(parts["unmatched"], "Every exclusion must match an annotation")
-    require_empty(parts["ordinal_mismatch"], "Exclusion source index mismatch")
+    require_empty(
+        audits.exclusion_violations(parts), "Every exclusion must match one annotation with the same index, once"
+    )
 
     def with_paths(df: DataFrame) -> DataFrame:
         fields = {"split": F.col("split"), "query_id": F.col("query_id")}
