@@ -50,8 +50,8 @@ def settled_sql(expression: str) -> str:
 def metric_log(spark, sf):
     """Events as log records; the step is the record's place in its run."""
     events = X.table(spark, sf, "events")
-    day = F.unix_date(F.to_date("ts"))
-    numbered = blocked_row_number(events, ["ts", "event_id"], day, ["user_id"], name="step")
+    minute = (F.unix_date(F.to_date("ts")) * 24 + F.hour("ts")) * 60 + F.minute("ts")
+    numbered = blocked_row_number(events, ["ts", "event_id"], minute, ["user_id"], name="step")
     k = F.from_json("props", "k bigint")["k"]
     step = F.col("step").cast("bigint")
     return numbered.select(

@@ -225,7 +225,7 @@ GALLERY_HARD = "CAST(round_even((SELECT count(*) // 64 FROM embeddings) * 0.25,
 BIN_CASE = "CASE {} WHEN 0 THEN 360 WHEN 1 THEN 180 WHEN 2 THEN 90 ELSE 45 END"
 
 
-def _h1_sql() -> str:
+def _hard_sql() -> str:
     """Serial greedy: anchors in priority order, each taking its first 15 unused candidates."""
     start = S.seed("42", "'pano'", "'train'", "17", "fov_deg", "location", "'fallback_start'")
     place = S.seed("42", "'pano'", "'train'", "17", "a.fov_deg", "a.location", "'pool_order'", "negative")
@@ -250,12 +250,14 @@ def _h1_sql() -> str:
         SELECT p.priority, g.used, list_filter(p.picks, lambda x, i: NOT list_contains(g.used, x)
                  AND list_position(p.picks, x) = i)[1:15] AS taken
         FROM greedy g JOIN prefs p ON p.priority = g.priority + 1)),
-    neighbours AS (SELECT priority, unnest(taken) AS location, generate_subscripts(taken, 1) AS "offset" FROM greedy WHERE priority >= 0)
-    SELECT batch, fov_deg, CAST("offset" AS BIGINT) AS "offset", n.location FROM neighbours n JOIN anchors USING (priority)
-    UNION ALL SELECT batch, fov_deg, 0, location FROM anchors"""
+    neighbours AS (SELECT priority, unnest(taken) AS location, generate_subscripts(taken, 1) AS "offset" FROM greedy WHERE priority >= 0),
+    hard AS (
+      SELECT 'hard' AS kind, batch, fov_deg, CAST("offset" AS BIGINT) AS "offset", n.location
+      FROM neighbours n JOIN anchors USING (priority)
+      UNION ALL SELECT 'hard', batch, fov_deg, 0, location FROM anchors)"""
 
 
-@query("h1_neighbour_assignment", _h1_sql())
+@query("h1_neighbour_assignment", f"""{_hard_sql()} SELECT batch, fov_deg, "offset", location FROM hard""")
 def h1_neighbour_assignment(spark, sf):
     rows = X.table(spark, sf, "embeddings").count()
     hard = round(rows // 64 * 0.25)
@@ -275,9 +277,24 @@ def e4_plan_epoch_hard_audit(spark, sf):
     return batches.plan_audit(plan, X.BIN_FOVS, 16, shards=2)
 
 
-@query("e4_plan_epoch_hard")
+def _hard_plan_sql() -> str:
+    fill = normal_sql(HARD_EPOCH, "free", f"((SELECT count(*) // 64 FROM embeddings) - {GALLERY_HARD})")
+    schedule = shuffled_sql("(SELECT DISTINCT kind, batch FROM placed)", HARD_EPOCH, "batch_schedule", "kind, batch", "step")
+    return f"""{_hard_sql()},
+    free AS (SELECT location FROM locations WHERE location NOT IN (SELECT location FROM hard)),
+    {fill.replace("ELSE 70", "ELSE 45")},
+    everything AS (SELECT * FROM hard UNION ALL SELECT * FROM fill),{cycle_sql(HARD_EPOCH, "everything")},
+    order_of AS (SELECT * FROM {schedule})
+    SELECT CAST({HARD_EPOCH} AS BIGINT) AS epoch, step, position, kind, batch, fov_deg, location,
+           CAST(CASE kind WHEN 'hard' THEN 16 ELSE -1 END AS BIGINT) AS source_epoch,
+           CASE kind WHEN 'hard' THEN 'hard_train' ELSE 'train' END AS orientation_mode
+    FROM placed JOIN order_of USING (kind, batch)"""
+
+
+@query("e4_plan_epoch_hard", _hard_plan_sql())
 def e4_plan_epoch_hard(spark, sf):
-    return plan_epoch(gallery_locations(spark, sf), HARD_EPOCH, POOL_SETTINGS, M.pool(spark, sf))
+    plan = plan_epoch(gallery_locations(spark, sf), HARD_EPOCH, POOL_SETTINGS, M.pool(spark, sf))
+    return plan.fillna(-1, ["source_epoch"])
 
 
 EPOCH_SQL = "e AS (SELECT event_id, event_id % 70 + 1 AS epoch FROM events)"

@@ -43,10 +43,14 @@ def plan_grid(
     gallery_rows: int,
     row_values: int,
     parallelism: int,
-    side_bytes: int = 96 << 20,
+    side_bytes: int = 64 << 20,
     min_pairs: int = 1 << 20,
 ) -> Grid:
-    """Blocks that fit ``side_bytes`` each, refined until every core has a cell worth its start."""
+    """Blocks that fit ``side_bytes`` each, refined until every core has a cell worth its start.
+
+    A cell's Python worker holds both sides and their spectra, about eight times ``side_bytes``.
+    Twice the budget halves the bytes that are shuffled.
+    """
     rows = max(1, side_bytes // (8 * max(1, row_values)))
     q = max(1, math.ceil(query_rows / rows))
     g = max(1, math.ceil(gallery_rows / rows))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ringmatch.functions import kernels as K
 
@@ -37,12 +38,15 @@ def contrastive_diagnostics(
 
     ``rows``: batch, position, direction, valid, tile; the last ``order_channels`` channels are the
     order subspace. A batch is a planned batch of at most ``max_batch`` rows; a larger one is
-    refused. Its score matrix stays inside one kernel call.
+    refused before any is gathered. Its score matrix stays inside one kernel call.
     """
     if temperature <= 0:
         raise ValueError("temperature must be positive")
     if order_weight <= 0:
         raise ValueError("order_weight must be positive")
+    largest = rows.groupBy("batch").count().agg(F.max("count")).first()[0]
+    if largest is not None and largest > max_batch:
+        raise ValueError(f"A batch holds more than {max_batch} rows: {largest}")
     inverse = K.inverse_transform(angular_bins)
 
     def matrix(ground, valid, tiles):
@@ -51,8 +55,6 @@ def contrastive_diagnostics(
         return K.grid_logits(K.real_spectrum(masked), spectrum, K.quarter_turn(spectrum), divisor, inverse).max(axis=0)
 
     def run(table: pa.Table) -> pa.Table:
-        if table.num_rows > max_batch:
-            raise ValueError(f"A batch holds more than {max_batch} rows")
         table = table.sort_by("position")
         shape = (-1, angular_bins, channels)
         ground = K.list_matrix(table.column("direction"), angular_bins * channels).reshape(shape)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ringmatch.functions.crops import int_div
 from ringmatch.operators.index import blocked_previous_max
 
-EPOCH_BLOCK = 64
+EPOCH_BLOCK = 1 << 14
 
 
 def mark_new_best(

@@ -195,6 +195,8 @@ def test_schedules_replay_or_are_refused(spark, tmp_path):
         schedules.replay_schedule(spark, path, queries, "test", fovs)
     with pytest.raises(ValueError, match="columns"):
         schedules.replay_schedule(spark, path, queries, "val", (360, 180))
+    doubled = first.unionByName(first.limit(1))
+    assert [r.reason for r in schedules.schedule_violations(doubled, queries, "val", fovs).collect()] == ["duplicate"]
     swapped = queries.withColumn("query_id", F.concat(F.lit("q"), F.lit(31) - F.col("loc_idx")))
     assert schedules.schedule_violations(first, swapped, "val", fovs).count() == 64
     values = first.select(F.min("roll_angle_deg_90"), F.max("roll_angle_deg_90")).first()
