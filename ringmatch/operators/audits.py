@@ -18,7 +18,9 @@ def triplet_violations(pairs: DataFrame, digits: int = 7) -> DataFrame:
     mismatch = (sat != query) | (query != note)
     outside = ~(is_relative_inside(F.col("satellite_path")) & is_relative_inside(F.col("query_path")))
     reason = F.when(malformed, "malformed_id").when(mismatch, "id_mismatch").when(outside, "path_escape")
-    return pairs.withColumns(ids).withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop(*ids)
+    # Exploding the reason instead of filtering on it keeps the ids from being parsed per comparison.
+    found = F.explode(F.array_compact(F.array(reason))).alias("reason")
+    return pairs.withColumns(ids).select(*pairs.columns, found)
 
 
 def apply_exclusions(annotations: DataFrame, exclusions: DataFrame) -> dict[str, DataFrame]:
