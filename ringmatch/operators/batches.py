@@ -161,4 +161,5 @@ def plan_audit(plan: DataFrame, fovs: Sequence[int], per_fov: int, shards: int =
         F.count(F.lit(1)).alias("rows"),
         F.count_distinct("location").alias("distinct_locations"),
     )
-    return totals.withColumn("_k", F.lit(1)).join(shard_audit.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    both = totals.unionByName(shard_audit, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ringmatch.session import ship_package
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -109,4 +111,5 @@ def run_cells(
         if left.num_rows and right.num_rows:
             yield kernel(left, right)
 
+    ship_package(both.sparkSession)
     return both.repartitionById(grid.cells, F.col("cell")).mapInArrow(run, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringmatch.functions import kernels as K
+from ringmatch.session import ship_package
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -82,4 +83,5 @@ def contrastive_diagnostics(
         "joint_accuracy double, order_accuracy double"
     )
     picked = rows.select("batch", "position", "direction", "valid", "tile")
+    ship_package(rows.sparkSession)
     return picked.groupBy("batch").applyInArrow(run, schema)

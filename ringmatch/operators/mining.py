@@ -15,6 +15,7 @@ from ringmatch.functions import kernels as K
 from ringmatch.functions.crops import int_div
 from ringmatch.operators.cells import Grid, grid_for, replicate_gallery, replicate_queries, run_cells
 from ringmatch.operators.cyclic import QUERY_KEY, score_pairs
+from ringmatch.session import ship_package
 
 SUB_PAIRS = 1 << 20
 
@@ -39,6 +40,7 @@ def with_signature(df: DataFrame, angular_bins: int, channels: int, frequency_co
             column = pa.ListArray.from_arrays(offsets, flat)
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [column], names=[*names, "signature"])
 
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, f"{fields}, signature array<double>")
 
 

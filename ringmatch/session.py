@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +49,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ringmatch-{uuid.uuid4().hex}/{name}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever the driver was started; once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_ringmatch_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="ringmatch-code-"), "ringmatch.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("ringmatch", os.path.relpath(path, package)))
+    context.addPyFile(archive)
+    context._ringmatch_shipped = True
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, which survives lost executors."""
     shared_dir(df.sparkSession)
