@@ -11,13 +11,13 @@ from ringmatch.catalog.registry import query
 from ringmatch.operators import batches, index, lookups
 from ringmatch.plans.epoch import PlanSettings, hard_rows, plan_epoch
 
-# Stage table and refresh epochs of the shared configuration.
+# Epoch ranges, hard-batch shares and refresh epochs of the default run.
 STAGES = [
-    {"name": "stage_a_balanced_all_fovs_frozen", "epoch_start": 1, "epoch_end": 8, "hard_batch_fraction": 0.0},
-    {"name": "stage_b_balanced_last_four_warmup", "epoch_start": 9, "epoch_end": 16, "hard_batch_fraction": 0.0},
-    {"name": "stage_c_balanced_top64_hard_25pct", "epoch_start": 17, "epoch_end": 48, "hard_batch_fraction": 0.25},
-    {"name": "stage_d_low_lr_restart_hard_25pct", "epoch_start": 49, "epoch_end": 56, "hard_batch_fraction": 0.25},
-    {"name": "stage_e_conservative_final_refinement_hard_25pct", "epoch_start": 57, "epoch_end": 64, "hard_batch_fraction": 0.25},
+    {"name": "stage_a", "epoch_start": 1, "epoch_end": 8, "hard_batch_fraction": 0.0},
+    {"name": "stage_b", "epoch_start": 9, "epoch_end": 16, "hard_batch_fraction": 0.0},
+    {"name": "stage_c", "epoch_start": 17, "epoch_end": 48, "hard_batch_fraction": 0.25},
+    {"name": "stage_d", "epoch_start": 49, "epoch_end": 56, "hard_batch_fraction": 0.25},
+    {"name": "stage_e", "epoch_start": 57, "epoch_end": 64, "hard_batch_fraction": 0.25},
 ]
 REFRESH = (16, 24, 32, 40, 48, 56)
 INTERVAL = 8
