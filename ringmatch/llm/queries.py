@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringmatch.llm import packing, secrets, token_counts
+from ringmatch.llm import language, packing, secrets, simhash, token_counts
 from ringmatch.llm.common import read_table
 
 
@@ -26,6 +26,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learned from labelled documents that are not held out."""
+    return language.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2,048 tokens."""
     return packing.pack_documents(
@@ -40,9 +45,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words_per_shingle=3, most=3)
+
+
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_language_id": op3_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_counts": op7_token_counts,
+    "op10_simhash": op10_simhash,
 }
 ORACLES: dict[str, str] = {}
