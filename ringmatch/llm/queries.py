@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringmatch.llm import language, packing, secrets, simhash, token_counts
+from ringmatch.llm import language, packing, secrets, simhash, token_counts, word_table
 from ringmatch.llm.common import read_table
 
 
@@ -45,6 +45,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again, as digests."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = word_table.encode_documents(read_table(spark, sf_dir, "documents"), path)
+    return word_table.digests(word_table.decode_ids(encoded, path))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words_per_shingle=3, most=3)
@@ -55,6 +62,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_counts": op7_token_counts,
+    "op8_word_table": op8_word_table,
     "op10_simhash": op10_simhash,
 }
 ORACLES: dict[str, str] = {}
