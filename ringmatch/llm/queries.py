@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringmatch.llm import language, packing, secrets, simhash, token_counts, word_table
+from ringmatch.llm import language, markup, packing, secrets, simhash, token_counts, word_table
 from ringmatch.llm.common import read_table
 
 
@@ -52,6 +52,11 @@ def op8_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_table.digests(word_table.decode_ids(encoded, path))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page, with its layout."""
+    return markup.extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words_per_shingle=3, most=3)
@@ -63,6 +68,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_counts": op7_token_counts,
     "op8_word_table": op8_word_table,
+    "op9_html_text": op9_html_text,
     "op10_simhash": op10_simhash,
 }
 ORACLES: dict[str, str] = {}
