@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringmatch.llm import language, markup, packing, secrets, simhash, token_counts, word_table
+from ringmatch.llm import caps, language, markup, neighbours, packing, secrets, simhash, token_counts, word_table
 from ringmatch.llm.common import read_table
 
 
@@ -31,6 +31,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op4_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of near-equal vectors."""
+    return caps.near_vectors(read_table(spark, sf_dir, "embeddings"), similarity=0.9)
+
+
+def op5_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, top=20)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2,048 tokens."""
     return packing.pack_documents(
@@ -65,6 +75,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_language_id": op3_language_id,
+    "op4_spherical_caps": op4_spherical_caps,
+    "op5_multiprobe_neighbours": op5_multiprobe_neighbours,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_counts": op7_token_counts,
     "op8_word_table": op8_word_table,
