@@ -23,8 +23,10 @@ from ringmatch.llm.vectors import matrix, usable, usable_vectors
 
 #: Unrelated vectors in a filter on average; the cap's height follows from it.
 FILTER_ROWS = 64
-#: Filters that two vectors at the least similarity share on average.
-SHARED = 16
+#: Codes, each turned its own way, and filters per code that two vectors at the least similarity share
+#: on average. Several turned codes miss far fewer pairs than one of the same total size.
+CODES = 4
+SHARED = 8
 #: Codewords per block at most; more directions take more blocks.
 CODEWORDS = 512
 #: A filter with more vectors is compared in pairs of blocks of about this size.
@@ -55,7 +57,7 @@ def both_above(z: float, similarity: float) -> float:
 class ProductCode:
     """Directions as products of codewords; fixed by seed, dimension, row count and similarity."""
 
-    def __init__(self, dimension: int, rows: int, similarity: float, seed: int = 4):
+    def __init__(self, dimension: int, rows: int, similarity: float, seed: int):
         self.height = cap_height(min(0.25, FILTER_ROWS / max(rows, 1)))
         wanted = max(64.0, SHARED / both_above(self.height, similarity))
         self.blocks = min(dimension, max(2, math.ceil(math.log(wanted) / math.log(CODEWORDS))))
@@ -71,7 +73,7 @@ class ProductCode:
             self.words.append(word)
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and filter numbers of all caps that hold the unit vectors, sorted by row, then number."""
+        """Rows and direction numbers of all caps that hold the unit vectors."""
         turned = unit @ self.turn
         products = [turned[:, p] @ w.T for p, w in zip(self.parts, self.words)]
         best_left = np.zeros((self.blocks + 1, len(unit)))
@@ -94,15 +96,36 @@ class ProductCode:
         return row, code
 
 
-def _decode(code: ProductCode, dimension: int):
+class Filters:
+    """All codes; a filter's number tells its code."""
+
+    def __init__(self, dimension: int, rows: int, similarity: float):
+        self.codes = [ProductCode(dimension, rows, similarity, seed) for seed in range(CODES)]
+        self.per_code = self.codes[0].width ** self.codes[0].blocks
+        if self.per_code * CODES >= 1 << 31:
+            raise ValueError("Filter numbers take 31 bits")
+
+    def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets per row and, row by row, the ascending numbers of the filters that hold it."""
+        rows, numbers = [], []
+        for k, code in enumerate(self.codes):
+            row, number = code.decode(unit)
+            rows.append(row)
+            numbers.append(number + k * self.per_code)
+        row, number = np.concatenate(rows), np.concatenate(numbers)
+        order = np.lexsort((number, row))
+        offsets = np.searchsorted(row[order], np.arange(len(unit) + 1))
+        return offsets.astype(np.int32), number[order].astype(np.int32)
+
+
+def _decode(filters: Filters, dimension: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
                 x = matrix(part.column(1), dimension)
-                row, filters = code.decode(_unit(x))
-                offsets = np.searchsorted(row, np.arange(len(x) + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(filters))
+                offsets, numbers = filters.decode(_unit(x))
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(numbers))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["class_id", "filters"])
 
     return run
@@ -204,10 +227,8 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.9) -> DataFrame:
     alone = vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if not total:
         return alone.withColumn("kept", F.col("vec_id").isNotNull())
-    code = ProductCode(dimension, total, similarity)
-    lists = durable(
-        classes.select("class_id", "embedding").mapInArrow(_decode(code, dimension), "class_id long, filters array<long>")
-    )
+    decode = _decode(Filters(dimension, total, similarity), dimension)
+    lists = durable(classes.select("class_id", "embedding").mapInArrow(decode, "class_id long, filters array<int>"))
     members = lists.select("class_id", F.explode("filters").alias("filter"))
     sizes = members.groupBy("filter").agg(F.count("*").alias("held")).where("held > 1")
     sizes = durable(sizes.select(F.col("filter").alias("__filter"), F.ceil(F.col("held") / BLOCK).cast("int").alias("parts")))
