@@ -125,7 +125,8 @@ def scan_versions(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES)
 
 
 def _due(rule: Rule) -> Column:
-    return F.array_contains("rules", rule.name) & F.col("text").rlike(rule.pattern)
+    """Whether the rule is still due and matches; tested after the join, so only unseen blobs are scanned."""
+    return F.when(F.array_contains("rules", rule.name), F.col("text").rlike(rule.pattern)).otherwise(F.lit(False))
 
 
 def _any(conditions: list[Column]) -> Column:
