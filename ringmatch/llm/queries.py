@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringmatch.llm import caps, language, markup, neighbours, packing, secrets, simhash, token_counts, word_table
+from ringmatch.llm import caps, language, markup, neighbours, packing, passages, secrets, simhash, token_counts, word_table
 from ringmatch.llm.common import read_table
 
 
+def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that documents repeat, where each is kept and where it is removed."""
+    return passages.clustered(passages.repeated_passages(read_table(spark, sf_dir, "documents")))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts per kind and all spans."""
     found = secrets.scan_documents(read_table(spark, sf_dir, "documents"))
@@ -73,6 +78,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_paragraph_minhash": op1_paragraph_minhash,
     "op2_secret_scan": op2_secret_scan,
     "op3_language_id": op3_language_id,
     "op4_spherical_caps": op4_spherical_caps,
