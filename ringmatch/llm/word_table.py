@@ -1,6 +1,6 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Spark splits the texts into words and counts the distinct ones; each is encoded once. Frequent words
+Tasks split the texts into words and Spark counts the distinct ones; each is encoded once. Frequent words
 (a bounded number) reach the texts by broadcast, all others by an equi-join on the word, so no
 frequent word makes a hot key and no word table has to fit in memory. A document travels as the
 numbers of its frequent words; the joined ids fill its gaps by position. Ids become text through the
@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringmatch.llm import words
@@ -24,23 +25,47 @@ from ringmatch.llm.common import ship_package, texts_of, written
 #: Words in the broadcast table at most, and characters in one of them: at most some 30 MB.
 FREQUENT_WORDS = 1 << 18
 LONGEST_FREQUENT = 64
-#: Unicode white space without the four separators that the library keeps.
-WHITE_SPACE = "[\t-\r \u0085   -     　]+"
+#: Distinct pieces that a task holds while it counts.
+HELD_WORDS = 500_000
+#: Marks that end a word.
+MARKS = frozenset(".,;:!?")
 GAP = 0xFFFFFFFF
 
 
-def word_array(text: Column, whole: list[str]) -> Column:
-    """The words of a text; a text that holds one of ``whole`` is a single word."""
-    apart = F.lit(False)
-    for mark in whole:
-        apart = apart | text.contains(mark)
-    return F.when(apart, F.array(text)).otherwise(F.filter(F.split(text, WHITE_SPACE, -1), lambda w: w != ""))
+def plain(text: str, whole: list[str]) -> list[str]:
+    """A text between white space with A-Z in lower case; a text that holds one of ``whole`` stays one piece."""
+    if any(mark in text for mark in whole):
+        return [text]
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").split()
+
+
+def closing_mark(piece: str) -> bool:
+    """Whether the last character is a mark that the tokenizer always parts from the Latin letter before it."""
+    return len(piece) > 1 and piece[-1] in MARKS and piece[-2].isalpha() and piece[-2] < "\u0250" and piece[-2] != "İ"
 
 
 def distinct_words(docs: DataFrame, whole: list[str]) -> DataFrame:
-    """``word, n`` over all texts, counted on the map side before anything is shuffled."""
-    rows = texts_of(docs).select(F.explode(word_array(F.col("text"), whole)).alias("word"))
-    return rows.groupBy("word").agg(F.count("*").alias("n"))
+    """``word, n`` over all texts; tasks count what they read (a bounded number of words at a time) first."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pieces: Counter[str] = Counter()
+            last = len(batch) - 1
+            for k, text in enumerate(batch["text"]):
+                pieces.update(plain(text, whole))
+                if len(pieces) > HELD_WORDS or k == last:
+                    words: Counter[str] = Counter()
+                    for piece, n in pieces.items():
+                        if closing_mark(piece) and not any(mark in piece for mark in whole):
+                            words[piece[:-1]] += n
+                            words[piece[-1]] += n
+                        else:
+                            words[piece] += n
+                    pieces.clear()
+                    yield pd.DataFrame({"word": list(words), "n": list(words.values())})
+
+    rows = texts_of(docs).mapInPandas(count, "word string, n long")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_from(counted: DataFrame, most: int) -> int:
@@ -93,21 +118,39 @@ def _split(docs: DataFrame, table, whole: list[str]) -> DataFrame:
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if name not in _NUMBERS:  # one table at a time in a worker
             _NUMBERS.clear()
-            _NUMBERS[name] = {w: k for k, (w, _) in enumerate(table.value)}
+            _NUMBERS[name] = {w: k for k, w in enumerate(table.value[0])}
         get = _NUMBERS[name].get
         for batch in batches:
             numbers, rare = [], []
             for text in batch["text"]:
-                found = [text] if any(s in text for s in whole) else text.split()
-                at = list(map(get, found))
-                gaps = [w for w, k in zip(found, at) if k is None] if None in at else []
-                numbers.append(_packed(np.array([GAP if k is None else k for k in at] if gaps else at, dtype="<u4")))
+                pieces = plain(text, whole)
+                at = list(map(get, pieces))
+                gaps: list[str] = []
+                if None in at:
+                    known, at = at, []
+                    alone = len(pieces) == 1 and any(mark in text for mark in whole)
+                    for piece, number in zip(pieces, known):
+                        if number is None and not alone and closing_mark(piece):
+                            parts = (piece[:-1], piece[-1])
+                        elif number is None:
+                            parts = (piece,)
+                        else:
+                            at.append(number)
+                            continue
+                        for part in parts:
+                            number = get(part)
+                            if number is None:
+                                gaps.append(part)
+                                number = GAP
+                            at.append(number)
+                numbers.append(_packed(np.array(at, dtype="<u4")))
                 rare.append(gaps)
             yield pd.DataFrame(
                 {"doc_id": batch["doc_id"].astype("Int64"), "print": batch["print"], "numbers": numbers, "rare": rare}
             )
 
-    rows = texts_of(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("print"))
+    # Enough to tell texts under one id apart; short, because it travels with every rare word.
+    rows = texts_of(docs, F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("print"))
     return rows.mapInPandas(split, "doc_id long, print long, numbers binary, rare array<string>")
 
 
@@ -130,8 +173,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, frequent_words: int =
     counted = written(distinct_words(docs, whole), "words")
     least = frequent_from(counted, frequent_words)
     often = (F.col("n") >= least) & (F.char_length("word") <= LONGEST_FREQUENT)
-    frequent = encoded(counted.where(often), tokenizer).collect()  # at most frequent_words rows
-    table = spark.sparkContext.broadcast([(r["word"], bytes(r["ids"])) for r in frequent])
+    # At most frequent_words rows reach the driver; frequent words get small numbers, which pack well.
+    ids_of = {r["word"]: bytes(r["ids"]) for r in encoded(counted.where(often), tokenizer).toLocalIterator()}
+    order = [r["word"] for r in counted.where(often).orderBy(F.desc("n"), "word").toLocalIterator()]
+    table = spark.sparkContext.broadcast((order, [ids_of[w] for w in order]))
 
     # A row is named by its id and its text: equal rows then get equal gaps filled, whichever is which.
     split = _split(docs, table, whole)
@@ -144,7 +189,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, frequent_words: int =
     )
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_number = [ids for _, ids in table.value]
+        by_number = table.value[1]
         for batch in batches:
             out = []
             for numbers, gaps in zip(batch["numbers"], batch["gaps"]):
