@@ -56,10 +56,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POWERS, _INVERSES
     if len(_POWERS) < n:
         size = max(n, 1 << 16)
-        _POWERS, _INVERSES = (
-            np.multiply.accumulate(np.concatenate([[1], np.full(size - 1, b)]).astype(np.uint64))
-            for b in (np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64)))
-        )
+        steps = np.ones((2, size), dtype=np.uint64)
+        steps[0, 1:], steps[1, 1:] = _BASE, pow(_BASE, -1, 1 << 64)
+        _POWERS, _INVERSES = np.multiply.accumulate(steps, axis=1)
     return _POWERS[:n], _INVERSES[:n]
 
 
