@@ -245,4 +245,4 @@ def j9_schedule_violations(spark, sf):
     FROM schedule""",
 )
 def a4_schedule_hash(spark, sf):
-    return fingerprints.schedule_fingerprint(wide(spark, sf), "val", X.CROP_FOVS)
+    return fingerprints.schedule_fingerprint(wide(spark, sf), "val", X.CROP_FOVS, fingerprints.EXACT)

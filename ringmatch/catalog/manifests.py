@@ -137,7 +137,10 @@ def s5_write_once(spark, sf):
     return counts.withColumn("second_write_refused", F.lit(refused))
 
 
-COUNTED = ("orders", "lineitem", "events", "documents", "embeddings", "customer", "part")
+COUNTED = (
+    *("region", "nation", "customer", "supplier", "part", "orders", "lineitem"),
+    *("events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"),
+)
 
 
 @query(
@@ -271,10 +274,14 @@ def j1_exclusions(spark, sf):
     "j2_missing_pairs",
     f"""WITH {S.MANIFEST},{S.LISTING}
     SELECT split, query_id, 'satellite' AS side, satellite_path AS path FROM manifest
-    WHERE satellite_path NOT IN (SELECT path FROM listing)""",
+    WHERE satellite_path NOT IN (SELECT path FROM listing)
+    UNION ALL SELECT split, query_id, 'query', query_path FROM manifest
+    WHERE CAST(query_id AS BIGINT) NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber >= 2)""",
 )
 def j2_missing_pairs(spark, sf):
-    return audits.missing_pairs(X.manifest(spark, sf), None, X.listing(spark, sf))
+    longer = X.table(spark, sf, "lineitem").filter("l_linenumber >= 2").select(X.seven(F.col("l_orderkey")).alias("id")).distinct()
+    ground = longer.select(F.concat(F.lit("ground/"), F.col("id"), F.lit(".jpg")).alias("path"))
+    return audits.missing_pairs(X.manifest(spark, sf), ground, X.listing(spark, sf))
 
 
 @query(
@@ -293,21 +300,18 @@ def j3_inventory_reconciliation(spark, sf):
 @query(
     "j12_bank_alignment",
     f"""WITH {S.MANIFEST},
-    bank AS (SELECT id FROM (SELECT {S.seven('l_orderkey')} AS id, l_linenumber FROM lineitem) WHERE l_linenumber <= 2
-             AND {S.seed("id", "'bank'")} % 20 = 0),
+    bank AS (SELECT {S.seven('l_orderkey')} AS id FROM lineitem WHERE {S.seed("l_orderkey", "l_linenumber", "'bank'")} % 4 = 0),
     b AS (SELECT id, count(*) AS in_bank FROM bank GROUP BY id),
-    m AS (SELECT satellite_id AS id, count(*) AS in_manifest FROM manifest WHERE split = 'train'
-          AND {S.seed("query_id", "'bank'")} % 10 = 0 GROUP BY 1),
+    m AS (SELECT satellite_id AS id, count(*) AS in_manifest FROM manifest GROUP BY 1),
     j AS (SELECT id, coalesce(in_bank, 0) AS in_bank, coalesce(in_manifest, 0) AS in_manifest
           FROM b FULL OUTER JOIN m USING (id))
     SELECT *, CASE WHEN in_bank = 0 THEN 'missing' WHEN in_manifest = 0 THEN 'extra' ELSE 'duplicate' END AS problem
     FROM j WHERE in_bank = 0 OR in_manifest = 0 OR in_bank > 1 OR in_manifest > 1""",
 )
 def j12_bank_alignment(spark, sf):
-    lines = X.table(spark, sf, "lineitem").filter("l_linenumber <= 2")
-    bank = lines.select(X.seven(F.col("l_orderkey")).alias("id")).filter(stable_seed(F.col("id"), "bank") % 20 == 0)
-    manifest = X.manifest(spark, sf).filter("split = 'train'")
-    return audits.alignment(bank, manifest.filter(stable_seed(F.col("query_id"), "bank") % 10 == 0))
+    # A bank with gaps and doubles: each line item of an order writes a descriptor unless a keyed draw drops it.
+    lines = X.table(spark, sf, "lineitem").filter(stable_seed(F.col("l_orderkey"), F.col("l_linenumber"), "bank") % 4 == 0)
+    return audits.alignment(lines.select(X.seven(F.col("l_orderkey")).alias("id")), X.manifest(spark, sf))
 
 
 @query(
@@ -362,24 +366,39 @@ def a2_inventory_rollup(spark, sf):
     FROM manifest GROUP BY split""",
 )
 def a3_manifest_fingerprint(spark, sf):
-    return fingerprints.manifest_fingerprint(X.manifest(spark, sf))
+    return fingerprints.manifest_fingerprint(X.manifest(spark, sf), form=fingerprints.EXACT)
+
+
+def _tree_sql(by: str = "") -> str:
+    """Rows ``j(json, by...)`` to a digest tree of depth four, per ``by``."""
+    also = f"{by}, " if by else ""
+    return f"""
+    digests AS (SELECT {also}sha256(json) AS d, count(*) AS n FROM j GROUP BY ALL),
+    leaves AS (SELECT {also}substr(d, 1, 4) AS node, sum(n) AS n, sha256(string_agg(d || ':' || n, ',' ORDER BY d)) AS d
+               FROM digests GROUP BY ALL),
+    parents AS (SELECT {also}substr(node, 1, 2) AS node2, sum(n) AS n, sha256(string_agg(d, ',' ORDER BY d)) AS d
+                FROM leaves GROUP BY ALL)
+    SELECT {also}CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(d, ',' ORDER BY d)) AS fingerprint"""
 
 
-TREE_SQL = """
-digests AS (SELECT sha256(json) AS d, count(*) AS n FROM j GROUP BY 1),
-leaves AS (SELECT substr(d, 1, 1) AS node, sum(n) AS n, sha256(string_agg(d || ':' || n, ',' ORDER BY d)) AS d
-           FROM digests GROUP BY 1)
-SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(d, ',' ORDER BY d)) AS fingerprint FROM leaves"""
+@query(
+    "a3_manifest_tree",
+    f"""WITH {S.MANIFEST}, j AS (SELECT split, '{{"dataset":"' || dataset || '","query_id":"' || query_id || '","query_path":"'
+        || query_path || '","satellite_id":"' || satellite_id || '","satellite_path":"' || satellite_path || '","split":"'
+        || split || '"}}' AS json FROM manifest),{_tree_sql("split")}, 'sha256_tree_4' AS algorithm FROM parents GROUP BY ALL""",
+)
+def a3_manifest_tree(spark, sf):
+    return fingerprints.manifest_fingerprint(X.manifest(spark, sf))
 
 
 @query(
     "v3_table_hash",
     """WITH j AS (SELECT '{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"'
-    || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}' AS json FROM orders),""" + TREE_SQL,
+    || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}' AS json FROM orders),""" + _tree_sql() + " FROM parents",
 )
 def v3_table_hash(spark, sf):
     orders = X.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    return provenance.table_hash(orders, depth=1)
+    return provenance.table_hash(orders)
 
 
 @query(
@@ -427,12 +446,14 @@ def x2_split_contract(spark, sf):
 
 @query(
     "x3_split_union",
-    f"""WITH {S.MANIFEST} SELECT DISTINCT query_id, source_mat_index FROM manifest WHERE split IN ('train', 'val')""",
+    f"""WITH {S.MANIFEST} SELECT query_id, source_mat_index FROM manifest WHERE split = 'train'
+    UNION ALL SELECT query_id, source_mat_index FROM manifest WHERE split = 'val'
+    UNION ALL SELECT query_id, source_mat_index FROM manifest WHERE split = 'test'""",
 )
 def x3_split_union(spark, sf):
     manifest = X.manifest(spark, sf).select("split", "query_id", "source_mat_index")
-    parts = [manifest.filter(F.col("split") == s).drop("split") for s in ("train", "val")]
-    union = parts[0].unionByName(parts[1])
+    parts = [manifest.filter(F.col("split") == s).drop("split") for s in ("train", "val", "test")]
+    union = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return union.select("query_id", F.col("source_mat_index").cast("bigint").alias("source_mat_index"))
 
 

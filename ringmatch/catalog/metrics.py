@@ -11,7 +11,7 @@ from ringmatch.catalog.registry import query
 from ringmatch.functions.vectors import quantise
 from ringmatch.operators import contrast, recall, selection
 from ringmatch.operators.index import blocked_row_number
-from ringmatch.plans.selection import select_best
+from ringmatch.plans.selection import incomplete_validations, select_best
 from ringmatch.session import scratch_path
 from ringmatch.sources import logs
 from ringmatch.streaming import best
@@ -171,6 +171,16 @@ def a10_macro_recall(spark, sf):
     FROM macro WHERE n = 4 GROUP BY run""",
 )
 def e5_select_best(spark, sf):
+    chosen = select_best(spark, validation_log(spark, sf), X.CROP_FOVS, skip_incomplete=True)
+    return chosen.select("run", settled(F.col("best_macro_recall")).alias("best_macro_q"), "best_epoch")
+
+
+@query("e5_incomplete_validations", f"WITH {MACRO_SQL} SELECT run, epoch, n AS fov_rows FROM macro WHERE n <> 4")
+def e5_incomplete_validations(spark, sf):
+    return incomplete_validations(spark, validation_log(spark, sf), X.CROP_FOVS)
+
+
+def validation_log(spark, sf):
     path = scratch_path(spark, "log")
     rows = recalls(spark, sf).groupBy("run", "epoch").agg(
         F.map_from_entries(
@@ -180,8 +190,7 @@ def e5_select_best(spark, sf):
         ).alias("fovs")
     )
     logs.append_log(rows.withColumn("record_type", F.lit("validation")), path)
-    chosen = select_best(spark, path, X.CROP_FOVS)
-    return chosen.select("run", settled(F.col("best_macro_recall")).alias("best_macro_q"), "best_epoch")
+    return path
 
 
 BATCH = 50

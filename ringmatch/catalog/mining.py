@@ -137,8 +137,9 @@ def s10_pool_store(spark, sf):
 def s9_descriptor_bank(spark, sf):
     path = scratch_path(spark, "bank")
     gallery = X.gallery(spark, sf).select("id", "direction")
-    banks.write_bank(gallery.filter("id < '0000100'"), path, "val", "aaaa")
-    banks.write_bank(gallery.filter("id < '0000100'"), path, "val", "bbbb")
+    turned = gallery.withColumn("direction", F.reverse("direction"))
+    banks.write_bank(turned.unionByName(gallery), path, "val", "aaaa")
+    banks.write_bank(turned, path, "val", "bbbb")
     banks.write_bank(gallery, path, "val", "aaaa")
     total = F.aggregate("direction", F.lit(0.0), lambda a, x: a + x)
     return banks.read_bank(spark, path, "val", "aaaa").select("id", quantise(total).alias("total_q"))

@@ -8,7 +8,8 @@ from ringmatch.catalog import fixtures as X
 from ringmatch.catalog import mining as M
 from ringmatch.catalog import sql as S
 from ringmatch.catalog.registry import query
-from ringmatch.operators import batches, index, lookups
+from ringmatch.functions.seeds import stable_seed
+from ringmatch.operators import batches, index, lookups, mining
 from ringmatch.plans.epoch import PlanSettings, hard_rows, plan_epoch
 
 # Epoch ranges, hard-batch shares and refresh epochs of the default run.
@@ -267,13 +268,40 @@ def h1_neighbour_assignment(spark, sf):
     return assigned.select("batch", "fov_deg", "offset", "location")
 
 
+def mined_pool(spark, sf):
+    return M.pool(spark, sf).withColumn("source_epoch", F.lit(16).cast("bigint"))
+
+
+@query(
+    "e4_pool_mismatch",
+    f"""WITH {M.POOL_SQL}, p AS (SELECT fov_deg, {S.seed("anchor", "'stale'")} % 5 = 0 AND fov_deg = 90 AS stale FROM pool
+      WHERE fov_deg <> 45)
+    SELECT CAST(f.fov AS BIGINT) AS fov_deg, count(p.fov_deg) AS rows, count(*) FILTER (WHERE stale) AS foreign
+    FROM (VALUES (360), (180), (90), (45)) f(fov) LEFT JOIN p ON p.fov_deg = f.fov GROUP BY 1
+    HAVING count(p.fov_deg) = 0 OR count(*) FILTER (WHERE stale) > 0""".replace(" AS foreign", ' AS "foreign"'),
+)
+def e4_pool_mismatch(spark, sf):
+    stale = (stable_seed(F.col("anchor"), "stale") % 5 == 0) & (F.col("fov_deg") == 90)
+    pool = M.pool(spark, sf).filter("fov_deg <> 45").withColumn("source_epoch", F.when(stale, 8).otherwise(16))
+    return mining.pool_mismatch(pool, 16, X.BIN_FOVS)
+
+
+@query(
+    "e3_missing_anchors",
+    f"""WITH {S.GALLERY} SELECT CAST(180 AS BIGINT) AS fov_deg, id AS anchor FROM gallery WHERE {S.seed("id", "'lost'")} % 7 = 0""",
+)
+def e3_missing_anchors(spark, sf):
+    lost = (stable_seed(F.col("anchor"), "lost") % 7 == 0) & (F.col("fov_deg") == 180)
+    return mining.missing_anchors(M.pool(spark, sf).filter(~lost), X.gallery(spark, sf).select("id"), X.BIN_FOVS)
+
+
 @query(
     "e4_plan_epoch_hard_audit",
     f"""WITH c AS (SELECT count(*) // 64 AS steps FROM embeddings)
     SELECT steps, steps * 64 AS rows, steps * 64 AS distinct_locations, CAST(0 AS BIGINT) AS unbalanced_shards FROM c""",
 )
 def e4_plan_epoch_hard_audit(spark, sf):
-    plan = plan_epoch(gallery_locations(spark, sf), HARD_EPOCH, POOL_SETTINGS, M.pool(spark, sf))
+    plan = plan_epoch(gallery_locations(spark, sf), HARD_EPOCH, POOL_SETTINGS, mined_pool(spark, sf))
     return batches.plan_audit(plan, X.BIN_FOVS, 16, shards=2)
 
 
@@ -293,7 +321,7 @@ def _hard_plan_sql() -> str:
 
 @query("e4_plan_epoch_hard", _hard_plan_sql())
 def e4_plan_epoch_hard(spark, sf):
-    plan = plan_epoch(gallery_locations(spark, sf), HARD_EPOCH, POOL_SETTINGS, M.pool(spark, sf))
+    plan = plan_epoch(gallery_locations(spark, sf), HARD_EPOCH, POOL_SETTINGS, mined_pool(spark, sf))
     return plan.fillna(-1, ["source_epoch"])
 
 

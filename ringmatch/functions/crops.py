@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from ringmatch.functions.seeds import UINT32_RANGE, stable_seed
 
 
+# They enter the seeds of the headings.
+TRAIN_SALT = "train_orientation"
+HARD_SALT = "hard_mining_orientation"
+
+
 def int_div(a: Column, b) -> Column:
     return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
 
@@ -49,12 +54,12 @@ def _seeded_crop(seed, epoch, query_id, fov, panorama_width, dataset, salt) -> C
 
 def train_crop(seed, epoch, query_id: Column, fov: Column, panorama_width: int, dataset) -> Column:
     """Training crop: one heading per (epoch, query), shared by every FoV."""
-    return _seeded_crop(seed, epoch, query_id, fov, panorama_width, dataset, "train_orientation")
+    return _seeded_crop(seed, epoch, query_id, fov, panorama_width, dataset, TRAIN_SALT)
 
 
 def hard_mining_crop(seed, source_epoch, query_id: Column, fov: Column, panorama_width: int, dataset) -> Column:
     """Crop used to mine a pool and again by every hard batch that draws on that pool."""
-    return _seeded_crop(seed, source_epoch, query_id, fov, panorama_width, dataset, "hard_mining_orientation")
+    return _seeded_crop(seed, source_epoch, query_id, fov, panorama_width, dataset, HARD_SALT)
 
 
 def random_crop(roll_deg: Column, fov: Column, panorama_width: int) -> Column:
@@ -112,7 +117,7 @@ def validate_fovs(fovs: Sequence[int], panorama_width: int, angular_bins: int) -
         if not 0 < fov <= 360:
             raise ValueError(f"FoV must be in (0, 360], got {fov}")
         if fov * panorama_width % 360:
-            raise ValueError(f"FoV {fov} has no whole crop width at panorama width {panorama_width}")
+            raise ValueError(f"{fov} of 360 degrees are not a whole number of {panorama_width} columns")
         if fov * angular_bins % 360:
             raise ValueError(f"FoV {fov} has no whole number of the {angular_bins} direction bins")
     return values

@@ -75,14 +75,20 @@ def best_shift(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return q.max(axis=0), q.argmax(axis=0)
 
 
-def low_frequency_signature(directions: np.ndarray, frequency_count: int) -> np.ndarray:
-    """Signed DC and magnitudes of the next frequencies per channel, ``[n, F*D]``, unit norm."""
-    spectrum = np.fft.rfft(directions, axis=1)
-    if not 1 <= frequency_count <= spectrum.shape[1]:
-        raise ValueError("frequency_count is outside the angular spectrum")
-    parts = np.concatenate([spectrum[:, :1].real, np.abs(spectrum[:, 1:frequency_count])], axis=1)
-    flat = parts.reshape(len(parts), -1)
-    return flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-12)
+def turn_signature(directions: np.ndarray, frequency_count: int) -> np.ndarray:
+    """``[n, F*D]`` unit rows that keep their value when the bins are turned.
+
+    Per channel the sum over all bins, with its sign, then the amplitudes of the next waves.
+    """
+    bins = directions.shape[1]
+    if frequency_count < 1 or frequency_count > bins // 2 + 1:
+        raise ValueError(f"{bins} bins have no {frequency_count} waves")
+    angle = (2.0 * np.pi / bins) * np.outer(np.arange(frequency_count), np.arange(bins))
+    even, odd = (np.einsum("fa,nad->nfd", wave, directions) for wave in (np.cos(angle), np.sin(angle)))
+    amplitude = np.hypot(even, odd)
+    amplitude[:, 0] = even[:, 0]
+    rows = amplitude.reshape(len(amplitude), -1)
+    return rows / np.sqrt(np.maximum(np.einsum("nk,nk->n", rows, rows), 1e-24))[:, None]
 
 
 def top_k_columns(scores: np.ndarray, k: int) -> np.ndarray:

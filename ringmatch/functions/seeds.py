@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 UINT32_RANGE = 2**32
 
 
+#: Stands for null, so that a null item keeps its place among the others.
+NULL_ITEM = "\u0000"
+
+
 def _text(item) -> Column:
     if isinstance(item, Column):
-        return item.cast("string")
+        return F.coalesce(item.cast("string"), F.lit(NULL_ITEM))
     return F.lit(str(item))
 
 

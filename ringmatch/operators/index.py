@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ringmatch.functions.seeds import stable_seed
+from ringmatch.session import durable
 
 
 def _before(partition_cols: Sequence[str]):
@@ -86,24 +87,13 @@ def shuffled_index(
     return numbered.withColumn(name, F.col(name) - 1).drop("_seed")
 
 
-def _search_tree(column: Column, splitters: list, low: int, high: int) -> Column:
-    if low == high:
-        return F.lit(low)
-    middle = (low + high) // 2
-    return F.when(column < F.lit(splitters[middle]), _search_tree(column, splitters, low, middle)).otherwise(
-        _search_tree(column, splitters, middle + 1, high)
-    )
-
-
-def range_block(df: DataFrame, column: str, blocks: int = 64, per_block: int = 32) -> Column:
-    """Order-preserving block number from splitters of a hash sample (``blocks*per_block`` values)."""
-    sample = df.select(column).orderBy(F.xxhash64(column), column).limit(blocks * per_block)
-    values = sorted(row[0] for row in sample.collect())
-    splitters = sorted(set(values[per_block::per_block]))
-    return _search_tree(F.col(column), splitters, 0, len(splitters))
+def lexical_rank(df: DataFrame, column: str, name: str = "lexical_rank", block_rows: int = 1 << 16) -> DataFrame:
+    """0-based position of unique ids in code-point order.
 
-
-def lexical_rank(df: DataFrame, column: str, name: str = "lexical_rank", blocks: int = 64) -> DataFrame:
-    """0-based position of unique ids in code-point order."""
-    ranked = blocked_row_number(df, [column], range_block(df, column, blocks), name=name)
-    return ranked.withColumn(name, F.col(name) - 1)
+    Blocks are the range partitions of the engine, as many as the row count asks for. They are written
+    once, so that the number of a row's partition cannot change under it.
+    """
+    blocks = max(1, -(-df.count() // block_rows))
+    placed = durable(df.repartitionByRange(blocks, column).withColumn("_range", F.spark_partition_id()))
+    ranked = blocked_row_number(placed, [column], F.col("_range"), name=name)
+    return ranked.withColumn(name, F.col(name) - 1).drop("_range")

@@ -1,55 +1,36 @@
-"""Stage, refresh-epoch and cadence lookups on epochs."""
+"""Stage, refresh-epoch and cadence lookups on epochs.
+
+Stages are a handful of closed epoch ranges, so a lookup is an expression over a literal list: no join,
+no table of epochs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-MAX_EPOCHS = 100_000
-
 
-def stage_table(spark: SparkSession, stages: Sequence[Mapping]) -> DataFrame:
-    """One row per (epoch, stage): closed stage ranges opened up so that the lookup is an equi-join."""
-    span = sum(int(s["epoch_end"]) - int(s["epoch_start"]) + 1 for s in stages)
-    if span > MAX_EPOCHS:
-        raise ValueError(f"Stages span {span} epochs, more than {MAX_EPOCHS}")
-    entries = [
-        F.struct(
-            F.lit(int(s["epoch_start"])).alias("lo"),
-            F.lit(int(s["epoch_end"])).alias("hi"),
-            F.lit(str(s["name"])).alias("stage"),
-            F.lit(float(s["hard_batch_fraction"])).alias("hard_batch_fraction"),
+def stages_at(epoch: Column, stages: Sequence[Mapping]) -> Column:
+    """The stages that hold an epoch, as an array of (stage, hard_batch_fraction)."""
+    known = []
+    for entry in stages:
+        inside = epoch.between(int(entry["epoch_start"]), int(entry["epoch_end"]))
+        fields = F.struct(
+            F.lit(str(entry["name"])).alias("stage"),
+            F.lit(float(entry["hard_batch_fraction"])).alias("hard_batch_fraction"),
         )
-        for s in stages
-    ]
-    ranges = spark.range(1).select(F.explode(F.array(*entries)).alias("s")).select("s.*")
-    epochs = F.sequence(F.col("lo").cast("bigint"), F.col("hi").cast("bigint"))
-    return ranges.select(F.explode(epochs).alias("epoch"), "stage", "hard_batch_fraction")
+        known.append(F.when(inside, fields))
+    return F.array_compact(F.array(*known))
 
 
 def with_stage(df: DataFrame, stages: Sequence[Mapping], epoch: str = "epoch") -> DataFrame:
-    """Attach the stage of each row's epoch; ``stage_matches`` must be 1.
-
-    The lookup table has at most ``MAX_EPOCHS`` rows, so it may be broadcast.
-    """
-    spark = df.sparkSession
-    table = stage_table(spark, stages).groupBy("epoch").agg(
-        F.min("stage").alias("stage"),
-        F.min("hard_batch_fraction").alias("hard_batch_fraction"),
-        F.count(F.lit(1)).alias("stage_matches"),
-    )
-    joined = df.join(F.broadcast(table.withColumnRenamed("epoch", epoch)), epoch, "left")
-    return joined.withColumn("stage_matches", F.coalesce("stage_matches", F.lit(0)))
-
-
-def stage_for_epoch(stages: Sequence[Mapping], epoch: int) -> Mapping:
-    """The one stage that holds an epoch."""
-    found = [s for s in stages if int(s["epoch_start"]) <= epoch <= int(s["epoch_end"])]
-    if len(found) != 1:
-        raise ValueError(f"Epoch {epoch} belongs to {len(found)} stages")
-    return found[0]
+    """Attach the stage of each row's epoch; both fields are null unless ``stage_matches`` is 1."""
+    found = df.withColumn("_stages", stages_at(F.col(epoch), stages))
+    found = found.withColumn("stage_matches", F.size("_stages").cast("bigint"))
+    only = F.when(F.col("stage_matches") == 1, F.get("_stages", F.lit(0)))
+    return found.withColumns({n: only[n] for n in ("stage", "hard_batch_fraction")}).drop("_stages")
 
 
 def latest_before(epoch: Column, refresh: Sequence[int]) -> Column:
@@ -58,11 +39,10 @@ def latest_before(epoch: Column, refresh: Sequence[int]) -> Column:
     return F.array_max(F.filter(listed, lambda r: r < epoch))
 
 
-def hard_source_epoch(epoch: int, refresh: Sequence[int]) -> int:
-    earlier = [int(r) for r in refresh if int(r) < int(epoch)]
-    if not earlier:
-        raise ValueError(f"Epoch {epoch} has no earlier refresh")
-    return max(earlier)
+def plan_lookup(spark: SparkSession, epoch: int, stages: Sequence[Mapping], refresh: Sequence[int]) -> Row:
+    """What a planner needs of one epoch: stage, hard fraction, number of stages that hold it, pool epoch."""
+    one = spark.range(1).select(F.lit(int(epoch)).cast("bigint").alias("epoch"))
+    return with_stage(one, stages).withColumn("source_epoch", latest_before(F.col("epoch"), refresh)).first()
 
 
 def validation_due(epoch: Column, interval: int) -> Column:

@@ -5,6 +5,8 @@ Queries carry ``query_id, fov_deg, positive_id, direction, valid``; gallery rows
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,7 +17,7 @@ from ringmatch.functions import kernels as K
 from ringmatch.functions.crops import int_div
 from ringmatch.operators.cells import Grid, grid_for, replicate_gallery, replicate_queries, run_cells
 from ringmatch.operators.cyclic import QUERY_KEY, score_pairs
-from ringmatch.session import ship_package
+from ringmatch.session import durable, ship_package
 
 SUB_PAIRS = 1 << 20
 
@@ -34,7 +36,7 @@ def with_signature(df: DataFrame, angular_bins: int, channels: int, frequency_co
             direction = direction.reshape(-1, angular_bins, channels)
             if valid:
                 direction = direction * K.list_matrix(batch.column(valid), angular_bins)[:, :, None]
-            signature = K.low_frequency_signature(direction, frequency_count)
+            signature = K.turn_signature(direction, frequency_count)
             flat = pa.array(signature.reshape(-1))
             offsets = pa.array(np.arange(len(signature) + 1, dtype=np.int32) * signature.shape[1])
             column = pa.ListArray.from_arrays(offsets, flat)
@@ -121,7 +123,10 @@ def mine(
     width = frequency_count * channels
     signed_queries = with_signature(queries, angular_bins, channels, frequency_count, "valid")
     signed_gallery = with_signature(gallery, angular_bins, channels, frequency_count)
-    coarse = coarse_candidates(signed_queries, signed_gallery, width, coarse_keep, sizes)
+    # Written once: the rerank reads the candidates for its targets and for the tiles it needs.
+    coarse = durable(
+        coarse_candidates(signed_queries, signed_gallery, width, coarse_keep, sizes).select(*QUERY_KEY, "gallery_id")
+    )
     ranked = exact_rerank(coarse, queries, gallery, angular_bins, channels, final_keep, sizes=sizes)
     return ranked.select(
         "fov_deg",
@@ -149,6 +154,26 @@ def pool_audit(pool: DataFrame, locations: DataFrame, keep: int) -> DataFrame:
     )
 
 
+def missing_anchors(pool: DataFrame, locations: DataFrame, fovs: Sequence[int]) -> DataFrame:
+    """``fov_deg, anchor`` of locations that a pool has no rows for."""
+    listed = F.array(*[F.lit(int(f)).cast("bigint") for f in fovs])
+    expected = locations.select(F.explode(listed).alias("fov_deg"), F.col("id").alias("anchor"))
+    held = pool.select(F.col("fov_deg").cast("bigint").alias("fov_deg"), "anchor").distinct()
+    return expected.join(held, ["fov_deg", "anchor"], "left_anti")
+
+
+def pool_mismatch(pool: DataFrame, source_epoch: int, fovs: Sequence[int]) -> DataFrame:
+    """``fov_deg, rows, foreign`` of FoVs without rows, or with rows of another source epoch."""
+    listed = F.array(*[F.lit(int(f)).cast("bigint") for f in fovs])
+    expected = pool.sparkSession.range(1).select(F.explode(listed).alias("fov_deg"))
+    foreign = ~F.col("source_epoch").eqNullSafe(F.lit(int(source_epoch)))
+    held = pool.groupBy(F.col("fov_deg").cast("bigint").alias("fov_deg")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(foreign).alias("foreign")
+    )
+    joined = expected.join(held, "fov_deg", "left").fillna(0, ["rows", "foreign"])
+    return joined.filter("rows = 0 OR foreign > 0")
+
+
 def pool_violations(audit: DataFrame) -> DataFrame:
     bad = (
         ~F.col("dense")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringmatch.functions.canonical import canonical_json
-from ringmatch.operators.fingerprints import tree_depth, tree_fingerprint
+from ringmatch.operators.fingerprints import DEPTH, tree_fingerprint
 
 
 def long_metadata(df: DataFrame, artifact: str, columns: Sequence[str]) -> DataFrame:
@@ -49,10 +49,8 @@ def build_missing(
     return kept.unionByName(built)
 
 
-def table_hash(df: DataFrame, by: Sequence[str] = (), depth: int | None = None) -> DataFrame:
-    """Content hash of a table; part files and row order play no role."""
-    if depth is None:
-        depth = tree_depth(df.count())
+def table_hash(df: DataFrame, by: Sequence[str] = (), depth: int = DEPTH) -> DataFrame:
+    """Content hash of a table; part files, row order and the other groups play no role."""
     return tree_fingerprint(df, depth, by)
 
 

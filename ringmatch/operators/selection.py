@@ -13,23 +13,30 @@ from ringmatch.operators.index import blocked_previous_max
 EPOCH_BLOCK = 1 << 14
 
 
+def is_number(score: str) -> Column:
+    value = F.col(score)
+    return value.isNotNull() & ~F.isnan(value.cast("double"))
+
+
 def mark_new_best(
     scores: DataFrame, score: str, order: str = "epoch", run: str = "run", block: Column | None = None
 ) -> DataFrame:
     """Flag records that strictly beat everything earlier in their run.
 
-    A run's records are spread over blocks of consecutive epochs, so one long run is many tasks.
+    A run's records are spread over blocks of consecutive epochs, so one long run is many tasks. A null
+    or NaN score is never a best and hides none.
     """
     block = int_div(F.col(order).cast("bigint"), F.lit(EPOCH_BLOCK).cast("bigint")) if block is None else block
-    marked = blocked_previous_max(scores, score, [order], block, [run], name="previous_best")
-    better = F.col("previous_best").isNull() | (F.col(score) > F.col("previous_best"))
-    return marked.withColumn("new_best", better)
+    usable = scores.withColumn("_usable", F.when(is_number(score), F.col(score)))
+    marked = blocked_previous_max(usable, "_usable", [order], block, [run], name="previous_best")
+    better = F.col("previous_best").isNull() | (F.col("_usable") > F.col("previous_best"))
+    return marked.withColumn("new_best", F.col("_usable").isNotNull() & better).drop("_usable")
 
 
 def best_records(scores: DataFrame, score: str, order: str = "epoch", run: str = "run") -> DataFrame:
-    """Best score per run with the earliest epoch that reached it; partial aggregates, no sort."""
+    """Best score per run with the earliest epoch that reached it; null and NaN scores take no part."""
     top = F.max(F.struct(F.col(score).alias("s"), (-F.col(order)).alias("e")))
-    return scores.groupBy(run).agg(top.alias("_top")).select(
+    return scores.filter(is_number(score)).groupBy(run).agg(top.alias("_top")).select(
         run, F.col("_top.s").alias(f"best_{score}"), (-F.col("_top.e")).alias(f"best_{order}")
     )
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ringmatch.operators import assignment, batches
 from ringmatch.operators.audits import require_empty
-from ringmatch.operators.lookups import hard_source_epoch, stage_for_epoch
+from ringmatch.operators.lookups import plan_lookup
+from ringmatch.operators.mining import pool_mismatch
 from ringmatch.session import durable
 
 
@@ -60,21 +61,27 @@ def plan_epoch(
     """Plan of one epoch: ``epoch, step, position, kind, batch, fov_deg, location, source_epoch, orientation_mode``.
 
     ``locations`` holds the distinct ``location`` ids of one dataset's manifest; ``pool`` is needed
-    only when the epoch's stage asks for hard batches.
+    only when the epoch's stage asks for hard batches. A pool of another source epoch than the newest
+    earlier refresh, or one that lacks a FoV, is refused, and so is a plan that fails its audit.
     """
-    stage = stage_for_epoch(settings.stages, epoch)
+    found = plan_lookup(locations.sparkSession, epoch, settings.stages, settings.refresh)
+    if found["stage_matches"] != 1:
+        raise ValueError(f"Epoch {epoch} belongs to {found['stage_matches']} stages")
     rows = locations.count() if rows is None else rows
     steps = rows // settings.batch_rows
-    expected = settings.stage_steps.get(stage["name"], steps)
+    expected = settings.stage_steps.get(found["stage"], steps)
     if expected != steps:
-        raise ValueError(f"Stage {stage['name']} expects {expected} steps, the manifest gives {steps}")
-    hard_batches = round(steps * float(stage["hard_batch_fraction"]))
+        raise ValueError(f"Stage {found['stage']} expects {expected} steps, the manifest gives {steps}")
+    hard_batches = round(steps * found["hard_batch_fraction"])
     seed_items = (settings.seed, settings.dataset, "train", int(epoch))
-    source = hard_source_epoch(epoch, settings.refresh) if hard_batches else None
+    source = found["source_epoch"] if hard_batches else None
     used = None
     if hard_batches:
+        if source is None:
+            raise ValueError(f"No pool is older than epoch {epoch}")
         if pool is None:
             raise FileNotFoundError("Hard batches need the mined pool of every FoV")
+        require_empty(pool_mismatch(pool, source, settings.fovs), f"The pool is not that of epoch {source}")
         used = hard_rows(locations, pool, hard_batches, settings, seed_items, rows)
     normal = batches.normal_fill(
         locations, used, steps - hard_batches, settings.per_fov, settings.fovs, seed_items
@@ -92,7 +99,9 @@ def plan_epoch(
         "location",
         F.when(F.col("kind") == "hard", F.lit(source)).cast("bigint").alias("source_epoch"),
     )
-    return batches.sample_requests(plan)
+    plan = durable(batches.sample_requests(plan))
+    check_plan(plan, steps, settings)
+    return plan
 
 
 def check_plan(plan: DataFrame, steps: int, settings: PlanSettings, shards: int = 1) -> None:

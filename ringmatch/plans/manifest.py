@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringmatch.functions.paths import fill_template, numeric_id
+from ringmatch.functions.paths import fill_template, is_relative_inside, numeric_id
 from ringmatch.operators import audits
 from ringmatch.operators.audits import require_empty
 from ringmatch.operators.fingerprints import manifest_fingerprint
@@ -60,9 +60,11 @@ def publish(manifest: DataFrame, out: str, protocol: str, overwrite: bool, count
         part = frame.select(F.lit(name).alias("artifact"), F.col("split").alias("key"), F.col("n").cast("string").alias("value"))
         inventory = part if inventory is None else inventory.unionByName(part)
     write_once(inventory, paths["inventory"], overwrite)
-    prints = manifest_fingerprint(written).select(
-        F.lit("manifest_sha256").alias("artifact"), F.col("split").alias("key"), F.col("fingerprint").alias("value")
-    )
+    entries = [
+        F.struct(F.lit(name).alias("artifact"), F.col("split").alias("key"), F.col(column).alias("value"))
+        for name, column in (("manifest_sha256", "fingerprint"), ("manifest_algorithm", "algorithm"))
+    ]
+    prints = manifest_fingerprint(written).select(F.explode(F.array(*entries)).alias("e")).select("e.*")
     version = spark.range(1).select(
         F.lit("protocol_version").alias("artifact"), F.lit("*").alias("key"), F.lit(protocol).alias("value")
     )
@@ -165,6 +167,8 @@ def build_from_index(
         F.col("ordinal").cast("bigint").alias("source_mat_index"),
     )
     manifest = durable(manifest)
+    outside = ~is_relative_inside(F.col("query_path")) | ~is_relative_inside(F.col("satellite_path"))
+    require_empty(manifest.filter(outside).select("split", "query_id"), "Paths leave the root")
     require_empty(audits.missing_pairs(manifest, query_files, satellite_files), "Unapproved missing pairs")
     audit_manifest(manifest, expected_final)
     if inventory_split:

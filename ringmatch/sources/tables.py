@@ -102,7 +102,7 @@ def stems_with_extension(files: DataFrame, extension: str, column: str = "path")
 def check_manifest_columns(df: DataFrame) -> None:
     missing = [c for c in MANIFEST_COLUMNS if c not in df.columns]
     if missing:
-        raise ValueError(f"Manifest is missing columns {missing}")
+        raise ValueError(f"Not in the manifest: columns {missing}")
 
 
 def read_manifest(spark: SparkSession, path: str, root: str) -> DataFrame:
@@ -141,7 +141,7 @@ def write_once(df: DataFrame, path: str, overwrite: bool = False, partition_by:
         writer.parquet(path)
     except AnalysisException as error:
         if "PATH_ALREADY_EXISTS" in str(error):
-            raise FileExistsError(f"Refusing to overwrite existing table: {path}") from error
+            raise FileExistsError(f"{path} holds a table and overwriting was not asked for") from error
         raise
     return path
 

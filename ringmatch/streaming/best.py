@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ringmatch.operators.selection import is_number
 
 def start_best_stream(log: DataFrame, score: str, state_path: str, checkpoint: str, order: str = "epoch", run: str = "run"):
     """Keep the best record of every run up to date while the log grows.
 
     The state store holds one row per run. A micro-batch writes only the runs that changed, into a
     partition named after the batch, so a batch that is run again replaces what it wrote before.
-    The order in which records of a run arrive does not change the result.
+    The order in which records of a run arrive does not change the result; null and NaN scores take
+    no part.
     """
     top = F.max(F.struct(F.col(score).alias("s"), (-F.col(order)).alias("e")))
-    best = log.groupBy(run).agg(top.alias("_top"))
+    best = log.filter(is_number(score)).groupBy(run).agg(top.alias("_top"))
 
     def publish(changed: DataFrame, batch_id: int) -> None:
         changed.select(

@@ -152,7 +152,7 @@ def test_paths_stay_below_the_root(spark, tmp_path):
     with pytest.raises(Exception, match="below the root"):
         tables.read_manifest(spark, str(tmp_path / "m"), "/root").collect()
     tables.write_once(row.drop("query_id"), str(tmp_path / "n"))
-    with pytest.raises(ValueError, match="missing columns"):
+    with pytest.raises(ValueError, match="Not in the manifest"):
         tables.read_manifest(spark, str(tmp_path / "n"), "/root")
     df = spark.createDataFrame([("/r/data/a.jpg",)], "p string")
     assert tables.relative_to_root(df, "p", "/r").first().p == "data/a.jpg"
@@ -176,26 +176,31 @@ def test_fingerprint_is_the_canonical_hash_whatever_the_row_order(spark):
     records = sorted((dict(zip(tables.MANIFEST_COLUMNS, r)) for r in rows), key=lambda r: (r["query_id"], r["satellite_id"]))
     want = sha([{n: r[n] for n in names} for r in records])
     for parts in (1, 4, 16):
-        got = fingerprints.manifest_fingerprint(frame.repartition(parts)).first()
+        got = fingerprints.manifest_fingerprint(frame.repartition(parts), form=fingerprints.EXACT).first()
         assert (got.fingerprint, got.rows, got.algorithm) == (want, 50, fingerprints.EXACT)
 
 
-def test_tree_fingerprint_takes_over_above_the_bound(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "EXACT_MAX_ROWS", 10)
-    rows = [("pano", "val", f"q{i}", "g", f"q{i}", "t", "s", i) for i in range(3000)]
-    frame = spark.createDataFrame(rows, tables.MANIFEST_SCHEMA)
-    roots = {fingerprints.manifest_fingerprint(frame.repartition(p)).first().fingerprint for p in (1, 7)}
-    got = fingerprints.manifest_fingerprint(frame).first()
-    assert roots == {got.fingerprint} and got.algorithm == fingerprints.TREE and got.rows == 3000
-    changed = frame.withColumn("query_path", F.when(F.col("query_id") == "q7", "h").otherwise(F.col("query_path")))
-    assert fingerprints.manifest_fingerprint(changed).first().fingerprint != got.fingerprint
+def test_tree_fingerprint_depends_on_its_own_group_only(spark):
+    def frame(train):
+        rows = [("pano", s, f"q{i}", "g", f"q{i}", "t", "s", i) for s, n in (("val", 10), ("train", train)) for i in range(n)]
+        return spark.createDataFrame(rows, tables.MANIFEST_SCHEMA)
+
+    prints = [
+        {r.split: (r.fingerprint, r.rows, r.algorithm) for r in fingerprints.manifest_fingerprint(frame(n).repartition(p)).collect()}
+        for n, p in ((900, 1), (1_100, 7), (4_000, 3))
+    ]
+    assert len({p["val"] for p in prints}) == 1 and len({p["train"] for p in prints}) == 3
+    assert prints[0]["val"][1:] == (10, "sha256_tree_4")
+    changed = frame(900).withColumn("query_path", F.when(F.col("query_id") == "q7", "h").otherwise(F.col("query_path")))
+    assert fingerprints.manifest_fingerprint(changed).filter("split = 'val'").first().fingerprint != prints[0]["val"][0]
+    with pytest.raises(ValueError):
+        fingerprints.algorithm("md5")
 
 
 def test_tree_counts_copies_without_gathering_them(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"))
     a, b = (provenance.table_hash(x, depth=3).first() for x in (df, df.union(df.limit(1))))
     assert a.rows == 1000 and b.rows == 1001 and a.fingerprint != b.fingerprint
-    assert fingerprints.tree_depth(10) == 1 and fingerprints.tree_depth(10**9) >= 5
 
 
 def test_schedule_hash_is_the_canonical_hash(spark):
@@ -209,7 +214,9 @@ def test_schedule_hash_is_the_canonical_hash(spark):
             "roll_angles_deg": {"90": [r[3] for r in rows], "360": [r[4] for r in rows]},
         }
     )
-    assert fingerprints.schedule_fingerprint(frame.repartition(5), "val", (360, 90)).first().fingerprint == want
+    assert fingerprints.schedule_fingerprint(frame.repartition(5), "val", (360, 90), fingerprints.EXACT).first().fingerprint == want
+    other = fingerprints.schedule_fingerprint(frame, "val", (360, 90)).first()
+    assert other.algorithm == "sha256_tree_4" and other.fingerprint != want
 
 
 def test_canonical_json(spark):

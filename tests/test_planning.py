@@ -84,7 +84,8 @@ def plan_inputs(spark):
     names = [f"l{i:03d}" for i in range(170)]
     locations = spark.createDataFrame([(n,) for n in names], "location string")
     rows = [(f, a, r, n) for f in (360, 180, 90, 70) for a in names for r, n in enumerate(rng.sample([x for x in names if x != a], 8), 1)]
-    return locations, spark.createDataFrame(rows, "fov_deg bigint, anchor string, rank int, negative string")
+    pool = spark.createDataFrame(rows, "fov_deg bigint, anchor string, rank int, negative string")
+    return locations, pool.withColumn("source_epoch", F.lit(16).cast("bigint"))
 
 
 @pytest.mark.parametrize("epoch,hard", [(3, 0), (17, 2)])
@@ -129,8 +130,16 @@ def test_epochs_and_geometry_are_checked(spark, settings, plan_inputs):
     wrong = PlanSettings(stages=STAGES, refresh=(8,), per_fov=4, stage_steps={"a": 11})
     with pytest.raises(ValueError, match="expects 11 steps"):
         plan_epoch(locations, 1, wrong)
-    with pytest.raises(ValueError, match="no earlier refresh"):
-        lookups.hard_source_epoch(8, (8, 16))
+    early = PlanSettings(stages=[{**STAGES[0], "hard_batch_fraction": 0.5}], refresh=(8,), per_fov=4)
+    with pytest.raises(ValueError, match="No pool"):
+        plan_epoch(locations, 8, early)
+
+
+def test_foreign_pools_are_refused(spark, settings, plan_inputs):
+    locations, pool = plan_inputs
+    for foreign in (pool.filter("fov_deg <> 90"), pool.withColumn("source_epoch", F.lit(8).cast("bigint"))):
+        with pytest.raises(Exception, match="not that of epoch 16"):
+            plan_epoch(locations, 17, settings, foreign)
 
 
 def test_lookups(spark):
@@ -141,7 +150,7 @@ def test_lookups(spark):
         assert r.stage_matches == (1 if 1 <= r.epoch <= 20 else 0)
         assert r.src == (None if r.epoch <= 8 else 8 if r.epoch <= 16 else 16)
     twice = [*STAGES, {"name": "c", "epoch_start": 5, "epoch_end": 6, "hard_batch_fraction": 0.0}]
-    assert lookups.with_stage(df, twice).filter("stage_matches = 2").count() == 2
+    assert lookups.with_stage(df, twice).filter("stage_matches = 2 AND stage IS NULL").count() == 2
 
 
 @pytest.mark.parametrize("rows,shards", [(10, 3), (7, 7), (5, 8), (1000, 6)])
@@ -162,7 +171,7 @@ def test_shuffle_is_a_permutation_in_seed_order(spark):
 def test_lexical_rank(spark):
     names = [hashlib.md5(str(i).encode()).hexdigest()[:8] for i in range(3000)] + ["é", "Z", "a b"]
     df = spark.createDataFrame([(n,) for n in names], "n string").repartition(5)
-    got = {r.n: r.lexical_rank for r in index.lexical_rank(df, "n", blocks=16).collect()}
+    got = {r.n: r.lexical_rank for r in index.lexical_rank(df, "n", block_rows=100).collect()}
     assert [n for n, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(names)
 
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ringmatch.operators import recall, selection
-from ringmatch.plans.selection import select_best
+from ringmatch.plans.selection import incomplete_validations, select_best
 from ringmatch.sources import logs
 from ringmatch.streaming import best
 
@@ -15,10 +15,11 @@ def ranks(spark, values):
 
 
 def test_one_percent_follows_the_configured_rounding(spark):
-    low = recall.recall_table(ranks(spark, [88, 89, 90]), 8884, rounding="floor").first()
-    high = recall.recall_table(ranks(spark, [88, 89, 90]), 8884).first()
-    assert (low.threshold_floor, low.threshold_ceil) == (88, 89)
-    assert low.recall_1pct == pytest.approx(1 / 3) and high.recall_1pct == pytest.approx(2 / 3)
+    placed = [1, 12, 13, 14, 700]
+    low = recall.recall_table(ranks(spark, placed), 1250, rounding="floor").first()
+    high = recall.recall_table(ranks(spark, placed), 1250).first()
+    assert (low.threshold_floor, low.threshold_ceil) == (12, 13)
+    assert low.recall_1pct == pytest.approx(0.4) and high.recall_1pct == pytest.approx(0.6)
     assert recall.one_percent_thresholds(7) == (1, 1)
     with pytest.raises(ValueError):
         recall.recall_table(ranks(spark, [1]), 10, rounding="round")
@@ -39,13 +40,27 @@ def same(value):
 
 def test_best_keeps_the_earliest_tie_and_needs_every_fov(spark, tmp_path):
     path = str(tmp_path / "log")
-    logs.append_log(validation(spark, [("a", 8, dict(zip(FOVS, (0.8, 0.7, 0.6, 0.5)))), ("b", 8, same(0.5))]), path)
-    logs.append_log(validation(spark, [("a", 16, dict(zip(FOVS, (0.8, 0.7, 0.6, 0.5)))), ("b", 16, same(0.6))]), path)
-    logs.append_log(validation(spark, [("b", 24, {360: 1.0, 180: 1.0}), ("a", 24, same(float("nan")))]), path)
-    steps = spark.createDataFrame([("a", 8, "train_step", 0.1)], "run string, epoch bigint, record_type string, loss double")
+    tied = dict(zip(FOVS, (0.31, 0.77, 0.12, 0.4)))
+    logs.append_log(validation(spark, [("a", 3, tied), ("b", 3, same(0.21))]), path)
+    logs.append_log(validation(spark, [("a", 5, dict(reversed(tied.items()))), ("b", 5, same(0.93)), ("b", 7, same(0.2))]), path)
+    steps = spark.createDataFrame([("a", 3, "train_step", 0.1)], "run string, epoch bigint, record_type string, loss double")
     logs.append_log(steps, path)
-    got = {r.run: (r.best_epoch, r.best_macro_recall) for r in select_best(spark, path, FOVS).collect()}
-    assert got["a"] == (8, pytest.approx(0.65)) and got["b"] == (16, pytest.approx(0.6))
+    want = {"a": (3, pytest.approx(0.4)), "b": (5, pytest.approx(0.93))}
+    assert {r.run: (r.best_epoch, r.best_macro_recall) for r in select_best(spark, path, FOVS).collect()} == want
+    logs.append_log(validation(spark, [("b", 9, {360: 1.0, 180: 1.0}), ("a", 9, same(float("nan")))]), path)
+    with pytest.raises(Exception, match="not complete"):
+        select_best(spark, path, FOVS)
+    assert {(r.run, r.epoch) for r in incomplete_validations(spark, path, FOVS).collect()} == {("a", 9), ("b", 9)}
+    left = select_best(spark, path, FOVS, skip_incomplete=True)
+    assert {r.run: (r.best_epoch, r.best_macro_recall) for r in left.collect()} == want
+
+
+def test_unusable_scores_are_never_best(spark):
+    rows = [("a", 1, 0.5), ("a", 2, float("nan")), ("a", 3, 0.9), ("a", 4, None), ("b", 1, float("nan"))]
+    frame = spark.createDataFrame(rows, "run string, epoch bigint, score double")
+    flags = {(r.run, r.epoch): r.new_best for r in selection.mark_new_best(frame, "score").collect()}
+    assert flags == {("a", 1): True, ("a", 2): False, ("a", 3): True, ("a", 4): False, ("b", 1): False}
+    assert [tuple(r) for r in selection.best_records(frame, "score").collect()] == [("a", 0.9, 3)]
 
 
 def test_new_best_flags(spark):
