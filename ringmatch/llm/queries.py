@@ -63,8 +63,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as digests."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    encoded = word_table.encode_documents(read_table(spark, sf_dir, "documents"), path)
-    return word_table.digests(word_table.decode_ids(encoded, path))
+    return word_table.digests(word_table.encode_documents(read_table(spark, sf_dir, "documents"), path, decode=True))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +88,40 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+def _spans_sql() -> str:
+    """Spans per kind: the text between matches and the matches give the places."""
+    either = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+    assign = rf"""({either})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = (("assign", assign, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]{24,}", 0, 24))
+    parts = []
+    for place, (name, pattern, group, least) in enumerate(kinds):
+        quoted = pattern.replace("'", "''")
+        parts.append(
+            f"""SELECT doc_id, {place} AS place, '{name}' AS kind, unnest(generate_series(1, len(whole))) AS i, gaps, whole, held,
+            {least} AS least FROM (SELECT doc_id, string_split_regex(t, '{quoted}') AS gaps, regexp_extract_all(t, '{quoted}') AS whole,
+            regexp_extract_all(t, '{quoted}', {group}) AS held FROM d WHERE regexp_matches(t, '{quoted}'))"""
+        )
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({" UNION ALL ".join(parts)}),
+    s AS (SELECT doc_id, place, kind, list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+            + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS start, length(whole[i]) AS size
+          FROM m WHERE length(held[i]) >= least),
+    g AS (SELECT doc_id, count(*) FILTER (WHERE place = 0) AS n_assign, count(*) FILTER (WHERE place = 1) AS n_access,
+            count(*) FILTER (WHERE place = 2) AS n_hex,
+            string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT), ',' ORDER BY start, place) AS spans
+          FROM s GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_secret_scan": _spans_sql(),
+    "op4_spherical_caps": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    u AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS n FROM v),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id
+              WHERE list_inner_product(a.x, b.x) / (a.n * b.n) >= 0.9),
+    reach AS (SELECT vec_id AS a, vec_id AS r FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.r),
+    roots AS (SELECT a AS vec_id, min(r) AS component_id FROM reach GROUP BY a),
+    degrees AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM roots LEFT JOIN degrees USING (vec_id)""",
+}

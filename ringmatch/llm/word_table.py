@@ -154,10 +154,13 @@ def _split(docs: DataFrame, table, whole: list[str]) -> DataFrame:
     return rows.mapInPandas(split, "doc_id long, print long, numbers binary, rare array<string>")
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
+def encode_documents(
+    docs: DataFrame, tokenizer_path: str, frequent_words: int = FREQUENT_WORDS, decode: bool = False
+) -> DataFrame:
     """``doc_id, ids`` of every whole text, ids as bytes (unsigned 32 bit, little endian).
 
-    The tokenizer must drop white space between words and have no decoder (else ``ValueError``).
+    With ``decode`` also ``decoded``, the text of those ids as :func:`decode_ids` gives it, from the same
+    pass. The tokenizer must drop white space between words and have no decoder (else ``ValueError``).
     Texts that hold a special string of the tokenizer are one word. A null or blank text has no
     ids. Rows map one to one, repeated rows and null ids too; no documents give no rows.
     """
@@ -188,6 +191,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, frequent_words: int =
         per_text, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("print") == F.col("__print")), "left"
     )
 
+    pieces = spark.sparkContext.broadcast(piece_table(text) if decode else [])
+
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_number = table.value[1]
         for batch in batches:
@@ -200,10 +205,23 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, frequent_words: int =
                 by_place = {g["at"]: g["ids"] for g in gaps}
                 rare = iter([by_place[k] for k in range(len(by_place))])
                 out.append(b"".join([next(rare) if k == GAP else by_number[k] for k in at.tolist()]))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": out})
+            made = {"doc_id": batch["doc_id"].astype("Int64"), "ids": out}
+            if decode:
+                made["decoded"] = [_decoded(ids, pieces.value) for ids in out]
+            yield pd.DataFrame(made)
 
     kept = joined.select("doc_id", "numbers", "gaps")
-    return kept.mapInPandas(assemble, "doc_id long, ids binary")
+    return kept.mapInPandas(assemble, "doc_id long, ids binary" + ", decoded string" * decode)
+
+
+def piece_table(tokenizer_text: str) -> list[str]:
+    """The piece of every id; its size is that of the vocabulary."""
+    made = words.load(tokenizer_text)
+    return [made.id_to_token(k) for k in range(max(made.get_vocab(with_added_tokens=True).values()) + 1)]
+
+
+def _decoded(ids: bytes, pieces: list[str]) -> str:
+    return " ".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decode_ids(encoded_docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -216,15 +234,11 @@ def decode_ids(encoded_docs: DataFrame, tokenizer_path: str) -> DataFrame:
         text = file.read()
     if json.loads(text).get("decoder"):
         raise ValueError("Pieces are joined by spaces only where the tokenizer has no decoder")
-    made = words.load(text)
-    pieces = encoded_docs.sparkSession.sparkContext.broadcast(
-        [made.id_to_token(k) for k in range(max(made.get_vocab(with_added_tokens=True).values()) + 1)]
-    )
+    pieces = encoded_docs.sparkSession.sparkContext.broadcast(piece_table(text))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        piece = pieces.value.__getitem__
         for batch in batches:
-            decoded = [" ".join(map(piece, np.frombuffer(ids, "<u4").tolist())) for ids in batch["ids"]]
+            decoded = [_decoded(ids, pieces.value) for ids in batch["ids"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": batch["ids"], "decoded": decoded})
 
     return encoded_docs.select("doc_id", "ids").mapInPandas(decode, "doc_id long, ids binary, decoded string")

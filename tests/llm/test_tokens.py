@@ -126,8 +126,9 @@ def test_encode_and_decode_equal_the_library(docs, frequent):
         digest = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         want.append((doc_id, len(ids), digest, hashlib.sha256(decoded.encode()).hexdigest()))
     encoded = word_table.encode_documents(docs, WORD, frequent)
-    got = word_table.digests(word_table.decode_ids(encoded, WORD))
-    assert rows_of(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
+    together = word_table.encode_documents(docs, WORD, frequent, decode=True)
+    for got in (word_table.digests(word_table.decode_ids(encoded, WORD)), word_table.digests(together)):
+        assert rows_of(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
 
 
 def test_word_table_refuses_other_tokenizers(docs):
