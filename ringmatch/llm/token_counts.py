@@ -32,6 +32,8 @@ def _sampled_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(counts) > 4 * FREQUENT_WORDS:
                 counts = Counter(dict(counts.most_common(2 * FREQUENT_WORDS)))
     top = counts.most_common(FREQUENT_WORDS)
+    if not top:
+        return
     yield pd.DataFrame({"word": [w for w, _ in top], "n": [n for _, n in top]})
 
 

@@ -1,10 +1,12 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Tasks split the texts into words and Spark counts the distinct ones; each is encoded once. Frequent words
-(a bounded number) reach the texts by broadcast, all others by an equi-join on the word, so no
-frequent word makes a hot key and no word table has to fit in memory. A document travels as the
-numbers of its frequent words; the joined ids fill its gaps by position. Ids become text through the
-tokenizer's id-to-piece table, whose size is that of the vocabulary.
+Tasks split texts into words. The table of distinct words has two tiers. Frequent words (a bounded
+number, learned from a bounded sample of documents) are encoded once and reach the texts by
+broadcast, so no frequent word makes a hot key. All other words are dealt out by the word, so that
+equal ones meet, each distinct word is encoded once where it meets, and its ids go back to the
+documents by position. A document travels as the numbers of its frequent words, with gaps that the
+joined ids fill. Which words are frequent changes the speed, never the result. Ids become text through
+the tokenizer's id-to-piece table, whose size is that of the vocabulary.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from pyspark.sql import functions as F
 from ringmatch.llm import words
 from ringmatch.llm.common import ship_package, texts_of, written
 
-#: Words in the broadcast table at most, and characters in one of them: at most some 30 MB.
+#: Words in the broadcast table at most, and characters in one of them: at most some 30 MB of words.
 FREQUENT_WORDS = 1 << 18
 LONGEST_FREQUENT = 64
+#: Documents in the sample from which the frequent words are taken (expected number).
+SAMPLE_DOCUMENTS = 20_000
 #: Distinct pieces that a task holds while it counts.
 HELD_WORDS = 500_000
 #: Marks that end a word.
@@ -45,7 +49,7 @@ def closing_mark(piece: str) -> bool:
 
 
 def distinct_words(docs: DataFrame, whole: list[str]) -> DataFrame:
-    """``word, n`` over all texts; tasks count what they read (a bounded number of words at a time) first."""
+    """``word, n`` over the texts; tasks count what they read (a bounded number of words at a time) first."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -62,7 +66,8 @@ def distinct_words(docs: DataFrame, whole: list[str]) -> DataFrame:
                         else:
                             words[piece] += n
                     pieces.clear()
-                    yield pd.DataFrame({"word": list(words), "n": list(words.values())})
+                    if words:
+                        yield pd.DataFrame({"word": list(words), "n": list(words.values())})
 
     rows = texts_of(docs).mapInPandas(count, "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
@@ -80,18 +85,44 @@ def frequent_from(counted: DataFrame, most: int) -> int:
     return least
 
 
-def encoded(counted: DataFrame, tokenizer) -> DataFrame:
-    """``word, ids`` (unsigned 32 bit, little endian); each word is encoded once."""
+def _id_bytes(ids: list[int], narrow: bool) -> bytes:
+    return np.asarray(ids, "<u2" if narrow else "<u4").tobytes()
+
+
+def encode_words(tokenizer, distinct: list[str], narrow: bool) -> list[bytes]:
+    """Ids of every word as bytes, two or four for each id."""
+    found = tokenizer.encode_batch_fast(distinct, add_special_tokens=False)
+    return [_id_bytes(e.ids, narrow) for e in found]
+
+
+def frequent_table(docs: DataFrame, whole: list[str], tokenizer_text: str, most: int, narrow: bool) -> tuple:
+    """Words and their ids, the most frequent of a bounded sample first; at most ``most`` of them."""
+    total = docs.count()
+    share = min(1.0, SAMPLE_DOCUMENTS / max(total, 1))
+    picked = docs.where(F.pmod(F.xxhash64(F.lit("word sample"), F.col("doc_id")), F.lit(1 << 30)) < share * (1 << 30))
+    counted = written(distinct_words(picked, whole), "words")
+    often = (F.col("n") >= frequent_from(counted, most)) & (F.char_length("word") <= LONGEST_FREQUENT)
+    order = [r["word"] for r in counted.where(often).orderBy(F.desc("n"), "word").toLocalIterator()]
+    return order, encode_words(words.load(tokenizer_text), order, narrow)
+
+
+def rare_ids(gaps: DataFrame, tokenizer, narrow: bool) -> DataFrame:
+    """``doc_id, print, at, ids`` for rows ``doc_id, print, at, word``: equal words meet and are encoded once."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made = words.load(tokenizer.value)
+        known: dict[str, bytes] = {}
         for batch in batches:
-            for s in range(0, len(batch), 2_000):
-                part = batch["word"].iloc[s : s + 2_000].tolist()
-                ids = [np.asarray(e.ids, "<u4").tobytes() for e in made.encode_batch_fast(part, add_special_tokens=False)]
-                yield pd.DataFrame({"word": part, "ids": ids})
+            distinct = [w for w in batch["word"].unique() if w not in known]
+            last = batch["word"].iloc[-1] if len(batch) else None
+            known.update(zip(distinct, encode_words(made, distinct, narrow)))
+            batch["ids"] = [known[w] for w in batch["word"]]
+            known = {last: known[last]} if last is not None else {}  # sorted: only the last word can go on
+            batch["doc_id"] = batch["doc_id"].astype("Int64")
+            yield batch[["doc_id", "print", "at", "ids"]]
 
-    return counted.select("word").mapInPandas(encode, "word string, ids binary")
+    met = gaps.repartition(F.col("word")).sortWithinPartitions("word")
+    return met.mapInPandas(encode, "doc_id long, print long, at int, ids binary")
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -173,18 +204,13 @@ def encode_documents(
     tokenizer = spark.sparkContext.broadcast(text)
     whole = [*words.SEPARATORS, *words.special_strings(text)]
 
-    counted = written(distinct_words(docs, whole), "words")
-    least = frequent_from(counted, frequent_words)
-    often = (F.col("n") >= least) & (F.char_length("word") <= LONGEST_FREQUENT)
-    # At most frequent_words rows reach the driver; frequent words get small numbers, which pack well.
-    ids_of = {r["word"]: bytes(r["ids"]) for r in encoded(counted.where(often), tokenizer).toLocalIterator()}
-    order = [r["word"] for r in counted.where(often).orderBy(F.desc("n"), "word").toLocalIterator()]
-    table = spark.sparkContext.broadcast((order, [ids_of[w] for w in order]))
+    narrow = len(piece_table(text)) <= 1 << 16
+    table = spark.sparkContext.broadcast(frequent_table(docs, whole, text, frequent_words, narrow))
 
     # A row is named by its id and its text: equal rows then get equal gaps filled, whichever is which.
     split = _split(docs, table, whole)
     gaps = split.where(F.size("rare") > 0).select("doc_id", "print", F.posexplode("rare").alias("at", "word"))
-    filled = gaps.join(encoded(counted.where(~often), tokenizer), "word")
+    filled = rare_ids(gaps, tokenizer, narrow)
     per_text = filled.groupBy("doc_id", "print").agg(F.collect_list(F.struct("at", "ids")).alias("gaps"))
     per_text = per_text.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), "gaps")
     joined = split.select("doc_id", "print", "numbers").join(
@@ -205,6 +231,8 @@ def encode_documents(
                 by_place = {g["at"]: g["ids"] for g in gaps}
                 rare = iter([by_place[k] for k in range(len(by_place))])
                 out.append(b"".join([next(rare) if k == GAP else by_number[k] for k in at.tolist()]))
+            if narrow:
+                out = [np.frombuffer(ids, "<u2").astype("<u4").tobytes() for ids in out]
             made = {"doc_id": batch["doc_id"].astype("Int64"), "ids": out}
             if decode:
                 made["decoded"] = [_decoded(ids, pieces.value) for ids in out]

@@ -113,7 +113,7 @@ def test_packing_is_tight(spark):
     rows = [(k, prose(k, 40 + 13 * (k % 71))) for k in range(600)]
     packed = packing.pack_documents(documents(spark, rows), BYTE).cache()
     total = sum(r["length"] for r in packed.collect())
-    assert packed.select("sequence_id").distinct().count() <= -(-total // 2048) + 2
+    assert packed.select("sequence_id").distinct().count() <= 1.04 * total / 2048 + 2
 
 
 @pytest.mark.parametrize("frequent", [0, 3, 10_000])
