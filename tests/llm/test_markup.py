@@ -17,7 +17,7 @@ CASES = {
     "<ul><li>a<li>b<ul><li>c</ul><li>d</ul>": "- a\n- b\n  - c\n- d",
     "<ol start=9><li>a</li><li>b</li></ol>x": "9. a\n10. b\n\nx",
     "<table><tr><th>k<th>v<tr><td>long key<td>1</table>": "k         v\nlong key  1",
-    "<table><td>a<td>b<tr><td><table><td>c<td>d</table><td>e</table>": "a     b\nc  d  e",
+    "<table><td>a<td>b<tr><td><table><td>c<td>d</table><td>e</table>": "a    b\nc d  e",
     "<p hidden>no</p><p style='color:red; display : none'>no</p><p aria-hidden=true>yes": "yes",
     "<script>if (a<b) '</p>'</script><style>p{}</style><title>t</title><!-- c --><noscript>n</noscript>x": "x",
     "<pre> a\n  b</pre>c": " a\n  b\n\nc",
