@@ -174,7 +174,8 @@ def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = []
         for text in batch["text"]:
             shingles = shingle_set(text)
-            least = _mixed(shingles[:, None] * factor[None, :] + shift[None, :]).min(axis=0).reshape(BANDS, ROWS)
+            # The shingle hashes are mixed already, so one multiplication and one addition order them anew.
+            least = (shingles[:, None] * factor[None, :] + shift[None, :]).min(axis=0).reshape(BANDS, ROWS)
             key = np.arange(BANDS, dtype=np.uint64)
             for row in range(ROWS):
                 key = _mixed(key * np.uint64(_BASE) + least[:, row])
@@ -234,7 +235,14 @@ def similar_paragraphs(distinct: DataFrame, similarity: float = SIMILARITY) -> D
     """``a, b``: spanning links between distinct paragraphs (``line, text``) that are similar enough."""
     keys = distinct.select("line", "text").mapInPandas(_bands, "line long, keys array<long>")
     keys = written(keys.select("line", F.explode("keys").alias("key")), "bands")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    # Paragraphs that meet in one band mostly meet in others too: of buckets with the same members (equal
+    # count and two equal 64-bit member hashes) one is verified.
+    sizes = keys.groupBy("key").agg(
+        F.count("*").alias("held"),
+        F.bit_xor(F.xxhash64("line")).alias("one"),
+        F.bit_xor(F.xxhash64(F.lit("two"), F.col("line"))).alias("two"),
+    )
+    sizes = sizes.where("held > 1").groupBy("held", "one", "two").agg(F.min("key").alias("key"))
     sizes = sizes.select(F.col("key").alias("__key"), F.ceil(F.col("held") / BLOCK).cast("int").alias("parts"))
     placed = keys.join(sizes, F.col("key") == F.col("__key")).withColumn(
         "block", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int")
@@ -242,8 +250,6 @@ def similar_paragraphs(distinct: DataFrame, similarity: float = SIMILARITY) -> D
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "line", "key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
-    # A paragraph that meets the same partners in several bands needs to be sent once: groups with equal
-    # members are rare to tell apart cheaply, so each band is verified on its own.
     full = met.join(distinct.select("line", "text"), "line")
     dealt = full.withColumn("group", F.concat_ws(":", "key", "low", "high"))
     dealt = dealt.repartition(F.col("group")).sortWithinPartitions("group", "line")
