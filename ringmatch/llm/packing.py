@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +54,9 @@ def _ids_of_text(tokenizer_text: str):
 
     key = hash(tokenizer_text)
     if key not in _ENCODERS:
-        _ENCODERS[key] = (_after_space(encode), words.Words(encode, 50_000))
+        fast = words.rank_encoder(tokenizer_text)
+        word = encode if fast is None else lambda w: array("I", fast(w)).tobytes()
+        _ENCODERS[key] = (_after_space(word), words.Words(word, 50_000))
     spaced, first = _ENCODERS[key]
     step = json.loads(tokenizer_text).get("pre_tokenizer") or {}
     by_words = step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space")
