@@ -86,8 +86,15 @@ def window_starts(hashes: np.ndarray, window: int, spread: int, gram: int = GRAM
     if n < spread:
         chosen = np.array([int(grams.argmin())])
     else:
-        views = np.lib.stride_tricks.sliding_window_view(grams, spread)
-        chosen = np.unique(views.argmin(axis=1) + np.arange(len(views)))
+        # Least gram and its place in runs of 1, 2, 4, ... up to ``spread`` neighbours; ties: the first.
+        place, span = np.arange(n), 1
+        while span < spread:
+            step = min(span, spread - span)
+            left = grams[:-step] <= grams[step:]
+            grams = np.where(left, grams[:-step], grams[step:])
+            place = np.where(left, place[:-step], place[step:])
+            span += step
+        chosen = place[np.concatenate([[True], place[1:] != place[:-1]])]
     return chosen[chosen + window <= len(hashes)]
 
 
