@@ -34,6 +34,7 @@ HELD_WORDS = 500_000
 #: Marks that end a word.
 MARKS = frozenset(".,;:!?")
 GAP = 0xFFFFFFFF
+NO_ID = 1 << 33
 
 
 def plain(text: str, whole: list[str]) -> list[str]:
@@ -142,7 +143,22 @@ def _unpacked(data: bytes) -> np.ndarray:
 _NUMBERS: dict[str, dict[str, int]] = {}
 
 
-def _split(docs: DataFrame, table, whole: list[str]) -> DataFrame:
+def _named(docs: DataFrame) -> DataFrame:
+    """``doc_id, print, text`` such that the first two name a text; ids are not null.
+
+    Where every id occurs once, ``print`` is 0, which costs nothing on the way; else it tells texts under
+    one id apart, and null ids are 0 with ``NO_ID`` added to it.
+    """
+    texts = texts_of(docs)
+    counts = texts.groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if counts.isEmpty():
+        return texts.select("doc_id", F.lit(0).cast("long").alias("print"), "text")
+    no_id = F.when(F.col("doc_id").isNull(), F.lit(NO_ID)).otherwise(F.lit(0))
+    mark = F.crc32(F.col("text").cast("binary")) + no_id
+    return texts.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), mark.alias("print"), "text")
+
+
+def _split(texts: DataFrame, table, whole: list[str]) -> DataFrame:
     """``doc_id, print, numbers, rare``: a text as numbers of frequent words, and the words between them."""
     name = uuid.uuid4().hex
 
@@ -180,9 +196,7 @@ def _split(docs: DataFrame, table, whole: list[str]) -> DataFrame:
                 {"doc_id": batch["doc_id"].astype("Int64"), "print": batch["print"], "numbers": numbers, "rare": rare}
             )
 
-    # Enough to tell texts under one id apart; short, because it travels with every rare word.
-    rows = texts_of(docs, F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("print"))
-    return rows.mapInPandas(split, "doc_id long, print long, numbers binary, rare array<string>")
+    return texts.mapInPandas(split, "doc_id long, print long, numbers binary, rare array<string>")
 
 
 def encode_documents(
@@ -208,15 +222,12 @@ def encode_documents(
     table = spark.sparkContext.broadcast(frequent_table(docs, whole, text, frequent_words, narrow))
 
     # A row is named by its id and its text: equal rows then get equal gaps filled, whichever is which.
-    split = _split(docs, table, whole)
+    split = _split(_named(docs), table, whole)
     gaps = split.where(F.size("rare") > 0).select("doc_id", "print", F.posexplode("rare").alias("at", "word"))
     filled = rare_ids(gaps, tokenizer, narrow)
     per_text = filled.groupBy("doc_id", "print").agg(F.collect_list(F.struct("at", "ids")).alias("gaps"))
-    per_text = per_text.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), "gaps")
-    joined = split.select("doc_id", "print", "numbers").join(
-        per_text, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("print") == F.col("__print")), "left"
-    )
-
+    joined = split.select("doc_id", "print", "numbers").join(per_text, ["doc_id", "print"], "left")
+    own = F.when(F.col("print") < NO_ID, F.col("doc_id")).alias("doc_id")
     pieces = spark.sparkContext.broadcast(piece_table(text) if decode else [])
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,7 +249,7 @@ def encode_documents(
                 made["decoded"] = [_decoded(ids, pieces.value) for ids in out]
             yield pd.DataFrame(made)
 
-    kept = joined.select("doc_id", "numbers", "gaps")
+    kept = joined.select(own, "numbers", "gaps")
     return kept.mapInPandas(assemble, "doc_id long, ids binary" + ", decoded string" * decode)
 
 
