@@ -173,20 +173,43 @@ def shingle_set(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(_mixed(out))
 
 
+def _least_hashes(texts: list[str], factor: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """``[texts, factors]``: the least hash of each text's shingles under every factor, many texts in one go."""
+    hashes, starts, _ = word_hashes("\n".join(texts))
+    owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+    n = max(0, len(hashes) - SHINGLE_WORDS + 1)
+    shingles = np.zeros(n, dtype=np.uint64)
+    for k in range(SHINGLE_WORDS):
+        shingles = shingles * np.uint64(_BASE) + hashes[k : k + n]
+    inside = np.flatnonzero(owner[:n] == owner[SHINGLE_WORDS - 1 : SHINGLE_WORDS - 1 + n])
+    shingles, owner = _mixed(shingles[inside]), owner[inside]
+    out = np.zeros((len(texts), len(factor)), dtype=np.uint64)
+    if len(owner):
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        # The shingle hashes are mixed already, so one multiplication and one addition order them anew.
+        out[owner[first]] = np.minimum.reduceat(shingles[:, None] * factor + shift, first, axis=0)
+    for short in sorted(set(range(len(texts))) - set(owner.tolist())):
+        out[short] = shingle_set(texts[short])[0] * factor + shift
+    return out
+
+
 def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     draw = np.random.default_rng(1)
     factor = draw.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
     shift = draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
     for batch in batches:
-        keys = []
-        for text in batch["text"]:
-            shingles = shingle_set(text)
-            # The shingle hashes are mixed already, so one multiplication and one addition order them anew.
-            least = (shingles[:, None] * factor[None, :] + shift[None, :]).min(axis=0).reshape(BANDS, ROWS)
-            key = np.arange(BANDS, dtype=np.uint64)
+        texts, keys, part, size = batch["text"].tolist(), [], [], 0
+        for at, text in enumerate(texts):
+            part.append(text)
+            size += len(text)
+            if size < 200_000 and at + 1 < len(texts):
+                continue
+            least = _least_hashes(part, factor, shift).reshape(len(part), BANDS, ROWS)
+            key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(part), BANDS))
             for row in range(ROWS):
-                key = _mixed(key * np.uint64(_BASE) + least[:, row])
-            keys.append(key.view(np.int64).tolist())
+                key = _mixed(key * np.uint64(_BASE) + least[:, :, row])
+            keys += key.view(np.int64).tolist()
+            part, size = [], 0
         yield pd.DataFrame({"line": batch["line"], "keys": keys})
 
 
