@@ -23,47 +23,73 @@ from ringmatch.llm.vectors import matrix, usable, usable_vectors
 
 #: Unrelated vectors in a filter on average; the cap's height follows from it.
 FILTER_ROWS = 64
-#: Codes, each turned its own way, and filters per code that two vectors at the least similarity share
-#: on average. Several turned codes miss far fewer pairs than one of the same total size.
-CODES = 4
-SHARED = 8
+#: Filters per code that two vectors at the least similarity share on average. Several turned codes miss far
+#: fewer pairs than one of the same total size.
+SHARED = 2
+#: Codes are added until of so many random pairs at the least similarity each shares ``LEAST_SHARED`` filters.
+PAIRS = 4_000
+LEAST_SHARED = 3
+MOST_CODES = 256
 #: Codewords per block at most; more directions take more blocks.
 CODEWORDS = 512
 #: A filter with more vectors is compared in pairs of blocks of about this size.
 BLOCK = 1_024
 
 
-def _tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+def sphere_tail(dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines, rising, and the share of the unit sphere that has at least this cosine to a direction."""
+    if dimension < 2:
+        return np.array([-1.0, np.nextafter(-1.0, 0.0), 1.0]), np.array([1.0, 0.5, 0.5])
+    angle = np.linspace(0, math.pi, 200_001)
+    middle = (angle[1:] + angle[:-1]) / 2
+    weight = np.exp((dimension - 2) * np.log(np.sin(middle)))
+    share = np.concatenate([[0.0], np.cumsum(weight)])
+    return np.cos(angle)[::-1], (share / share[-1])[::-1]
 
 
-def cap_height(share: float) -> float:
-    """The height (in deviations) above which a vector meets a direction with probability ``share``."""
-    low, high = -8.0, 12.0
-    for _ in range(80):
-        middle = (low + high) / 2
-        low, high = (middle, high) if _tail(middle) > share else (low, middle)
-    return low
+def cap_height(dimension: int, share: float, similarity: float) -> float:
+    """The cosine above which a vector meets a direction with probability ``share``.
 
-
-def both_above(z: float, similarity: float) -> float:
-    """Probability that two vectors of this cosine both exceed ``z`` on a random direction."""
-    x = np.linspace(z, z + 10, 4_001)
-    spread = math.sqrt(max(1e-12, 1 - similarity**2))
-    density = np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
-    return float(np.trapezoid(density * np.array([_tail((z - similarity * v) / spread) for v in x]), x))
+    Not above ``similarity``: in few dimensions smaller caps would hold hardly any of the near pairs.
+    """
+    cosine, tail = sphere_tail(dimension)
+    return min(similarity, float(np.interp(share, tail[::-1], cosine[::-1])))
+
+
+def both_above(dimension: int, height: float, similarity: float) -> float:
+    """Probability that two vectors of this cosine both have cosine ``height`` or more to a random direction."""
+    cosine, tail = sphere_tail(dimension)
+    if dimension < 2:
+        return 0.5
+    other, other_tail = sphere_tail(dimension - 1)
+    middle, share = (cosine[1:] + cosine[:-1]) / 2, tail[:-1] - tail[1:]
+    high = middle >= height
+    middle, share = middle[high], share[high]
+    spread = np.sqrt(np.maximum(1e-12, (1 - similarity**2) * (1 - middle * middle)))
+    return float((share * np.interp((height - similarity * middle) / spread, other, other_tail)).sum())
+
+
+def pairs_at(dimension: int, similarity: float, count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors at this cosine (in one dimension: equal ones)."""
+    draw = np.random.default_rng(seed)
+    a = _unit(draw.standard_normal((count, dimension)))
+    if dimension < 2:
+        return a, a
+    b = draw.standard_normal(a.shape)
+    b = _unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    return a, similarity * a + math.sqrt(max(0.0, 1 - similarity**2)) * b
 
 
 class ProductCode:
-    """Directions as products of codewords; fixed by seed, dimension, row count and similarity."""
+    """Directions as products of codewords; fixed by its arguments."""
 
-    def __init__(self, dimension: int, rows: int, similarity: float, seed: int):
-        self.height = cap_height(min(0.25, FILTER_ROWS / max(rows, 1)))
-        wanted = max(64.0, SHARED / both_above(self.height, similarity))
-        self.blocks = min(dimension, max(2, math.ceil(math.log(wanted) / math.log(CODEWORDS))))
-        self.width = math.ceil(wanted ** (1 / self.blocks))
+    def __init__(self, dimension: int, blocks: int, width: int, height: float, seed: int):
+        self.made_from = (dimension, blocks, width, height, seed)
+        self.blocks, self.width, self.height = blocks, width, height
         draw = np.random.default_rng(seed)
-        self.turn = np.linalg.qr(draw.standard_normal((dimension, dimension)))[0]
+        # The signs make every rotation equally likely, so a pair's chances depend on its cosine alone.
+        q, r = np.linalg.qr(draw.standard_normal((dimension, dimension)))
+        self.turn = q * np.where(np.diag(r) < 0, -1.0, 1.0)
         self.parts = np.array_split(np.arange(dimension), self.blocks)
         self.words = []
         for part in self.parts:
@@ -72,6 +98,9 @@ class ProductCode:
             word *= math.sqrt(len(part)) / np.linalg.norm(word, axis=1, keepdims=True)
             self.words.append(word)
 
+    def __reduce__(self):
+        return ProductCode, self.made_from
+
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and direction numbers of all caps that hold the unit vectors."""
         turned = unit @ self.turn
@@ -95,14 +124,37 @@ class ProductCode:
             row, code, total = np.concatenate(rows), np.concatenate(codes), np.concatenate(totals)
         return row, code
 
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many directions hold both ``a[k]`` and ``b[k]``."""
+        size = self.width**self.blocks
+        (row, x), (other, y) = self.decode(a), self.decode(b)
+        return np.bincount(np.intersect1d(row * size + x, other * size + y) // size, minlength=len(a))
+
 
 class Filters:
-    """All codes; a filter's number tells its code."""
+    """All codes; a filter's number tells its code.
+
+    How many codes it takes is measured: products of codewords are no independent directions, and the
+    sphere's tails depend on the dimension. As the codes are turned at random, what random pairs of a
+    cosine show holds for the pairs of any table.
+    """
 
     def __init__(self, dimension: int, rows: int, similarity: float):
-        self.codes = [ProductCode(dimension, rows, similarity, seed) for seed in range(CODES)]
-        self.per_code = self.codes[0].width ** self.codes[0].blocks
-        if self.per_code * CODES >= 1 << 31:
+        cosine = cap_height(dimension, min(0.25, FILTER_ROWS / max(rows, 1)), similarity)
+        wanted = max(64.0, SHARED / max(1e-12, both_above(dimension, cosine, similarity)))
+        blocks = min(dimension, max(2, math.ceil(math.log(wanted) / math.log(CODEWORDS))))
+        width = min(CODEWORDS, math.ceil(wanted ** (1 / blocks)))
+        a, b = pairs_at(dimension, similarity, PAIRS, 11)
+        shared = np.zeros(PAIRS, dtype=np.int64)
+        self.codes = []
+        while shared.min() < LEAST_SHARED and len(self.codes) < MOST_CODES:
+            code = ProductCode(dimension, blocks, width, cosine * math.sqrt(dimension), len(self.codes))
+            self.codes.append(code)
+            shared += code.shared(a, b)
+        if not shared.all():
+            raise ValueError(f"{MOST_CODES} codes leave pairs of cosine {similarity} in {dimension} dimensions apart")
+        self.per_code = width**blocks
+        if self.per_code * len(self.codes) >= 1 << 31:
             raise ValueError("Filter numbers take 31 bits")
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

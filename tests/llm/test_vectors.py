@@ -67,6 +67,22 @@ def test_filters_find_pairs_at_the_least_similarity():
     assert np.mean([n > 0 for n in shared]) >= 0.995
 
 
+@pytest.mark.parametrize("rows", [100_000, 1_000_000, 10_000_000])
+def test_filters_find_pairs_whatever_the_row_count(rows):
+    filters = caps.Filters(64, rows, 0.9)
+    draw = np.random.default_rng(3)
+    for similarity in (0.9, 0.96):
+        a = draw.standard_normal((3_000, 64))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = draw.standard_normal(a.shape)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = similarity * a + np.sqrt(1 - similarity**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        (s, x), (t, y) = filters.decode(a), filters.decode(b)
+        missed = [not len(np.intersect1d(x[s[k] : s[k + 1]], y[t[k] : t[k + 1]])) for k in range(len(a))]
+        assert np.mean(missed) <= 0.001
+        assert np.diff(s).min() > 0
+
+
 def test_no_vectors(spark):
     assert caps.near_vectors(table(spark, [])).count() == 0
     assert [tuple(r) for r in caps.near_vectors(table(spark, [(5, None)])).collect()] == [(5, 0, 5, True)]
