@@ -5,7 +5,11 @@ perturbed cells in the order in which they are likely to hold neighbours. Every
 compared exactly in blocks, and the candidates of all tables are merged and ranked.
 
 Largest inner product becomes smallest distance by one more coordinate that lifts all vectors to
-the length of the longest.
+the length of the longest. Vectors are hashed in bands of length, each lifted to its own longest,
+so one long vector does not press all others together.
+
+How many tables and probes a band takes is measured in each run: a sample of the queries is compared
+with all rows, and the settings grow until the cells visited hold enough of its true neighbours.
 """
 
 from __future__ import annotations
@@ -17,14 +21,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringmatch.llm.common import durable, each_run, ship_package
 from ringmatch.llm.vectors import matrix, usable_vectors
 
+#: Tables and probes to begin with; they grow as the measured recall asks for.
 TABLES = 4
 PROBES = 64
+MOST_TABLES, MOST_PROBES = 16, 1_024
+#: Queries compared with all rows, and the share of their true neighbours that the visited cells must hold.
+SAMPLE = 256
+RECALL = 0.98
+#: Sending a query to one more cell costs as much as comparing it with so many rows.
+VISIT_ROWS = 100
+#: Bands of length, each half as long as the one before; the last takes all shorter vectors.
+LENGTH_BANDS = 8
 #: Cell width in units of a projection's deviation on unit vectors.
 WIDTH = 1.5
 #: Rows of a cell on average; the number of projections follows from it (a projection has some four cells).
@@ -56,10 +69,13 @@ def probe_order(within: np.ndarray, probes: int) -> list[tuple[tuple[int, int],
 
 
 class Hashes:
-    """The projections of all tables, from a fixed seed."""
+    """The projections of all tables of a band, from a fixed seed. No projection: all points are one cell."""
 
-    def __init__(self, dimension: int, projections: int, tables: int, width: float, longest: float, seed: int = 5):
-        draw = np.random.default_rng(seed)
+    def __init__(
+        self, dimension: int, projections: int, tables: int, probes: int, width: float, longest: float, band: int = 0
+    ):
+        draw = np.random.default_rng(5 + band)
+        self.tables, self.probes, self.projections, self.band = tables, probes, projections, band
         self.a = draw.standard_normal((tables, dimension + 1, projections)) / width
         self.b = draw.random((tables, projections))
         self.mix = draw.integers(1, 1 << 62, (tables, projections), dtype=np.int64) | 1
@@ -80,44 +96,155 @@ class Hashes:
     def key(self, cell: np.ndarray, table: int) -> np.ndarray:
         """One number per cell; two cells that share it only share candidates."""
         with np.errstate(over="ignore"):
-            return (cell * self.mix[table]).sum(axis=-1) * np.int64(TABLES) + table
+            mixed = (cell * self.mix[table]).sum(axis=-1) * np.int64(MOST_TABLES) + table
+            return mixed * np.int64(LENGTH_BANDS) + self.band
+
+    def visited(self, cell: np.ndarray, within: np.ndarray, table: int) -> np.ndarray:
+        """The keys of the cells that a query at this place visits."""
+        visits = probe_order(within, self.probes)
+        cells = np.repeat(cell[None, :], len(visits), axis=0)
+        for k, moves in enumerate(visits):
+            for projection, step in moves:
+                cells[k, projection] += step
+        return np.unique(self.key(cells, table))
+
+
+def bands_of(length: np.ndarray, longest: float) -> np.ndarray:
+    """The band of each length, 0 for the longest."""
+    return np.clip(np.floor(np.log2(longest / length)), 0, LENGTH_BANDS - 1).astype(np.int64)
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
+
+
+def recall_of(hashes: Hashes, q: np.ndarray, x: np.ndarray) -> float:
+    """The share of the points ``x[k]`` in cells that the query ``q[k]`` visits."""
+    met = np.zeros(len(x), dtype=bool)
+    asked, of = np.unique(q, axis=0, return_inverse=True)
+    of = of.reshape(-1)
+    for table in range(hashes.tables):
+        keys = hashes.key(hashes.places(x, table, False)[0], table)
+        cells, within = hashes.places(asked, table, True)
+        for k in np.unique(of[~met]).tolist():
+            mine = np.flatnonzero((of == k) & ~met)
+            met[mine] = np.isin(keys[mine], hashes.visited(cells[k], within[k], table))
+    return float(met.mean()) if len(met) else 1.0
+
+
+def calibrated(
+    dimension: int,
+    rows: int,
+    longest: float,
+    band: int,
+    q: np.ndarray,
+    x: np.ndarray,
+    tables: int = TABLES,
+    probes: int = PROBES,
+    width: float = WIDTH,
+    cell_rows: int = CELL_ROWS,
+) -> Hashes:
+    """Hashes of a band of so many rows whose visited cells hold ``RECALL`` of the pairs ``q[k], x[k]``.
 
+    Probes and tables grow and cells get coarser, down to one cell of all rows; of the settings that hold
+    enough the cheapest is taken.
+    """
+    finest = max(1, round(math.log(max(rows / cell_rows, 2)) / math.log(CELLS_PER_PROJECTION)))
+    best = Hashes(dimension, 0, 1, 1, width, longest, band)
+    least = VISIT_ROWS * rows / POINTS + rows
+    if rows <= POINTS:
+        return best
+    for projections in range(finest, 0, -1):
+        tried = (tables, probes)
+        while tried[0] <= MOST_TABLES:
+            visits = tried[0] * min(tried[1], 3**projections)
+            cost = visits * (VISIT_ROWS + rows / CELLS_PER_PROJECTION**projections)
+            if cost >= least:
+                break
+            hashes = Hashes(dimension, projections, *tried, width, longest, band)
+            if recall_of(hashes, q, x) >= RECALL:
+                best, least = hashes, cost
+                break
+            grows = tried[1] < min(MOST_PROBES, 3**projections)
+            tried = (tried[0], 2 * tried[1]) if grows else (2 * tried[0], tried[1])
+    return best
+
+
+def _points(bands: dict[int, Hashes], dimension: int, longest: float):
+    present = np.array(sorted(bands))
 
-def _points(hashes: Hashes, dimension: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column(1), dimension)
-            for table in range(tables):
-                keys = hashes.key(hashes.places(x, table, False)[0], table)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *batch.columns], ["key", "vec_id", "embedding"])
+            # At an edge the last bit may differ from the one that the bands were counted with.
+            of = present[np.abs(bands_of(_lengths(x), longest)[:, None] - present).argmin(axis=1)]
+            for band in np.unique(of).tolist():
+                mine = np.flatnonzero(of == band)
+                part = batch.take(pa.array(mine))
+                hashes = bands[band]
+                for table in range(hashes.tables):
+                    keys = hashes.key(hashes.places(x[mine], table, False)[0], table)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *part.columns], ["key", "vec_id", "embedding"])
 
     return run
 
 
-def _queries(hashes: Hashes, dimension: int, tables: int, probes: int):
+def _queries(bands: dict[int, Hashes], dimension: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column(1), dimension)
-            for table in range(tables):
-                cells, within = hashes.places(x, table, True)
-                for s in range(0, len(x), 64):
-                    rows, keys = [], []
-                    for row in range(s, min(s + 64, len(x))):
-                        visits = probe_order(within[row], probes)
-                        visited = np.repeat(cells[row][None, :], len(visits), axis=0)
-                        for k, moves in enumerate(visits):
-                            for projection, step in moves:
-                                visited[k, projection] += step
-                        keys.append(np.unique(hashes.key(visited, table)))
-                        rows.append(np.full(len(keys[-1]), row))
-                    part = batch.take(pa.array(np.concatenate(rows)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys)), *part.columns], ["key", "vec_id", "embedding"]
-                    )
+            for hashes in bands.values():
+                for table in range(hashes.tables):
+                    cells, within = hashes.places(x, table, True)
+                    for s in range(0, len(x), 64):
+                        rows, keys = [], []
+                        for row in range(s, min(s + 64, len(x))):
+                            keys.append(hashes.visited(cells[row], within[row], table))
+                            rows.append(np.full(len(keys[-1]), row))
+                        part = batch.take(pa.array(np.concatenate(rows)))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.concatenate(keys)), *part.columns], ["key", "vec_id", "embedding"]
+                        )
+
+    return run
+
+
+def _best_in_task(q: np.ndarray, q_ids: np.ndarray, dimension: int, top: int):
+    """Per task and query of the sample its best rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for s in range(0, len(ids), POINTS):
+                x = matrix(batch.column(1).slice(s, POINTS), dimension)
+                new = best_of(q, q_ids, x, ids[s : s + POINTS], top)
+                rows, found, scores = (np.concatenate([a, b]) for a, b in zip(best, new))
+                order = np.lexsort((found, -scores, rows))
+                rows, found, scores = rows[order], found[order], scores[order]
+                keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < top
+                best = (rows[keep], found[keep], scores[keep])
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], ["query", "found", "score"])
 
     return run
 
 
+def sample_pairs(rows: DataFrame, is_query: Column, dimension: int, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Queries of a sample and their true neighbours, pair by pair, by comparison with all rows."""
+    asked = rows.where(is_query).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    if not asked:
+        return np.empty((0, dimension)), np.empty((0, dimension))
+    q = np.array([r["embedding"] for r in asked], dtype=np.float64)
+    q_ids = np.array([r["vec_id"] for r in asked], dtype=np.int64)
+    found = rows.mapInArrow(_best_in_task(q, q_ids, dimension, top), "query long, found long, score double")
+    place = Window.partitionBy("query").orderBy(F.desc("score"), "found")
+    best = found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= top).select("query", "found")
+    pairs = best.join(rows, F.col("found") == F.col("vec_id")).select("query", "embedding").collect()
+    x = np.array([r["embedding"] for r in pairs], dtype=np.float64).reshape(-1, dimension)
+    return q[[r["query"] for r in pairs]], x
+
+
 def best_of(
     q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, top: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,12 +354,19 @@ def nearest(
     total, longest = rows.agg(F.count("*"), F.max(length)).first()
     if not total:
         return vectors.sparkSession.createDataFrame([], schema)
-    projections = max(1, round(math.log(max(total / cell_rows, 2)) / math.log(CELLS_PER_PROJECTION)))
-    # A projection of a unit vector of dimension d deviates by one under a standard Gaussian.
-    hashes = Hashes(dimension, projections, tables, width, longest)
+    place = F.least(F.lit(LENGTH_BANDS - 1), F.floor(F.log2(F.lit(longest) / length)).cast("int"))
+    held = rows.groupBy(F.greatest(F.lit(0), place).alias("band")).agg(F.count("*").alias("n"), F.max(length).alias("longest"))
+    sample, true = sample_pairs(rows, is_query, dimension, top)
+    of = bands_of(_lengths(true), longest)
+    bands = {}
+    for r in held.collect():
+        mine = of == r["band"]
+        bands[r["band"]] = calibrated(
+            dimension, r["n"], r["longest"], r["band"], sample[mine], true[mine], tables, probes, width, cell_rows
+        )
     kind = f"key long, vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}"
-    asked = rows.where(is_query).mapInArrow(_queries(hashes, dimension, tables, probes), kind)
-    points = rows.mapInArrow(_points(hashes, dimension, tables), kind)
+    asked = rows.where(is_query).mapInArrow(_queries(bands, dimension), kind)
+    points = rows.mapInArrow(_points(bands, dimension, longest), kind)
 
     # Sizes of the cells that hold points and are visited: large ones are dealt out in blocks.
     point_sizes = points.groupBy("key").agg(F.count("*").alias("points"))

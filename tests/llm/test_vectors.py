@@ -110,6 +110,23 @@ def test_neighbours_against_brute_force(spark, probes):
     assert np.mean(recall) >= (0.9 if probes == 64 else 0.2)
 
 
+@pytest.mark.parametrize("stretched", [1.0, 20.0])
+def test_neighbours_of_many_rows_and_of_one_long_vector(spark, monkeypatch, stretched):
+    monkeypatch.setattr(neighbours, "POINTS", 512)
+    x = np.random.default_rng(4).standard_normal((12_000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= stretched
+    spread = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    is_query = neighbours.F.col("vec_id") % 100 == 0
+    for r in neighbours.nearest(spread, is_query, top=20, cell_rows=2).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    score = x[::100].astype(np.float64) @ x.T.astype(np.float64)
+    score[np.arange(120), np.arange(0, 12_000, 100)] = -np.inf
+    true = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len(got[100 * k] & set(t.tolist())) / 20 for k, t in enumerate(true)]) >= 0.9
+
+
 def test_few_rows_give_all_candidates(spark):
     rows = [(k, [1.0, float(k)]) for k in range(5)]
     found = neighbours.nearest(table(spark, rows), neighbours.F.col("vec_id") == 0, top=20).collect()
