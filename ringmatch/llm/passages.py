@@ -309,25 +309,40 @@ def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for doc_id, spans in zip(batch["doc_id"], batch["spans"]):
-            for kept in (True, False):
-                run: list | None = None
-                for span in sorted((s["start"], s["stop"], s["keeper"]) for s in spans if (s["keeper"] == doc_id) == kept):
-                    if run is not None and span[0] <= run[2]:
-                        run[2], run[3] = max(run[2], span[1]), min(run[3], span[2])
-                        continue
-                    if run is not None:
-                        out.append(tuple(run))
-                    run = [doc_id, span[0], span[1], span[2], kept]
+            run: list | None = None
+            for keeper, start, stop in sorted((s["keeper"], s["start"], s["stop"]) for s in spans):
+                if run is not None and keeper == run[3] and start <= run[2]:
+                    run[2] = max(run[2], stop)
+                    continue
                 if run is not None:
                     out.append(tuple(run))
+                run = [doc_id, start, stop, keeper, keeper == doc_id]
+            if run is not None:
+                out.append(tuple(run))
         yield pd.DataFrame(out, columns=["doc_id", "start", "stop", "keeper_id", "kept"])
 
 
+def removals(passages: DataFrame) -> DataFrame:
+    """``doc_id, spans``: what is cut from each document, as sorted and disjoint ``start, stop``."""
+    start = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+
+    def step(done: Column, span: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["stop"], span["stop"]).alias("stop"))
+        meets = (F.size(done) > 0) & (span["start"] <= last["stop"])
+        return F.when(meets, F.concat(F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1)), F.array(joined))).otherwise(
+            F.concat(done, F.array(span))
+        )
+
+    spans = F.array_sort(F.collect_list(F.struct("start", "stop")))
+    return passages.where("not kept").groupBy("doc_id").agg(F.aggregate(spans, start, step).alias("spans"))
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """``doc_id, start, stop, keeper_id, kept``: the passages of each document that others repeat.
 
-    Spans are in code points, the end exclusive; overlapping spans of one kind are joined (the
-    smallest keeper is named). ``kept`` rows stand in the document that keeps the passage, all
+    Spans are in code points, the end exclusive; overlapping spans with one keeper are joined, and those
+    with different keepers are rows of their own, so no keeper is lost. ``kept`` rows stand in the document that keeps the passage, all
     others are removals. A document with neither has no row. Repeats inside one document alone are
     left. Null and blank texts have no passages, rows with a null id neither keep nor lose any, rows
     that share an id count as one document, an empty table gives no rows, other columns are ignored.

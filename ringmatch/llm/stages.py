@@ -44,10 +44,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     All other texts stay as they are, null ones too.
     """
-    found = passages.repeated_passages(docs).where("not kept")
-    cuts = found.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__spans")
-    )
+    cuts = passages.removals(passages.repeated_passages(docs))
+    cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
     cuts = written(cuts, "cuts")
     joined = docs.join(cuts, F.col("doc_id") == F.col("__id"), "left")
     untouched = F.col("__spans").isNull() | F.col("text").isNull()

@@ -106,6 +106,26 @@ def test_passages_inside_other_text_are_found_and_cut(spark):
     assert cut[41].split() == prose(42, 200).split()
 
 
+def test_overlapping_passages_of_several_keepers_keep_all_links(spark):
+    line, body = prose(60, 140), prose(61, 300, 900)
+    words = line.split()
+    near = " ".join(words[:70] + ["other"] + words[71:])
+    rows = [(1, near), (3, body + "\n" + " ".join(words[40:100]) + " " + body[:300]), (5, line)]
+    # Two keepers' passages overlap in 9: 7 has the first half, 8 the second.
+    late = prose(62, 140).split()
+    rows += [(7, " ".join(late[:80]) + " " + prose(63, 40)), (8, prose(64, 40) + " " + " ".join(late[60:])), (9, " ".join(late))]
+    docs = documents(spark, rows)
+    found = passages.clustered(passages.repeated_passages(docs)).collect()
+    assert {(r["doc_id"], r["keeper_id"]) for r in found if not r["kept"]} == {(5, 1), (5, 3), (9, 7), (9, 8)}
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 3: 1, 5: 1, 7: 7, 8: 7, 9: 7}
+    spans = {r["keeper_id"]: (r["start"], r["stop"]) for r in found if r["doc_id"] == 9}
+    assert spans[7][1] <= len(" ".join(late[:80])) and spans[8][0] >= len(" ".join(late[:60]))
+    for r in passages.removals(passages.repeated_passages(docs)).collect():
+        assert all(a["stop"] < b["start"] for a, b in zip(r["spans"], r["spans"][1:]))
+    cut = {r["doc_id"]: r["text"] for r in stages.cut_repeats(spark, docs, "").collect()}
+    assert 5 not in cut and len(cut.get(9, "").split()) < 2 * passages.SPREAD and cut[3] == rows[1][1]
+
+
 def test_every_shared_run_of_51_words_has_a_common_window():
     for seed in range(200):
         run = prose(1_000 + seed, passages.WINDOW_WORDS + passages.SPREAD - 1)
