@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ringmatch.llm.common import ship_package
 
-#: Elements nested deeper become children of the deepest one, so text is kept and work stays linear.
+#: Elements nested deeper are not opened: their text goes to the deepest one, if none of them hides it.
 DEEPEST = 200
 #: A cell is padded to its column's width only up to here; longer cells keep their whole text.
 WIDEST = 40
@@ -26,7 +27,7 @@ WIDEST = 40
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title template".split())
 UNSEEN = frozenset(
-    "script style title template noscript iframe noembed noframes object audio video canvas svg math datalist head".split()
+    "script style title template noscript iframe noembed noframes object audio video canvas datalist head".split()
 )
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre figure fieldset article section hr".split())
 BLOCK = MARGIN | frozenset(
@@ -37,6 +38,11 @@ CLOSE_PARAGRAPH = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hgroup hr li dt dd main menu nav ol p pre search section summary table ul".split()
 )
+#: Elements that end an svg drawing they stand in.
+BREAKOUT = frozenset(
+    "b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li menu nobr ol p pre ruby s small "
+    "span strong strike sub sup table tt u ul var".split()
+)
 CLOSED_BY = {
     "li": ("li",),
     "dt": ("dt", "dd"),
@@ -62,29 +68,47 @@ TABLE_PART = frozenset("table caption tr td th tbody thead tfoot".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*)>""")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-_HIDDEN = re.compile(
-    r"""(?:^|\s)hidden(?:[\s=/]|$)(?!\s*["']?until-found)|style\s*=\s*["']?[^"']*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))""",
-    re.I,
-)
-_START = re.compile(r"""(?:^|\s)start\s*=\s*["']?(-?\d+)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_UNSEEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))(?![\w-])", re.I)
+_STYLE_COMMENT = re.compile(r"/\*.*?\*/", re.S)
+_NUMBER = re.compile(r"\s*([+-]?\d+)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
+#: Of an svg drawing the text of SVG_SHOWN is shown, also inside groups.
+SVG_GROUPS = frozenset("a switch g svg".split())
+SVG_SHOWN = frozenset("text foreignobject".split())
+#: Formulas: markup for other programs.
+MATH_UNSEEN = frozenset("annotation annotation-xml".split())
+
+
+def attributes_of(text: str) -> dict[str, str]:
+    """Names, in small letters, and values; of a repeated name the first counts."""
+    out: dict[str, str] = {}
+    for found in _ATTRIBUTE.finditer(text):
+        value = found[2] if found[2] is not None else found[3] if found[3] is not None else found[4] or ""
+        out.setdefault(found[1].lower(), html.unescape(value))
+    return out
+
+
 class Node:
-    """An element: its tag, attribute text and children (nodes and strings)."""
+    """An element: its tag, attributes and children (nodes and strings)."""
 
     __slots__ = ("tag", "attributes", "children")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.children = tag, attributes, []
+        self.tag, self.children = tag, []
+        self.attributes = attributes_of(attributes) if attributes.strip(" /\t\n\r\f") else {}
 
     def seen(self) -> bool:
-        if self.tag in UNSEEN or self.tag == "input":
+        if self.tag in UNSEEN or self.tag in MATH_UNSEEN or self.tag == "input":
             return False
         a = self.attributes
-        if self.tag == "dialog" and not re.search(r"(?:^|\s)open(?:[\s=/]|$)", a, re.I):
+        if self.tag == "dialog" and "open" not in a:
+            return False
+        if "hidden" in a and a["hidden"].strip().lower() != "until-found":
             return False
-        return not (a and _HIDDEN.search(a))
+        return not ("style" in a and _UNSEEN_STYLE.search(_STYLE_COMMENT.sub(" ", a["style"])))
 
 
 class Tree:
@@ -93,13 +117,26 @@ class Tree:
     def __init__(self):
         self.root = Node("html")
         self.open = [self.root]
+        # Elements past the depth limit: tag and whether text inside is hidden; and the places of each tag.
+        self.deep: list[tuple[str, bool]] = []
+        self.deep_at: dict[str, list[int]] = {}
+        self.drawing = False  # there has been an svg or math element
 
     def text(self, value: str) -> None:
-        self.open[-1].children.append(value)
+        if not (self.deep and self.deep[-1][1]):
+            self.open[-1].children.append(value)
 
     def _close(self, tags: tuple[str, ...], walls: tuple[str, ...] | frozenset[str]) -> None:
         """Close the outermost open element of ``tags`` above the nearest wall, with all inside it."""
         found = None
+        if self.deep:
+            wall = self._last_deep(walls)
+            inside = [at for t in tags for at in self.deep_at.get(t, ())[-1:] if at > wall]
+            if inside:
+                held = (self.deep_at[t] for t in tags if self.deep_at.get(t))
+                self._undeep(min(at[k] for at in held if (k := bisect_right(at, wall)) < len(at)))
+            if inside or wall >= 0:
+                return
         for at in range(len(self.open) - 1, 0, -1):
             tag = self.open[at].tag
             if tag in tags:
@@ -108,10 +145,23 @@ class Tree:
                 break
         if found is not None:
             del self.open[found:]
+            self._undeep(0)
+
+    def _last_deep(self, tags) -> int:
+        return max((at[-1] for t, at in self.deep_at.items() if at and t in tags), default=-1)
+
+    def _undeep(self, at: int) -> None:
+        for tag, _ in self.deep[at:]:
+            self.deep_at[tag].pop()
+        del self.deep[at:]
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in ("html", "body", "head"):
             return
+        if tag in ("svg", "math"):
+            self.drawing = True
+        elif self.drawing and tag in BREAKOUT:
+            self._leave_drawing()
         if tag in CLOSE_PARAGRAPH:
             self._close(("p",), CELL_WALL | {"button"})
         if tag in CLOSED_BY:
@@ -119,25 +169,54 @@ class Tree:
         if tag in ("td", "th") and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self._push(Node("tr"))
         node = Node(tag, attributes)
-        if tag in VOID:
-            self.open[-1].children.append(node)
+        if tag in VOID or self.ends_itself(attributes):
+            if not (self.deep and self.deep[-1][1]):
+                self.open[-1].children.append(node)
         else:
             self._push(node)
 
+    def ends_itself(self, attributes: str) -> bool:
+        """``<path/>``: only inside drawings and formulas the stroke ends an element."""
+        return self.drawing and attributes.endswith("/") and any(n.tag in ("svg", "math") for n in self.open)
+
+    def _leave_drawing(self) -> None:
+        """Elements of the page's text end a drawing that is still open."""
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at].tag == "foreignobject":
+                return
+            if self.open[at].tag == "svg":
+                del self.open[at:]
+                self._undeep(0)
+                return
+
     def _push(self, node: Node) -> None:
-        self.open[-1].children.append(node)
         if len(self.open) < DEEPEST:
+            self.open[-1].children.append(node)
             self.open.append(node)
+            return
+        hidden = (bool(self.deep) and self.deep[-1][1]) or not node.seen()
+        self.deep.append((node.tag, hidden))
+        self.deep_at.setdefault(node.tag, []).append(len(self.deep) - 1)
+        if not hidden:
+            self.open[-1].children.append(node)
 
     def end(self, tag: str) -> None:
         if tag == "br":
-            self.open[-1].children.append(Node("br"))
+            if not (self.deep and self.deep[-1][1]):
+                self.open[-1].children.append(Node("br"))
             return
         walls = frozenset(("table",)) if tag in TABLE_PART else CELL_WALL
+        if self.deep:
+            wall, own = self._last_deep(walls), self._last_deep((tag,))
+            if own >= max(wall, 0):
+                self._undeep(own)
+            if max(own, wall) >= 0:
+                return
         for at in range(len(self.open) - 1, 0, -1):
             here = self.open[at].tag
             if here == tag:
                 del self.open[at:]
+                self._undeep(0)
                 return
             if here in walls:
                 return
@@ -178,7 +257,7 @@ def parse(page: str) -> Node:
             tree.end(tag)
             continue
         tree.start(tag, found[3])
-        if tag in RAW:
+        if tag in RAW and not tree.ends_itself(found[3]):
             if lower is None:
                 lower = page.lower() if len(page.lower()) == size else page
             stop = lower.find(f"</{tag}", at)
@@ -298,7 +377,7 @@ def _table(table: Node, out: Layout) -> None:
 
 
 def _list(node: Node, out: Layout, literal: bool) -> None:
-    number = int(found[1]) if node.tag == "ol" and (found := _START.search(node.attributes)) else 1
+    number = int(found[1]) if node.tag == "ol" and (found := _NUMBER.match(node.attributes.get("start", ""))) else 1
     outer = out.indent
     for child in node.children:
         if isinstance(child, str) or child.tag != "li":
@@ -315,6 +394,19 @@ def _list(node: Node, out: Layout, literal: bool) -> None:
         out.need(1)
 
 
+def _drawing(node: Node, out: Layout, literal: bool) -> None:
+    """The texts of an svg drawing, apart from each other; what is only defined is not shown."""
+    for child in node.children:
+        if isinstance(child, str) or not child.seen():
+            continue
+        if child.tag in SVG_SHOWN:
+            out.space = True
+            _render(child, out, literal)
+            out.space = True
+        elif child.tag in SVG_GROUPS:
+            _drawing(child, out, literal)
+
+
 def _any(child: Node | str, out: Layout, literal: bool) -> None:
     if not isinstance(child, str):
         _render(child, out, literal)
@@ -337,6 +429,8 @@ def _render(node: Node, out: Layout, literal: bool) -> None:
         out.need(lines)
     if tag == "table":
         _table(node, out)
+    elif tag == "svg":
+        _drawing(node, out, literal)
     elif tag in ("ul", "ol", "menu"):
         _list(node, out, literal)
     else:

@@ -19,6 +19,14 @@ CASES = {
     "<table><tr><th>k<th>v<tr><td>long key<td>1</table>": "k         v\nlong key  1",
     "<table><td>a<td>b<tr><td><table><td>c<td>d</table><td>e</table>": "a    b\nc d  e",
     "<p hidden>no</p><p style='color:red; display : none'>no</p><p aria-hidden=true>yes": "yes",
+    "<p title='Find hidden gems'>a</p><p class=\"nav hidden md:block\">b</p><p data-style='display:none'>c</p>": "a\n\nb\n\nc",
+    "<p title='x style=display:none'>a</p><p HIDDEN=''>no</p><p style=display:none>no</p><p hidden=until-found>b": "a\n\nb",
+    "<p style='visibility: hidden'>no</p><p style='--x:1;/* c */display:none'>no</p><p style='x-display:none'>a": "a",
+    "a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b": "a x=2 b",
+    "<svg><title>no</title><path d='M0'/><g><text>one <tspan>two</tspan></text><text>three</text></g></svg>x": "one two three x",
+    "<svg><defs><text>no</text></defs><style/></svg>x<svg><path><p>b</p>": "x\n\nb",
+    "<b>" * 250 + "<i style='display:none'>no<u>no</u></i>yes": "yes",
+    "<div>a" + "<b>" * 250 + "<div hidden>no</div>in</div><p>b": "ain\n\nb",
     "<script>if (a<b) '</p>'</script><style>p{}</style><title>t</title><!-- c --><noscript>n</noscript>x": "x",
     "<pre> a\n  b</pre>c": " a\n  b\n\nc",
     "1 < 2 <b>bold</b> text": "1 < 2 bold text",
