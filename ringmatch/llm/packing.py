@@ -66,7 +66,7 @@ def _ids_of_text(tokenizer_text: str):
 
     def ids(text: str) -> bytes:
         # Single spaces and single line ends between words: no word depends on another one.
-        plain = by_words and text.count(" ") + text.count("\n") + 1 == len(text.split())
+        plain = by_words and text.replace("\n", " ").split(" ") == text.split()
         if not plain or any(s in text for s in special) or any(c in text for c in words.SEPARATORS):
             return encode(text)
         lines = []

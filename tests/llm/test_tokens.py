@@ -140,3 +140,20 @@ def test_no_documents(spark):
     none = documents(spark, [])
     assert token_counts.count_tokens(none, WORD).count() == 0
     assert word_table.encode_documents(none, WORD).count() == 0
+
+
+def test_any_white_space_between_words():
+    """Doubled, leading, trailing and mixed white space, against the library; none of it may end a job."""
+    import random
+
+    draw = random.Random(11)
+    white = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    texts = ["a  b\tc", "para one.  Two\tcol", "x\xa0y  z", " lead", "trail ", "\n\n", "\t", " \n ", "a \nb", "a\n b."]
+    for _ in range(2_000):
+        parts = [draw.choice(("don't", "word.", "x", "12", "é,", "Z!")) for _ in range(draw.randint(0, 6))]
+        gaps = ["".join(draw.choice((" ", " ", "\n", draw.choice(white))) for _ in range(draw.randint(0, 3))) for _ in range(len(parts) + 1)]
+        texts.append("".join(g + p for g, p in zip(gaps, parts + [""])))
+    library = Tokenizer.from_file(BYTE)
+    encode = packing._ids_of_text(open(BYTE, encoding="utf-8").read())
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts] == want
