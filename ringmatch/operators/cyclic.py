@@ -6,6 +6,8 @@ Directions are flat ``angular_bins x channels`` double arrays.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,60 +16,54 @@ from pyspark.sql import functions as F
 
 from ringmatch.functions import kernels as K
 from ringmatch.functions.vectors import SCALE
-from ringmatch.operators.cells import Grid, grid_for, replicate_gallery, replicate_queries, run_cells
+from ringmatch.operators.blocks import BlockStore, StreamPlan, locate, plan_for, read_batches, scratch_store, stream
+from ringmatch.session import ship_package
 
 QUERY_KEY = ["query_id", "fov_deg"]
 SUB_PAIRS = 1 << 14
+#: Queries of one positive that meet one copy of its tile; a tile that more of them share is copied.
+SHARERS = 4_096
+
+
+def _values(rows: DataFrame, column: str) -> int:
+    """Bytes of one value of an array column."""
+    return 4 if rows.schema[column].dataType.elementType.typeName() == "float" else 8
 
 
-def _read_queries(table: pa.Table, bins: int, channels: int):
+def _read_queries(table: pa.Table | pa.RecordBatch, bins: int, channels: int):
     direction = K.list_matrix(table.column("direction"), bins * channels).reshape(-1, bins, channels)
     valid = K.list_matrix(table.column("valid"), bins)
     masked, divisor = K.masked_queries(direction, valid)
     return K.real_spectrum(masked), divisor
 
 
-def _read_gallery(table: pa.Table, bins: int, channels: int):
-    direction = K.list_matrix(table.column("direction"), bins * channels).reshape(-1, bins, channels)
+def _read_gallery(directions: pa.Array | pa.ChunkedArray, bins: int, channels: int):
+    direction = K.list_matrix(directions, bins * channels).reshape(-1, bins, channels)
     spectrum = K.real_spectrum(direction)
     return spectrum, K.quarter_turn(spectrum)
 
 
-def _needed_tiles(placed: DataFrame, gallery: DataFrame) -> DataFrame:
-    """Gallery rows with each cell that asks for them, once per cell."""
-    return placed.select("cell", F.col("gallery_id").alias("id")).distinct().join(gallery.select("id", "direction"), "id")
+def _row_steps(count: int, bins: int, channels: int) -> Iterator[slice]:
+    """Slices of row-aligned pairs whose spectra stay within some megabytes."""
+    step = max(1, (32 << 20) // (16 * (bins + 2) * channels))
+    for start in range(0, count, step):
+        yield slice(start, min(start + step, count))
 
 
-def _score_targets(left: DataFrame, right: DataFrame, grid: Grid, angular_bins: int, channels: int, keep: list[str]) -> DataFrame:
-    """Score every (row, target) of ``left`` within its cell, passing on the ``keep`` columns."""
-    inverse = K.inverse_transform(angular_bins)
+def _types(rows: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
 
-    def kernel(q: pa.Table, g: pa.Table) -> pa.RecordBatch:
-        query, divisor = _read_queries(q, angular_bins, channels)
-        gallery_re, gallery_im = _read_gallery(g, angular_bins, channels)
-        lists = q.column("targets").combine_chunks()
-        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        wanted = lists.flatten()
-        place = pc.index_in(wanted, value_set=g.column("id").combine_chunks())
-        known = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
-        column = place.take(pa.array(known)).to_numpy(zero_copy_only=False)
-        row = row[known]
-        score = np.empty(len(known))
-        shift = np.empty(len(known), dtype=np.int64)
-        step = max(1, (32 << 20) // (8 * query.shape[0] * query.shape[2]))
-        for start in range(0, len(known), step):
-            r, c = row[start : start + step], column[start : start + step]
-            logits = K.pair_logits(query[:, r], gallery_re[:, c], gallery_im[:, c], divisor[r], inverse)
-            score[start : start + step], shift[start : start + step] = K.best_shift(logits)
-        picked = pa.array(row)
-        return pa.RecordBatch.from_arrays(
-            [q.column(name).combine_chunks().take(picked) for name in keep]
-            + [wanted.take(pa.array(known)), pa.array(score.astype(np.int64)), pa.array(shift)],
-            names=[*keep, "gallery_id", "score_q", "shift"],
-        )
 
-    fields = ", ".join(f"{c} {left.schema[c].dataType.simpleString()}" for c in keep)
-    return run_cells(left, right, grid, kernel, f"{fields}, gallery_id string, score_q bigint, shift bigint")
+def gallery_store(gallery: DataFrame, angular_bins: int, channels: int, count: int | None = None) -> BlockStore:
+    """The gallery's descriptors as a block store in the shared scratch folder."""
+    size = angular_bins * channels * _values(gallery, "direction")
+    return scratch_store(gallery.select("id", "direction"), gallery.count() if count is None else count, size)
+
+
+def _plan(queries: DataFrame, gallery: DataFrame, store: BlockStore, bins: int, channels: int, query_rows: int | None) -> StreamPlan:
+    query_rows = queries.count() if query_rows is None else query_rows
+    query_bytes = bins * channels * _values(queries, "direction")
+    return plan_for(queries, store, query_rows, query_bytes, bins * channels * _values(gallery, "direction"))
 
 
 def score_pairs(
@@ -77,45 +73,87 @@ def score_pairs(
     angular_bins: int,
     channels: int,
     sizes=None,
-    grid: Grid | None = None,
+    store: BlockStore | None = None,
+    plan: StreamPlan | None = None,
 ) -> DataFrame:
     """Exact score and shift for a list of (query_id, fov_deg, gallery_id) pairs.
 
-    A descriptor travels once per block that needs it, however many pairs name it, so a gallery
-    row that is everybody's candidate is no hot spot.
+    A query travels once, with the list of its targets; a task reads the blocks that its queries ask
+    for, each once. So a gallery row that is everybody's candidate is no hot spot, and pairs never
+    meet descriptors in a join. Pairs that name an unknown query or row are left out; a pair that is
+    listed twice is scored twice.
     """
-    grid = grid or grid_for(queries, gallery, angular_bins * channels, sizes)
-    placed = pairs.select(
-        *QUERY_KEY,
-        "gallery_id",
-        grid.cell(grid.query_block(*QUERY_KEY), grid.gallery_block("gallery_id")).alias("cell"),
-    )
-    targets = placed.groupBy(*QUERY_KEY, "cell").agg(F.collect_list("gallery_id").alias("targets"))
-    left = targets.join(queries.select(*QUERY_KEY, "direction", "valid"), QUERY_KEY)
-    return _score_targets(left, _needed_tiles(placed, gallery), grid, angular_bins, channels, QUERY_KEY)
-
+    query_rows, gallery_rows = sizes or (None, None)
+    store = store or gallery_store(gallery, angular_bins, channels, gallery_rows)
+    plan = plan or _plan(queries, gallery, store, angular_bins, channels, query_rows)
+    targets = pairs.groupBy(*QUERY_KEY).agg(F.collect_list("gallery_id").alias("targets"))
+    held = targets.join(queries.select(*QUERY_KEY, "direction", "valid"), QUERY_KEY)
+    inverse = K.inverse_transform(angular_bins)
+    row_bytes = angular_bins * channels * _values(gallery, "direction")
 
-def with_positive_scores(
-    queries: DataFrame, gallery: DataFrame, angular_bins: int, channels: int, sizes=None, grid: Grid | None = None
-) -> DataFrame:
+    def kernel(q: pa.Table, blocks) -> Iterator[pa.RecordBatch]:
+        lists = q.column("targets").combine_chunks()
+        owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        wanted = lists.flatten()
+        block_of = locate(wanted.to_pylist(), blocks)
+        keys = [q.column(c).combine_chunks() for c in QUERY_KEY]
+        for number in np.unique(block_of[block_of >= 0]).tolist():
+            asked = np.flatnonzero(block_of == number)
+            names = wanted.take(pa.array(asked))
+            for _, batch in read_batches(blocks[number : number + 1], row_bytes):
+                place = pc.index_in(names, value_set=batch.column("id"))
+                met = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+                column = place.take(pa.array(met)).to_numpy(zero_copy_only=False)
+                for part in _row_steps(len(met), angular_bins, channels):
+                    pair = asked[met[part]]
+                    query, divisor = _read_queries(q.take(pa.array(owner[pair])), angular_bins, channels)
+                    tiles, turned = _read_gallery(batch.column("direction").take(pa.array(column[part])), angular_bins, channels)
+                    score, shift = K.best_shift(K.pair_logits(query, tiles, turned, divisor, inverse))
+                    yield pa.RecordBatch.from_arrays(
+                        [k.take(pa.array(owner[pair])) for k in keys]
+                        + [wanted.take(pa.array(pair)), pa.array(score.astype(np.int64)), pa.array(shift)],
+                        names=[*QUERY_KEY, "gallery_id", "score_q", "shift"],
+                    )
+
+    schema = f"{_types(queries, QUERY_KEY)}, gallery_id string, score_q bigint, shift bigint"
+    return stream(held, QUERY_KEY, store, plan, kernel, schema)
+
+
+def with_positive_scores(queries: DataFrame, gallery: DataFrame, angular_bins: int, channels: int) -> DataFrame:
     """Queries with the score and shift of their own gallery entry.
 
-    A query meets its entry in the cell of both hashes, so queries that share one entry spread over
-    all query blocks. Queries without an entry are left out; check for them beforehand.
+    One equi-join. A tile that many queries share is copied once per ``SHARERS`` of them, and its queries are
+    dealt over the copies. Queries without an entry are left out; check for them beforehand.
     """
-    grid = grid or grid_for(queries, gallery, angular_bins * channels, sizes)
-    cell = grid.cell(grid.query_block(*QUERY_KEY), grid.gallery_block("positive_id"))
-    placed = queries.select(*QUERY_KEY, "direction", "valid", F.col("positive_id").alias("gallery_id"), cell.alias("cell"))
-    left = placed.withColumn("targets", F.array("gallery_id")).drop("gallery_id")
-    keep = [*QUERY_KEY, "direction", "valid"]
-    scored = _score_targets(left, _needed_tiles(placed, gallery), grid, angular_bins, channels, keep)
-    names = {"gallery_id": "positive_id", "score_q": "positive_score_q", "shift": "positive_shift"}
-    return scored.withColumnsRenamed(names)
+    shared = queries.groupBy("positive_id").agg(F.ceil(F.count(F.lit(1)) / SHARERS).cast("int").alias("copies"))
+    hot = shared.filter("copies > 1")
+    own = queries.select(*QUERY_KEY, "positive_id", "direction", "valid").join(hot, "positive_id", "left")
+    own = own.withColumn("_copy", F.pmod(F.xxhash64(*QUERY_KEY), F.coalesce("copies", F.lit(1))).cast("int"))
+    tiles = gallery.select(F.col("id").alias("positive_id"), F.col("direction").alias("tile")).join(hot, "positive_id", "left")
+    tiles = tiles.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)))
+    met = own.drop("copies").join(tiles.drop("copies"), ["positive_id", "_copy"])
+    inverse = K.inverse_transform(angular_bins)
+    keep = [*QUERY_KEY, "positive_id", "direction", "valid"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _row_steps(batch.num_rows, angular_bins, channels):
+                rows = batch.slice(part.start, part.stop - part.start)
+                query, divisor = _read_queries(rows, angular_bins, channels)
+                tile, turned = _read_gallery(rows.column("tile"), angular_bins, channels)
+                score, shift = K.best_shift(K.pair_logits(query, tile, turned, divisor, inverse))
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(c) for c in keep] + [pa.array(score.astype(np.int64)), pa.array(shift)],
+                    names=[*keep, "positive_score_q", "positive_shift"],
+                )
+
+    ship_package(queries.sparkSession)
+    return met.mapInArrow(run, f"{_types(queries, keep)}, positive_score_q bigint, positive_shift bigint")
 
 
-def positive_scores(queries: DataFrame, gallery: DataFrame, angular_bins: int, channels: int, **options) -> DataFrame:
+def positive_scores(queries: DataFrame, gallery: DataFrame, angular_bins: int, channels: int) -> DataFrame:
     """Score and shift of every query against its own gallery entry."""
-    return with_positive_scores(queries, gallery, angular_bins, channels, **options).drop("direction", "valid")
+    return with_positive_scores(queries, gallery, angular_bins, channels).drop("direction", "valid")
 
 
 def aligned_candidates(
@@ -126,77 +164,105 @@ def aligned_candidates(
     return score_pairs(pairs, queries, gallery, angular_bins, channels, **options)
 
 
-def rank_partials(
-    scored: DataFrame, gallery: DataFrame, angular_bins: int, channels: int, sizes=None, grid: Grid | None = None
-) -> DataFrame:
-    """One row per (query, gallery block): entries ahead of the positive and the block's best entry.
-
-    ``scored`` comes from :func:`with_positive_scores`. The positive takes part with its
-    recorded score, so that it can never be ahead of itself.
-    """
-    grid = grid or grid_for(scored, gallery, angular_bins * channels, sizes)
-    inverse = K.inverse_transform(angular_bins)
-    keep = [*QUERY_KEY, "positive_id", "positive_score_q", "positive_shift"]
-    left = replicate_queries(scored.select(*keep, "direction", "valid"), grid, QUERY_KEY)
-    right = replicate_gallery(gallery.select("id", "direction"), grid, ["id"])
-
-    def kernel(q: pa.Table, g: pa.Table) -> pa.RecordBatch:
-        g = g.sort_by("id")
-        ids = np.array(g.column("id").to_pylist())
-        query, divisor = _read_queries(q, angular_bins, channels)
-        gallery_re, gallery_im = _read_gallery(g, angular_bins, channels)
-        positive = np.array(q.column("positive_id").to_pylist())
-        target = q.column("positive_score_q").to_numpy().astype(np.float64)
-        smaller = np.searchsorted(ids, positive)
-        own = np.flatnonzero((smaller < len(ids)) & (ids[np.minimum(smaller, len(ids) - 1)] == positive))
-        count = len(positive)
-        ahead = np.zeros(count, dtype=np.int64)
-        best = np.full(count, -np.inf)
-        best_at = np.zeros(count, dtype=np.int64)
+class _Running:
+    """Of the queries a task holds: entries ahead of the positive so far, and the best entry so far."""
+
+    def __init__(self, q: pa.Table, blocks, bins: int, channels: int):
+        self.q, self.bins, self.channels = q, bins, channels
+        count = q.num_rows
+        self.positive = np.array(q.column("positive_id").to_pylist())
+        self.target = q.column("positive_score_q").to_numpy().astype(np.float64)
+        first = np.array([b.first_id for b in blocks])
+        #: Blocks of this stripe up to the one that may hold the positive.
+        self.home = np.searchsorted(first, self.positive, side="right") - 1
+        self.ahead = np.zeros(count, dtype=np.int64)
+        self.best = np.full(count, -np.inf)
+        self.best_id = np.empty(count, dtype=object)
+        self.shift = np.zeros(count, dtype=np.int64)
+        self.inverse = K.inverse_transform(bins)
+
+    def meet(self, number: int, batch: pa.RecordBatch) -> None:
+        """Compare all held queries with a batch of block ``number`` (sorted by id)."""
+        ids = np.array(batch.column("id").to_pylist())
+        gallery_re, gallery_im = _read_gallery(batch.column("direction"), self.bins, self.channels)
+        # Rows of the batch with an id smaller than the query's positive: all, none, or up to its place.
+        smaller = np.where(self.home > number, len(ids), 0)
+        at_home = np.flatnonzero(self.home == number)
+        smaller[at_home] = np.searchsorted(ids, self.positive[at_home])
+        own = at_home[ids[np.minimum(smaller[at_home], len(ids) - 1)] == self.positive[at_home]]
         width = min(len(ids), 512)
         height = max(1, SUB_PAIRS // width)
-        for top in range(0, count, height):
-            rows = slice(top, min(top + height, count))
+        for top in range(0, len(self.ahead), height):
+            rows = slice(top, min(top + height, len(self.ahead)))
+            query, divisor = _read_queries(self.q.slice(top, rows.stop - top), self.bins, self.channels)
             here = own[(own >= top) & (own < rows.stop)]
-            for left_edge in range(0, len(ids), width):
-                cols = slice(left_edge, min(left_edge + width, len(ids)))
-                logits = K.grid_logits(
-                    query[:, rows], gallery_re[:, cols], gallery_im[:, cols], divisor[rows], inverse
-                )
+            wanted = self.target[rows, None]
+            best_at = np.full(rows.stop - top, -1)
+            for left in range(0, len(ids), width):
+                cols = slice(left, min(left + width, len(ids)))
+                logits = K.grid_logits(query, gallery_re[:, cols], gallery_im[:, cols], divisor, self.inverse)
                 score = K.quantise(logits.max(axis=0))
                 inside = here[(smaller[here] >= cols.start) & (smaller[here] < cols.stop)]
-                score[inside - top, smaller[inside] - cols.start] = target[inside]
-                wanted = target[rows, None]
-                ahead[rows] += (score > wanted).sum(axis=1)
+                score[inside - top, smaller[inside] - cols.start] = self.target[inside]
+                self.ahead[rows] += (score > wanted).sum(axis=1)
                 tied = score == wanted
                 if tied.any():
                     position = np.arange(cols.start, cols.stop)
-                    ahead[rows] += (tied & (position[None, :] < smaller[rows, None])).sum(axis=1)
+                    self.ahead[rows] += (tied & (position[None, :] < smaller[rows, None])).sum(axis=1)
                 peak = score.argmax(axis=1)
                 value = score[np.arange(len(peak)), peak]
-                better = value > best[rows]
-                best[rows] = np.where(better, value, best[rows])
-                best_at[rows] = np.where(better, peak + cols.start, best_at[rows])
-        shift = np.empty(count, dtype=np.int64)
-        step = max(1, (32 << 20) // (8 * query.shape[0] * query.shape[2]))
-        for start in range(0, count, step):
-            r = slice(start, min(start + step, count))
-            c = best_at[r]
-            _, shift[r] = K.best_shift(
-                K.pair_logits(query[:, r], gallery_re[:, c], gallery_im[:, c], divisor[r], inverse)
-            )
-        return pa.RecordBatch.from_arrays(
+                better = value > self.best[rows]  # equal scores: the earlier, smaller id stays
+                self.best[rows] = np.where(better, value, self.best[rows])
+                best_at = np.where(better, peak + cols.start, best_at)
+            new = np.flatnonzero(best_at >= 0)
+            for part in _row_steps(len(new), self.bins, self.channels):
+                r, c = new[part], best_at[new[part]]
+                logits = K.pair_logits(query[:, r], gallery_re[:, c], gallery_im[:, c], divisor[r], self.inverse)
+                self.shift[top + r] = K.best_shift(logits)[1]
+                self.best_id[top + r] = ids[c]
+
+
+def rank_partials(
+    scored: DataFrame,
+    gallery: DataFrame,
+    angular_bins: int,
+    channels: int,
+    sizes=None,
+    store: BlockStore | None = None,
+    plan: StreamPlan | None = None,
+) -> DataFrame:
+    """One row per (query, stripe of gallery blocks): entries ahead of the positive and the stripe's best entry.
+
+    ``scored`` comes from :func:`with_positive_scores`. The positive takes part with its
+    recorded score, so that it can never be ahead of itself. A task holds its queries and streams the
+    gallery; it never holds more of that than one batch.
+    """
+    query_rows, gallery_rows = sizes or (None, None)
+    store = store or gallery_store(gallery, angular_bins, channels, gallery_rows)
+    plan = plan or _plan(scored, gallery, store, angular_bins, channels, query_rows)
+    row_bytes = angular_bins * channels * _values(gallery, "direction")
+    keep = [*QUERY_KEY, "positive_id", "positive_score_q", "positive_shift"]
+
+    def kernel(q: pa.Table, blocks) -> Iterator[pa.RecordBatch]:
+        if not blocks:
+            return
+        state = _Running(q, blocks, angular_bins, channels)
+        for number in range(len(blocks)):
+            for _, batch in read_batches(blocks[number : number + 1], row_bytes):
+                state.meet(number, batch)
+        yield pa.RecordBatch.from_arrays(
             [q.column(name).combine_chunks() for name in keep]
-            + [pa.array(ahead), pa.array(best.astype(np.int64)), pa.array(ids[best_at]), pa.array(shift)],
+            + [
+                pa.array(state.ahead),
+                pa.array(state.best.astype(np.int64)),
+                pa.array(state.best_id, pa.string()),
+                pa.array(state.shift),
+            ],
             names=[*keep, "ahead", "best_score_q", "best_id", "best_shift"],
         )
 
-    fov_type = scored.schema["fov_deg"].dataType.simpleString()
-    schema = (
-        f"query_id string, fov_deg {fov_type}, positive_id string, positive_score_q bigint, positive_shift bigint, "
-        "ahead bigint, best_score_q bigint, best_id string, best_shift bigint"
-    )
-    return run_cells(left, right, grid, kernel, schema)
+    schema = f"{_types(scored, keep)}, ahead bigint, best_score_q bigint, best_id string, best_shift bigint"
+    return stream(scored.select(*keep, "direction", "valid"), QUERY_KEY, store, plan, kernel, schema)
 
 
 def exact_ranks(partials: DataFrame) -> DataFrame:
@@ -217,12 +283,14 @@ def exact_ranks(partials: DataFrame) -> DataFrame:
 
 
 def evaluate_all_pairs(
-    queries: DataFrame, gallery: DataFrame, angular_bins: int, channels: int, sizes=None
+    queries: DataFrame, gallery: DataFrame, angular_bins: int, channels: int, sizes=None, store: BlockStore | None = None
 ) -> DataFrame:
-    """Exact rank, top-1 and shifts of every query over the whole gallery."""
-    grid = grid_for(queries, gallery, angular_bins * channels, sizes)
-    scored = with_positive_scores(queries, gallery, angular_bins, channels, grid=grid)
-    return exact_ranks(rank_partials(scored, gallery, angular_bins, channels, grid=grid))
+    """Exact rank, top-1 and shifts of every query over the whole gallery.
+
+    ``store``: the gallery as a block store, if there is one; else one is written.
+    """
+    scored = with_positive_scores(queries, gallery, angular_bins, channels)
+    return exact_ranks(rank_partials(scored, gallery, angular_bins, channels, sizes, store))
 
 
 def prediction_rows(ranks: DataFrame, dataset: str, split: str) -> DataFrame:

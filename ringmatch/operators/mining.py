@@ -5,7 +5,7 @@ Queries carry ``query_id, fov_deg, positive_id, direction, valid``; gallery rows
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ringmatch.functions import kernels as K
 from ringmatch.functions.crops import int_div
-from ringmatch.operators.cells import Grid, grid_for, replicate_gallery, replicate_queries, run_cells
+from ringmatch.operators.blocks import BlockStore, StreamPlan, plan_for, read_batches, scratch_store, stream
 from ringmatch.operators.cyclic import QUERY_KEY, score_pairs
 from ringmatch.session import durable, ship_package
 
@@ -46,54 +46,100 @@ def with_signature(df: DataFrame, angular_bins: int, channels: int, frequency_co
     return df.mapInArrow(run, f"{fields}, signature array<double>")
 
 
+class _Best:
+    """The ``keep`` best gallery rows of every held query so far, as one number per row.
+
+    A number holds the score, then the falling position, so that larger is better and no two are equal.
+    """
+
+    def __init__(self, queries: int, keep: int, gallery_rows: int):
+        self.keep, self.rows = keep, gallery_rows
+        self.keys = np.full((queries, 0), 0, dtype=np.int64)
+
+    def add(self, first: int, score: np.ndarray) -> None:
+        """Scores (whole millionths) of all queries against rows that begin at position ``first``."""
+        position = first + np.arange(score.shape[1])
+        keys = score.astype(np.int64) * self.rows + (self.rows - 1 - position)
+        self.keys = self._largest(np.concatenate([self.keys, self._largest(keys)], axis=1))
+
+    def _largest(self, keys: np.ndarray) -> np.ndarray:
+        surplus = keys.shape[1] - self.keep
+        return keys if surplus <= 0 else np.partition(keys, surplus, axis=1)[:, surplus:]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and positions, best first."""
+        keys = -np.sort(-self.keys, axis=1)
+        return keys // self.rows, self.rows - 1 - keys % self.rows
+
+
+def _names(positions: np.ndarray, blocks, row_bytes: int) -> pa.Array:
+    """The ids at the given positions; reads the id column of the blocks that hold them."""
+    order = np.argsort(positions, kind="stable")
+    ordered, at, parts = positions[order], 0, []
+    for first, batch in read_batches(blocks, row_bytes, ["id"]):
+        stop = at + int(np.searchsorted(ordered[at:], first + batch.num_rows))
+        if stop > at:
+            parts.append(batch.column("id").take(pa.array(ordered[at:stop] - first)))
+            at = stop
+    names = pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.arange(len(order))
+    return names.take(pa.array(back))
+
+
 def coarse_candidates(
-    queries: DataFrame, gallery: DataFrame, width: int, keep: int, sizes=None, grid: Grid | None = None
+    queries: DataFrame,
+    gallery: DataFrame,
+    width: int,
+    keep: int,
+    sizes=None,
+    store: BlockStore | None = None,
+    plan: StreamPlan | None = None,
 ) -> DataFrame:
     """The ``keep`` gallery rows with the largest signature cosine per query, its positive left out.
 
-    Every cell passes on at most ``keep`` rows per query; the final cut runs over those.
-    ``width`` is the signature length. Ties go to the smaller id.
+    Tasks hold queries, stream the gallery's signatures and keep a running top ``keep`` per query; the final cut
+    runs over one list per query and stripe. ``width`` is the signature length. Ties go to the smaller id.
     """
-    grid = grid or grid_for(queries, gallery, width, sizes)
-    left = replicate_queries(queries.select(*QUERY_KEY, "positive_id", "signature"), grid, QUERY_KEY)
-    right = replicate_gallery(gallery.select("id", "signature"), grid, ["id"])
-
-    def kernel(q: pa.Table, g: pa.Table) -> pa.RecordBatch:
-        g = g.sort_by("id")
-        ids = np.array(g.column("id").to_pylist())
-        tiles = K.list_matrix(g.column("signature"), width)
+    query_rows, gallery_rows = sizes or (queries.count(), gallery.count())
+    row_bytes = 8 * width
+    store = store or scratch_store(gallery.select("id", "signature"), gallery_rows, row_bytes)
+    # A query also holds its running list.
+    plan = plan or plan_for(queries, store, query_rows, row_bytes + 24 * keep, row_bytes)
+    total = max(store.rows, 1)
+
+    def kernel(q: pa.Table, blocks) -> Iterator[pa.RecordBatch]:
+        best = _Best(q.num_rows, keep, total)
         query = K.list_matrix(q.column("signature"), width)
         positive = np.array(q.column("positive_id").to_pylist())
-        place = np.searchsorted(ids, positive)
-        own = (place < len(ids)) & (ids[np.minimum(place, len(ids) - 1)] == positive)
-        rows, columns, values = [], [], []
-        step = max(1, SUB_PAIRS // len(ids))
-        for top in range(0, len(query), step):
-            stop = min(top + step, len(query))
-            score = K.quantise(query[top:stop] @ tiles.T)
-            inside = np.flatnonzero(own[top:stop])
-            score[inside, place[top:stop][inside]] = -4.0 * K.SCALE
-            best = K.top_k_columns(score, min(keep, len(ids)))
-            value = np.take_along_axis(score, best, axis=1)
-            row = np.repeat(np.arange(top, stop), best.shape[1])
-            kept = value.reshape(-1) > -2.0 * K.SCALE
-            rows.append(row[kept])
-            columns.append(best.reshape(-1)[kept])
-            values.append(value.reshape(-1)[kept])
-        row = pa.array(np.concatenate(rows))
-        return pa.RecordBatch.from_arrays(
-            [
-                q.column("query_id").combine_chunks().take(row),
-                q.column("fov_deg").combine_chunks().take(row),
-                pa.array(ids[np.concatenate(columns)]),
-                pa.array(np.concatenate(values).astype(np.int64)),
-            ],
-            names=["query_id", "fov_deg", "gallery_id", "coarse_q"],
-        )
+        for first, batch in read_batches(blocks, row_bytes):
+            ids = np.array(batch.column("id").to_pylist())
+            tiles = K.list_matrix(batch.column("signature"), width)
+            place = np.searchsorted(ids, positive)
+            own = np.flatnonzero(ids[np.minimum(place, len(ids) - 1)] == positive)
+            step = max(1, SUB_PAIRS // len(query))
+            for left in range(0, len(ids), step):
+                score = K.quantise(query @ tiles[left : left + step].T)
+                inside = own[(place[own] >= left) & (place[own] < left + score.shape[1])]
+                score[inside, place[inside] - left] = -4.0 * K.SCALE
+                best.add(first + left, score)
+        score, position = best.found()
+        row, column = np.nonzero(score > -2 * K.SCALE)
+        if len(row):
+            taken = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    q.column("query_id").combine_chunks().take(taken),
+                    q.column("fov_deg").combine_chunks().take(taken),
+                    _names(position[row, column], blocks, row_bytes),
+                    pa.array(score[row, column]),
+                ],
+                names=["query_id", "fov_deg", "gallery_id", "coarse_q"],
+            )
 
     fov_type = queries.schema["fov_deg"].dataType.simpleString()
     schema = f"query_id string, fov_deg {fov_type}, gallery_id string, coarse_q bigint"
-    partial = run_cells(left, right, grid, kernel, schema)
+    partial = stream(queries.select(*QUERY_KEY, "positive_id", "signature"), QUERY_KEY, store, plan, kernel, schema)
     order = W.partitionBy(*QUERY_KEY).orderBy(F.desc("coarse_q"), "gallery_id")
     return partial.withColumn("coarse_rank", F.row_number().over(order)).filter(F.col("coarse_rank") <= keep)
 
@@ -123,7 +169,7 @@ def mine(
     width = frequency_count * channels
     signed_queries = with_signature(queries, angular_bins, channels, frequency_count, "valid")
     signed_gallery = with_signature(gallery, angular_bins, channels, frequency_count)
-    # Written once: the rerank reads the candidates for its targets and for the tiles it needs.
+    # Written once, so that a lost rerank task does not run the coarse scan again.
     coarse = durable(
         coarse_candidates(signed_queries, signed_gallery, width, coarse_keep, sizes).select(*QUERY_KEY, "gallery_id")
     )
