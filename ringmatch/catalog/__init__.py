@@ -7,6 +7,7 @@ from ringmatch.catalog import (  # noqa: F401
     manifests,
     metrics,
     mining,
+    patches,
     planning,
     retrieval,
 )

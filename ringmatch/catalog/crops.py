@@ -15,8 +15,8 @@ from ringmatch.session import scratch_path
 
 W = X.PANORAMA_WIDTH
 GEOMETRY_FOVS = (360, 180, 90, 70, 270, 120)
-# Registered input widths of the shared configuration.
-REGISTERED_WIDTHS = {360: 756, 180: 378, 90: 196, 70: 154}
+# Registered input width, patch columns and directions per FoV. Fixed values.
+REGISTERED = {360: (756, 54, 36), 180: (378, 27, 18), 90: (196, 14, 9), 70: (154, 11, 7)}
 
 IDS = f"ids AS (SELECT {S.seven('o_orderkey')} AS id FROM orders)"
 VAL = f"""{S.PAIRS},
@@ -126,17 +126,17 @@ def p9_crop_interval(spark, sf):
 
 @query(
     "p10_fov_geometry",
-    f"""WITH {VAL}, g AS (SELECT query_id, CAST(fov AS BIGINT) AS fov_deg, CAST({W} * fov // 360 AS BIGINT) AS physical
-        FROM val CROSS JOIN {fov_values(GEOMETRY_FOVS)}),
+    f"""WITH {IDS}, g AS (SELECT id AS query_id, CAST(fov AS BIGINT) AS fov_deg, CAST({W} * fov // 360 AS BIGINT) AS physical
+        FROM ids CROSS JOIN {fov_values(GEOMETRY_FOVS)}),
     a AS (SELECT *, CASE fov_deg WHEN 360 THEN 756 WHEN 180 THEN 378 WHEN 90 THEN 196 WHEN 70 THEN 154
           ELSE (physical + 13) // 14 * 14 END AS aligned FROM g)
     SELECT query_id, fov_deg, physical AS physical_crop_width, aligned AS aligned_input_width,
            aligned // 14 AS source_patch_columns, 36 * fov_deg // 360 AS target_direction_bins FROM a""",
 )
 def p10_fov_geometry(spark, sf):
-    crops.validate_fovs(GEOMETRY_FOVS, W, 36)
-    rows = X.split_ids(spark, sf, "val").withColumn("fov_deg", F.explode(X.fov_list(GEOMETRY_FOVS)))
-    geometry = crops.fov_geometry(F.col("fov_deg"), W, 14, 36, REGISTERED_WIDTHS)
+    sizes = crops.fov_sizes(GEOMETRY_FOVS, W, 14, 36, REGISTERED)
+    rows = ids_fovs(spark, sf, GEOMETRY_FOVS).withColumnRenamed("id", "query_id")
+    geometry = crops.fov_geometry(F.col("fov_deg"), W, 14, 36, {f: s.input_px for f, s in sizes.items()})
     return rows.select("query_id", "fov_deg", *[c.alias(n) for n, c in geometry.items()])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -108,16 +109,54 @@ def fov_geometry(
     }
 
 
+class FovSizes(NamedTuple):
+    """What a field of view means for a panorama of a given width, patch size and number of directions."""
+
+    crop_px: int
+    input_px: int
+    patch_columns: int
+    direction_bins: int
+
+
+def _whole_share(fov: int, total: int, of: str) -> int:
+    share, rest = divmod(fov * total, 360)
+    if rest:
+        raise ValueError(f"{fov} of 360 degrees cut {total} {of} at a fraction")
+    return share
+
+
+def fov_sizes(
+    fovs: Sequence[int],
+    panorama_width: int,
+    patch_size: int,
+    angular_bins: int,
+    registered: Mapping[int, tuple[int, int, int]] | None = None,
+) -> dict[int, FovSizes]:
+    """Sizes per FoV, checked before any job starts.
+
+    A crop has its exact pixel width; it is stretched to the next whole number of patches, or to the
+    registered one. ``registered`` holds ``(input_px, patch_columns, direction_bins)`` per FoV; a
+    registered column or bin count that differs from the computed one is refused.
+    """
+    out: dict[int, FovSizes] = {}
+    for fov in map(int, fovs):
+        if fov in out:
+            raise ValueError(f"FoV {fov} is listed twice")
+        if fov < 1 or fov > 360:
+            raise ValueError(f"A FoV of {fov} degrees is no part of a circle")
+        bins = _whole_share(fov, angular_bins, "directions")
+        crop = _whole_share(fov, panorama_width, "pixels")
+        known = (registered or {}).get(fov)
+        wide = known[0] if known else crop + -crop % patch_size
+        columns, rest = divmod(wide, patch_size)
+        if rest or columns < 1:
+            raise ValueError(f"{wide} pixels for FoV {fov} are not whole patches of {patch_size}")
+        if known and tuple(known[1:]) != (columns, bins):
+            raise ValueError(f"FoV {fov} is registered with {known[1:]} columns and directions, its sizes give {(columns, bins)}")
+        out[fov] = FovSizes(crop, wide, columns, bins)
+    return out
+
+
 def validate_fovs(fovs: Sequence[int], panorama_width: int, angular_bins: int) -> tuple[int, ...]:
-    """Check a FoV list before any job starts."""
-    values = tuple(int(f) for f in fovs)
-    if len(set(values)) != len(values):
-        raise ValueError("FoVs must be unique")
-    for fov in values:
-        if not 0 < fov <= 360:
-            raise ValueError(f"FoV must be in (0, 360], got {fov}")
-        if fov * panorama_width % 360:
-            raise ValueError(f"{fov} of 360 degrees are not a whole number of {panorama_width} columns")
-        if fov * angular_bins % 360:
-            raise ValueError(f"FoV {fov} has no whole number of the {angular_bins} direction bins")
-    return values
+    """The FoVs as a tuple, if each is a whole number of pixels and of directions."""
+    return tuple(fov_sizes(fovs, panorama_width, 1, angular_bins))

@@ -25,16 +25,17 @@ def test_pixels_survive_the_round_trip_through_a_heading(spark):
     assert all(r.id == r.px for r in rows)
 
 
-def test_random_crops_share_a_left_edge(spark):
-    expected = (-(137 * 756 // 360)) % 756
-    fovs = spark.createDataFrame([(f,) for f in (360, 180, 90, 70, 270, 120)], "fov bigint")
-    crop = crops.random_crop(F.lit(137), F.col("fov"), 756)
+def test_rolled_crops_begin_where_a_rolled_list_begins(spark):
+    """Against Python: turn the list of pixels to the right by the roll, then take a crop's width from its front."""
+    width = 504
+    rows = spark.createDataFrame([(r, f) for r in range(0, 360, 23) for f in (360, 225, 100, 45, 5)], "roll int, fov bigint")
+    crop = crops.random_crop(F.col("roll"), F.col("fov"), width)
     left, right = crops.crop_interval(F.col("c.center_px"), F.col("c.width"))
-    rows = fovs.select("fov", crop.alias("c")).select("fov", "c.*", left.alias("l"), right.alias("r")).collect()
-    assert {r.fov: r.width for r in rows if r.fov in (360, 180, 90, 70)} == {360: 756, 180: 378, 90: 189, 70: 147}
-    for r in rows:
-        assert r.l % 756 == expected and r.r - r.l == r.width
-        assert r.orientation_u32 * 756 // 2**32 == r.center_px
+    for r in rows.select("roll", "fov", crop.alias("c")).select("roll", "fov", left.alias("l"), right.alias("r")).collect():
+        pixels = list(range(width))
+        by = r.roll * width // 360
+        turned = pixels[-by:] + pixels[:-by] if by else pixels
+        assert [x % width for x in range(r.l, r.r)] == turned[: r.fov * width // 360]
 
 
 def test_training_crops_share_a_center_and_change_with_the_epoch(spark):
@@ -58,6 +59,15 @@ def test_unusable_fov_lists_are_refused(fovs):
         crops.validate_fovs(fovs, 756, 36)
 
 
+def test_sizes_of_fovs_are_checked_against_the_registered_ones():
+    known = {90: (196, 14, 9), 70: (154, 11, 7)}
+    sizes = crops.fov_sizes((360, 120, 90, 70), 756, 14, 36, known)
+    assert sizes[90] == (189, 196, 14, 9) and sizes[120] == (252, 252, 18, 12) and sizes[70].patch_columns == 11
+    for wrong in ({90: (196, 13, 9)}, {90: (196, 14, 8)}, {90: (195, 14, 9)}, {90: (210, 14, 9)}):
+        with pytest.raises(ValueError):
+            crops.fov_sizes((90,), 756, 14, 36, wrong)
+
+
 def test_circular_slice_wraps(spark):
     arr = F.array(*[F.lit(i) for i in range(10)])
     df = spark.createDataFrame([(0, 4), (9, 5), (5, 10)], "c bigint, w bigint")
