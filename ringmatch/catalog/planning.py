@@ -228,7 +228,12 @@ BIN_CASE = "CASE {} WHEN 0 THEN 360 WHEN 1 THEN 180 WHEN 2 THEN 90 ELSE 45 END"
 
 def _hard_sql() -> str:
     """Serial greedy: anchors in priority order, each taking its first 15 unused candidates."""
-    start = S.seed("42", "'pano'", "'train'", "17", "fov_deg", "location", "'fallback_start'")
+    key = S.seed("42", "'pano'", "'train'", "17", "fov_deg", "location", "'fallback'")
+    turns = ",".join(
+        f"""
+    f{r + 1} AS (SELECT priority, key, j, bits, b AS a, xor(a, {S.seed("key", str(r), "b")} % (1 << bits)) AS b FROM f{r})"""
+        for r in range(4)
+    )
     place = S.seed("42", "'pano'", "'train'", "17", "a.fov_deg", "a.location", "'pool_order'", "negative")
     return f"""WITH RECURSIVE {M.POOL_SQL},
     locations AS (SELECT id AS location FROM gallery),
@@ -236,14 +241,16 @@ def _hard_sql() -> str:
       SELECT idx // 4 AS batch, idx % 4 AS f, CAST({BIN_CASE.format("idx % 4")} AS BIGINT) AS fov_deg, location,
              (idx % 4) * {GALLERY_HARD} + idx // 4 AS priority
       FROM {shuffled_sql('locations', HARD_EPOCH, 'hard_anchors')} WHERE idx < 4 * {GALLERY_HARD}),
-    fallback AS (SELECT list(location ORDER BY idx) AS everyone, count(*) AS n
-                 FROM {shuffled_sql('locations', HARD_EPOCH, 'fallback_order')}),
+    half AS (SELECT min(k) AS bits FROM range(1, 32) t(k) WHERE pow(4, k) >= (SELECT count(*) FROM locations)),
+    f0 AS (SELECT priority, {key} AS key, j, bits, j >> bits AS a, j % (1 << bits) AS b
+           FROM anchors CROSS JOIN half CROSS JOIN range((SELECT 1 << 2 * bits FROM half)) t(j)),{turns},
+    fallback AS (SELECT priority, list(location ORDER BY j) AS everyone
+                 FROM f4 JOIN {shuffled_sql('locations', HARD_EPOCH, 'fallback_order')} o ON o.idx = (a << bits) + b GROUP BY priority),
     pools AS (
       SELECT a.priority, list(negative ORDER BY {place}, negative) AS picks
       FROM anchors a JOIN pool p ON p.fov_deg = a.fov_deg AND p.anchor = a.location GROUP BY a.priority),
     prefs AS (
-      SELECT priority, list_concat(picks, list_concat(everyone[({start} % n) + 1:], everyone[1:({start} % n)])) AS picks
-      FROM anchors JOIN pools USING (priority) CROSS JOIN fallback),
+      SELECT priority, list_concat(picks, everyone) AS picks FROM pools JOIN fallback USING (priority)),
     greedy AS (
       SELECT CAST(-1 AS BIGINT) AS priority, (SELECT list(location) FROM anchors) AS used, CAST([] AS VARCHAR[]) AS taken
       UNION ALL

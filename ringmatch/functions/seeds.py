@@ -43,3 +43,28 @@ def bernoulli(probability: float, *items) -> Column:
 def uniform(low: float, high: float, *items) -> Column:
     """Keyed uniform double in [low, high)."""
     return F.lit(float(low)) + F.lit(float(high - low)) * unit_draw(*items)
+
+
+PERMUTATION_ROUNDS = 4
+
+
+def permutation_bits(count: int) -> int:
+    """Bits of each half of a place, so that at least ``count`` places exist."""
+    return max(1, -(-(max(count, 1) - 1).bit_length() // 2))
+
+
+def keyed_permutation(place: Column, key: Column, bits: int) -> Column:
+    """Where a place of ``0 .. 4^bits - 1`` goes in the shuffle that belongs to ``key``.
+
+    A Feistel network: each round replaces one half by its sum (without carry) with a draw that depends on
+    the other half, so every round, and the whole, is one to one. Each key has its own shuffle and
+    any place of it is computed alone, without a list.
+    """
+    size = F.lit(1 << bits).cast("bigint")
+    halves = F.struct(F.shiftright(place.cast("bigint"), bits).alias("a"), (place.cast("bigint") % size).alias("b"))
+
+    def turn(state: Column, number: Column) -> Column:
+        return F.struct(state["b"].alias("a"), state["a"].bitwiseXOR(stable_seed(key, number, state["b"]) % size).alias("b"))
+
+    rounds = F.array(*[F.lit(r) for r in range(PERMUTATION_ROUNDS)])
+    return F.aggregate(rounds, halves, turn, lambda s: s["a"] * size + s["b"])

@@ -1,9 +1,11 @@
 import hashlib
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from ringmatch.functions.seeds import keyed_permutation, permutation_bits
 from ringmatch.operators import assignment, batches, index, lookups, schedules
 from ringmatch.plans.epoch import PlanSettings, check_plan, plan_epoch
 
@@ -14,32 +16,71 @@ def seed(*items):
     return int.from_bytes(hashlib.sha256("::".join(map(str, items)).encode()).digest()[:4], "little")
 
 
+def own_shuffle(key, count):
+    """Every number below ``count`` once, in the order that belongs to the key."""
+    bits = permutation_bits(count)
+    for place in range(4**bits):
+        a, b = place >> bits, place % 2**bits
+        for turn in range(4):
+            a, b = b, a ^ seed(key, turn, b) % 2**bits
+        if a * 2**bits + b < count:
+            yield a * 2**bits + b
+
+
 def serial_greedy(anchors, pool, locations, need, low, high):
-    """One anchor after the other, first free candidates of its shuffled pool, then the fallback."""
+    """One anchor after the other, first free candidates of its shuffled pool, then its own shuffle of all."""
     everyone = sorted(locations, key=lambda x: (seed(*ITEMS, "fallback_order", x), x))
     used = {a[2] for a in anchors}
     out = {}
     for priority, fov, anchor in sorted(anchors):
-        picks = [n for r, n in pool[(fov, anchor)] if low <= r <= high]
+        picks = [n for r, n in pool.get((fov, anchor), ()) if low <= r <= high]
         picks.sort(key=lambda n: (seed(*ITEMS, fov, anchor, "pool_order", n), n))
-        start = seed(*ITEMS, fov, anchor, "fallback_start") % len(everyone)
+        fallback = (everyone[i] for i in own_shuffle(seed(*ITEMS, fov, anchor, "fallback"), len(everyone)))
         taken = []
-        for c in picks + everyone[start:] + everyone[:start]:
-            if len(taken) == need:
-                break
+        for c in itertools.chain(picks, fallback):
             if c not in used:
                 used.add(c)
                 taken.append(c)
+                if len(taken) == need:
+                    break
         out[priority] = taken
     return out
 
 
+@pytest.mark.parametrize("count", [1, 2, 3, 16, 17, 500])
+def test_keyed_permutations_are_one_to_one(spark, count):
+    bits = permutation_bits(count)
+    assert count <= 4**bits < max(4 * count, 5)
+    rows = spark.range(4**bits).crossJoin(spark.range(3).withColumnRenamed("id", "key"))
+    got = rows.select("id", "key", keyed_permutation(F.col("id"), F.col("key"), bits).alias("x")).collect()
+    orders = [[r.x for r in sorted(got, key=lambda r: r.id) if r.key == k] for k in range(3)]
+    for k, order in enumerate(orders):
+        assert sorted(order) == list(range(4**bits))
+        assert [x for x in order if x < count] == list(own_shuffle(k, count))
+    assert count < 17 or orders[0] != orders[1]
+
+
+def test_ten_thousand_anchors_without_a_pool(spark):
+    """All neighbours come from the fallback; the last anchors find two thirds of all locations taken."""
+    count, need, size = 10_000, 3, 60_000
+    locations = [f"l{i:05d}" for i in range(size)]
+    anchors = [(p, 360, locations[(7 * p) % size]) for p in range(count)]
+    anchor_df = spark.createDataFrame(anchors, "priority bigint, fov_deg bigint, location string")
+    none = spark.createDataFrame([], "priority bigint, place bigint, candidate string")
+    location_df = spark.createDataFrame([(x,) for x in locations], "location string")
+    found = {}
+    for r in assignment.assign_neighbours(anchor_df, none, location_df, need, 0, ITEMS, size).collect():
+        found.setdefault(r.priority, {})[r.offset] = r.location
+    want = serial_greedy(anchors, {}, locations, need, 1, 0)
+    assert {p: [held[k] for k in sorted(held)] for p, held in found.items()} == want
+
+
 @pytest.mark.parametrize("case", range(4))
 def test_rounds_equal_the_serial_greedy(spark, case):
     rng = random.Random(case)
-    size, need, width = 80, 3, 8
+    size, need, width = (80, 80, 80, 28)[case], 3, 8
     locations = [f"l{i:03d}" for i in range(size)]
-    count = (10, 15, 19, 20)[case]
+    count = (10, 15, 18, 7)[case]  # the last one uses every location
     popular = locations[:12]
     anchors = [(p, (360, 90)[p % 2], a) for p, a in enumerate(rng.sample(locations, count))]
     pool = {}
