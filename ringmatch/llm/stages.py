@@ -10,23 +10,17 @@ from ringmatch.llm import language, packing, passages, secrets, simhash
 from ringmatch.llm.common import scratch_path, written
 
 
-#: A text whose phrases are shorter than this on average is in none of the learned languages: text of a
-#: learned language has phrases of four letters and more, an unknown script has phrases of one.
-LEAST_PHRASE = 1.5
-
-
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 1: documents in a language that the labelled ones teach; all others go.
 
-    Rejected are texts that are null, hold no letter, or match no learned language. Where no row is
-    labelled nothing can be learned and all documents stay.
+    Rejected are texts that are null, hold no letter, or need more phrases in their nearest language than its own
+    texts do, see ``language.identify``. Where no row is labelled nothing can be learned and all documents stay.
     """
     model = language.fit(docs)
     if not model.languages:
         return docs
     found = docs.withColumn("__found", language.classifier(spark, model)(F.col("text")))
-    known = (F.col("__found.lang_pred") != "und") & (F.col("__found.mean_phrase") >= LEAST_PHRASE)
-    return found.where(known).drop("__found")
+    return found.where("__found.known").drop("__found")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,8 +26,59 @@ def test_phrases_equal_a_search_in_the_sample():
     grid = np.zeros((50, len(texts)), dtype=np.int32)
     for k, t in enumerate(texts):
         grid[: len(t), k] = t
-    got = parser.phrases(grid, np.array([len(t) for t in texts]))
-    assert got.tolist() == [phrases_by_search(sample.tobytes(), t.tobytes()) for t in texts]
+    want = [phrases_by_search(sample.tobytes(), t.tobytes()) for t in texts]
+    assert parser.phrases(grid, np.array([len(t) for t in texts])).tolist() == want
+    parser.write_out()
+    assert parser.phrases(grid, np.array([len(t) for t in texts])).tolist() == want
+
+
+def labelled(extra=()):
+    """Two languages of invented words, and more labelled rows."""
+    rows = [(k, prose(k % 2, 150 + k), ("aa", "bb")[k % 2]) for k in range(80)]
+    return rows + list(extra)
+
+
+def test_tiny_and_letterless_samples_take_nothing(spark):
+    plain = {r["doc_id"]: r["lang_pred"] for r in language.identify(documents(spark, labelled())).collect()}
+    assert all(plain[k] == ("aa", "bb")[k % 2] for k in range(80))
+    for tiny in ("hi there", "zz", "12345", "e"):
+        many = [(1_000 + k, tiny, "tiny") for k in range(3)]
+        found = {r["doc_id"]: r["lang_pred"] for r in language.identify(documents(spark, labelled(many))).collect()}
+        assert all(found[k] == plain[k] for k in range(80)), tiny
+    junk = [(1_000 + k, "".join(chr(97 + (k * i * i + i) % 26) for i in range(400)), "junk") for k in range(20)]
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(documents(spark, labelled(junk))).collect()}
+    assert all(found[k] == plain[k] for k in range(80))
+
+
+def test_any_number_of_letters_is_learned(spark):
+    """300 letters of one script and 300 of another, more than any byte holds."""
+    draw = np.random.default_rng(5)
+    scripts = {"han": 0x4E00, "hangul": 0xAC00}
+    words = {n: [[chr(at + i) for i in draw.integers(0, 300, 3)] for _ in range(200)] for n, at in scripts.items()}
+    text = lambda n: " ".join("".join(words[n][i]) for i in draw.integers(0, 200, 60))
+    rows = [(k, text(n), n) for k, n in enumerate(list(scripts) * 20)]
+    found = {r["doc_id"]: r for r in language.identify(documents(spark, labelled([(r[0] + 500, *r[1:]) for r in rows]))).collect()}
+    assert all(found[k + 500]["lang_pred"] == n for k, _, n in rows)
+
+
+def test_foreign_text_is_not_known(spark, sf_dir):
+    """Unlearned scripts, an unlearned language in learned letters and gibberish; texts of the table stay known."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    draw = np.random.default_rng(4)
+    gibberish = " ".join("".join(chr(97 + c) for c in draw.integers(0, 26, draw.integers(2, 9))) for _ in range(80))
+    foreign = {
+        "hindi": "यह एक साधारण वाक्य है जो किसी और भाषा में लिखा गया है और इसे यहाँ कोई नहीं जानता। " * 5,
+        "tamil": "இது வேறு மொழியில் எழுதப்பட்ட ஒரு சாதாரண வாக்கியம், இதை இங்கே யாரும் அறியவில்லை. " * 5,
+        "tagalog": "Ang wikang ito ay hindi kilala rito kaya dapat itong tanggihan ng unang yugto, gaya ng lahat ng bagay na hindi natin mabasa. " * 3,
+        "russian": "Это обычное предложение на другом языке, которого здесь никто не знает. " * 5,
+        "gibberish": gibberish,
+    }
+    more = spark.createDataFrame([(10_000_000 + k, t, None, "x", 1) for k, t in enumerate(foreign.values())], docs.schema)
+    found = language.identify(docs.unionByName(more)).collect()
+    known = {r["doc_id"]: r["known"] for r in found}
+    assert [n for k, n in enumerate(foreign) if known[10_000_000 + k]] == []
+    own = [r["known"] for r in found if r["doc_id"] < 10_000_000 and r["lang_pred"] != "und"]
+    assert np.mean(own) > 0.97
 
 
 def test_held_out_accuracy(spark, sf_dir):
