@@ -8,8 +8,9 @@ Largest inner product becomes smallest distance by one more coordinate that lift
 the length of the longest. Vectors are hashed in bands of length, each lifted to its own longest,
 so one long vector does not press all others together.
 
-How many tables and probes a band takes is measured in each run: a sample of the queries is compared
-with all rows, and the settings grow until the cells visited hold enough of its true neighbours.
+How many projections, tables and probes a band takes is measured in each run: a sample of the queries is compared
+with all rows, and the cheapest setting is taken whose visited cells hold enough of its true neighbours. The recall
+of that sample in the final result is a column of it.
 """
 
 from __future__ import annotations
@@ -27,14 +28,16 @@ from pyspark.sql import functions as F
 from ringmatch.llm.common import durable, each_run, ship_package
 from ringmatch.llm.vectors import matrix, usable_vectors
 
-#: Tables and probes to begin with; they grow as the measured recall asks for.
-TABLES = 4
-PROBES = 64
 MOST_TABLES, MOST_PROBES = 16, 1_024
+#: Projections of a table at most: all its perturbations are ranked when a setting is measured.
+MOST_PROJECTIONS = 8
 #: Queries compared with all rows, and the share of their true neighbours that the visited cells must hold.
 SAMPLE = 256
-RECALL = 0.98
-#: Sending a query to one more cell costs as much as comparing it with so many rows.
+RECALL = 0.97
+#: A band with fewer true neighbours than this is measured by the nearest rows in the band itself.
+LEAST_PAIRS = 512
+#: Sending a query to one more cell costs as much as comparing it with so many rows; so does, shared among
+#: the queries, one more copy of the rows.
 VISIT_ROWS = 100
 #: Bands of length, each half as long as the one before; the last takes all shorter vectors.
 LENGTH_BANDS = 8
@@ -69,7 +72,7 @@ def probe_order(within: np.ndarray, probes: int) -> list[tuple[tuple[int, int],
 
 
 class Hashes:
-    """The projections of all tables of a band, from a fixed seed. No projection: all points are one cell."""
+    """The projections of all tables of a band, from a fixed seed."""
 
     def __init__(
         self, dimension: int, projections: int, tables: int, probes: int, width: float, longest: float, band: int = 0
@@ -118,18 +121,26 @@ def _lengths(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x * x).sum(axis=1))
 
 
-def recall_of(hashes: Hashes, q: np.ndarray, x: np.ndarray) -> float:
-    """The share of the points ``x[k]`` in cells that the query ``q[k]`` visits."""
-    met = np.zeros(len(x), dtype=bool)
-    asked, of = np.unique(q, axis=0, return_inverse=True)
-    of = of.reshape(-1)
-    for table in range(hashes.tables):
-        keys = hashes.key(hashes.places(x, table, False)[0], table)
-        cells, within = hashes.places(asked, table, True)
-        for k in np.unique(of[~met]).tolist():
-            mine = np.flatnonzero((of == k) & ~met)
-            met[mine] = np.isin(keys[mine], hashes.visited(cells[k], within[k], table))
-    return float(met.mean()) if len(met) else 1.0
+def ranks_of(hashes: Hashes, q: np.ndarray, x: np.ndarray, table: int) -> np.ndarray:
+    """The turn at which query ``q[k]`` visits the cell of the point ``x[k]``, if it visits all cells around its own.
+
+    Points in cells farther off have the number of all perturbations.
+    """
+    steps = np.array(np.meshgrid(*[[0, -1, 1]] * hashes.projections, indexing="ij")).reshape(hashes.projections, -1).T
+    scale = 3 ** np.arange(hashes.projections - 1, -1, -1)
+    points = hashes.places(x, table, False)[0]
+    cells, within = hashes.places(q, table, True)
+    off = points - cells
+    out = np.full(len(x), len(steps))
+    around = np.flatnonzero((np.abs(off) <= 1).all(axis=1))
+    own = np.where(off[around] < 0, 1, 2 * off[around]) @ scale  # place among the steps 0, -1, 1
+    chunk = max(1, 2_000_000 // len(steps))
+    for s in range(0, len(around), chunk):
+        mine = around[s : s + chunk]
+        costs = np.where(steps[None] < 0, within[mine, None, :] ** 2, np.where(steps[None] > 0, (1 - within[mine, None, :]) ** 2, 0.0))
+        costs = costs.sum(axis=2)
+        out[mine] = (costs < costs[np.arange(len(mine)), own[s : s + chunk]][:, None]).sum(axis=1)
+    return out
 
 
 def calibrated(
@@ -139,34 +150,34 @@ def calibrated(
     band: int,
     q: np.ndarray,
     x: np.ndarray,
-    tables: int = TABLES,
-    probes: int = PROBES,
     width: float = WIDTH,
     cell_rows: int = CELL_ROWS,
+    recall: float = RECALL,
 ) -> Hashes:
-    """Hashes of a band of so many rows whose visited cells hold ``RECALL`` of the pairs ``q[k], x[k]``.
+    """Hashes of a band of so many rows whose visited cells hold ``recall`` of the pairs ``q[k], x[k]``.
 
-    Probes and tables grow and cells get coarser, down to one cell of all rows; of the settings that hold
-    enough the cheapest is taken.
+    Of all numbers of projections, tables and probes that hold enough the cheapest are taken; if none do, one
+    projection with all its perturbations in as many tables as there may be.
     """
-    finest = max(1, round(math.log(max(rows / cell_rows, 2)) / math.log(CELLS_PER_PROJECTION)))
-    best = Hashes(dimension, 0, 1, 1, width, longest, band)
-    least = VISIT_ROWS * rows / POINTS + rows
-    if rows <= POINTS:
-        return best
-    for projections in range(finest, 0, -1):
-        tried = (tables, probes)
-        while tried[0] <= MOST_TABLES:
-            visits = tried[0] * min(tried[1], 3**projections)
-            cost = visits * (VISIT_ROWS + rows / CELLS_PER_PROJECTION**projections)
-            if cost >= least:
-                break
-            hashes = Hashes(dimension, projections, *tried, width, longest, band)
-            if recall_of(hashes, q, x) >= RECALL:
-                best, least = hashes, cost
-                break
-            grows = tried[1] < min(MOST_PROBES, 3**projections)
-            tried = (tried[0], 2 * tried[1]) if grows else (2 * tried[0], tried[1])
+    finest = round(math.log(max(rows / cell_rows, 2)) / math.log(CELLS_PER_PROJECTION))
+    best, least = Hashes(dimension, 1, MOST_TABLES, 3, width, longest, band), math.inf
+    for projections in range(1, min(max(1, finest), MOST_PROJECTIONS) + 1):
+        hashes = Hashes(dimension, projections, MOST_TABLES, 1, width, longest, band)
+        turns = np.full(len(x), 3**projections)
+        tables = 1
+        for table in range(MOST_TABLES):
+            turns = np.minimum(turns, ranks_of(hashes, q, x, table))
+            if table + 1 != tables:
+                continue
+            tables *= 2
+            # The fewest probes that meet enough pairs with so many tables.
+            needed = int(np.sort(turns)[max(0, math.ceil(recall * len(turns)) - 1)]) + 1 if len(turns) else 1
+            probes = min(needed, 3**projections)
+            if needed > 3**projections or probes > MOST_PROBES:
+                continue
+            cost = (table + 1) * (probes * (VISIT_ROWS + rows / CELLS_PER_PROJECTION**projections) + VISIT_ROWS)
+            if cost < least:
+                best, least = Hashes(dimension, projections, table + 1, probes, width, longest, band), cost
     return best
 
 
@@ -230,19 +241,23 @@ def _best_in_task(q: np.ndarray, q_ids: np.ndarray, dimension: int, top: int):
     return run
 
 
-def sample_pairs(rows: DataFrame, is_query: Column, dimension: int, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """Queries of a sample and their true neighbours, pair by pair, by comparison with all rows."""
+def sampled_queries(rows: DataFrame, is_query: Column, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and ids of a bounded sample of the queries, by a hash of the id."""
     asked = rows.where(is_query).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    if not asked:
-        return np.empty((0, dimension)), np.empty((0, dimension))
-    q = np.array([r["embedding"] for r in asked], dtype=np.float64)
-    q_ids = np.array([r["vec_id"] for r in asked], dtype=np.int64)
+    q = np.array([r["embedding"] for r in asked], dtype=np.float64).reshape(-1, dimension)
+    return q, np.array([r["vec_id"] for r in asked], dtype=np.int64)
+
+
+def true_pairs(
+    rows: DataFrame, q: np.ndarray, q_ids: np.ndarray, dimension: int, top: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries (row numbers of ``q``), ids and vectors of their true neighbours, by comparison with all rows."""
     found = rows.mapInArrow(_best_in_task(q, q_ids, dimension, top), "query long, found long, score double")
     place = Window.partitionBy("query").orderBy(F.desc("score"), "found")
     best = found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= top).select("query", "found")
-    pairs = best.join(rows, F.col("found") == F.col("vec_id")).select("query", "embedding").collect()
+    pairs = best.join(rows, F.col("found") == F.col("vec_id")).select("query", "vec_id", "embedding").collect()
     x = np.array([r["embedding"] for r in pairs], dtype=np.float64).reshape(-1, dimension)
-    return q[[r["query"] for r in pairs]], x
+    return np.array([r["query"] for r in pairs], dtype=np.int64), np.array([r["vec_id"] for r in pairs], dtype=np.int64), x
 
 
 def best_of(
@@ -333,37 +348,43 @@ def nearest(
     vectors: DataFrame,
     is_query: Column,
     top: int = 20,
-    tables: int = TABLES,
-    probes: int = PROBES,
     width: float = WIDTH,
     cell_rows: int = CELL_ROWS,
+    recall: float = RECALL,
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the nearest ``top`` found for each row that ``is_query`` marks.
+    """``query_id, rank, vec_id, score, sample_recall``: the nearest ``top`` found for each row that ``is_query`` marks.
 
     ``vectors`` has ``vec_id, embedding``. Nearness is the largest inner product in double
     precision; a query's own id is no candidate; ties go to the smaller id, and an id that occurs
     twice is ranked once, at its best. Vectors that are null, zero, of another dimension than most,
     or hold null or non-finite components take no part, nor do rows with a null id. Queries for
     which the probes find fewer than ``top`` are compared with all rows, in blocks. An empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored. ``sample_recall`` is the same in every row: the share of the
+    true neighbours of a sample of the queries that the result holds.
     """
     ship_package(vectors.sparkSession)
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, sample_recall double"
     rows, dimension = usable_vectors(vectors)
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     total, longest = rows.agg(F.count("*"), F.max(length)).first()
     if not total:
         return vectors.sparkSession.createDataFrame([], schema)
     place = F.least(F.lit(LENGTH_BANDS - 1), F.floor(F.log2(F.lit(longest) / length)).cast("int"))
-    held = rows.groupBy(F.greatest(F.lit(0), place).alias("band")).agg(F.count("*").alias("n"), F.max(length).alias("longest"))
-    sample, true = sample_pairs(rows, is_query, dimension, top)
+    band = F.greatest(F.lit(0), place)
+    held = rows.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.max(length).alias("longest"))
+    sample, sample_ids = sampled_queries(rows, is_query, dimension)
+    if not len(sample):
+        return vectors.sparkSession.createDataFrame([], schema)
+    query, true_ids, true = true_pairs(rows, sample, sample_ids, dimension, top)
     of = bands_of(_lengths(true), longest)
     bands = {}
     for r in held.collect():
         mine = of == r["band"]
-        bands[r["band"]] = calibrated(
-            dimension, r["n"], r["longest"], r["band"], sample[mine], true[mine], tables, probes, width, cell_rows
-        )
+        q, x = sample[query[mine]], true[mine]
+        if len(x) < min(LEAST_PAIRS, r["n"]):
+            asked, _, x = true_pairs(rows.where(band == r["band"]), sample, sample_ids, dimension, top)
+            q = sample[asked]
+        bands[r["band"]] = calibrated(dimension, r["n"], r["longest"], r["band"], q, x, width, cell_rows, recall)
     kind = f"key long, vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}"
     asked = rows.where(is_query).mapInArrow(_queries(bands, dimension), kind)
     points = rows.mapInArrow(_points(bands, dimension, longest), kind)
@@ -398,7 +419,7 @@ def nearest(
     short = rows.where(is_query).join(full, F.col("vec_id") == F.col("__done"), "left_anti") if enough else rows.limit(0)
     short = durable(short)
     if not short.count():
-        return found
+        return _with_recall(found, sample_ids[query], true_ids)
     blocks = max(1, math.ceil(total / POINTS))
     query_blocks = max(1, math.ceil(short.count() / QUERIES))
     p_all = rows.select(
@@ -406,10 +427,18 @@ def nearest(
         F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), F.lit(True).alias("point"), "vec_id", "embedding",
     )
     q_all = short.select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("pb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("pb"),
         F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("qb"), F.lit(False).alias("point"), "vec_id", "embedding",
     )
     exact = p_all.unionByName(q_all).withColumn("cell", F.xxhash64("pb", "qb"))
     rest = _ranked(exact.select("cell", "point", "vec_id", "embedding"), dimension, top)
     kept = found.join(short.select(F.col("vec_id").alias("__again")), F.col("query_id") == F.col("__again"), "left_anti")
-    return kept.unionByName(rest)
+    return _with_recall(durable(kept.unionByName(rest)), sample_ids[query], true_ids)
+
+
+def _with_recall(found: DataFrame, query_ids: np.ndarray, true_ids: np.ndarray) -> DataFrame:
+    """The durable result with the share of the given true pairs that it holds."""
+    pairs = {(int(a), int(b)) for a, b in zip(query_ids, true_ids)}
+    wanted = found.sparkSession.createDataFrame([*pairs], "__query long, __true long")
+    met = wanted.join(found, (F.col("__query") == F.col("query_id")) & (F.col("__true") == F.col("vec_id")), "left_semi").count()
+    return found.withColumn("sample_recall", F.lit(met / len(pairs) if pairs else 1.0))
