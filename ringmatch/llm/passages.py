@@ -2,16 +2,18 @@
 
 Two kinds of text pieces are compared.
 
-* Paragraphs (lines of at least ``PARAGRAPH_WORDS`` words): copies collapse, MinHash bands of word
-  shingles bring similar ones together, and colliding paragraphs are verified by exact Jaccard
-  similarity of their shingles.
+* Paragraphs: every line with at least one shingle of ``SHINGLE_WORDS`` words, and blocks of consecutive short lines,
+  which are cut where a line's own digest says so and so begin and end at the same lines in every copy. Copies
+  collapse, MinHash bands of word shingles bring similar ones together, and colliding paragraphs are verified by exact
+  Jaccard similarity of their shingles.
 * Windows inside texts, for passages that stand in the middle of other paragraphs: windows of
   ``WINDOW_WORDS`` words begin where a hash of three words is the least among ``SPREAD``
   neighbours, so a shared passage has the same windows wherever it stands. Any run of
   ``WINDOW_WORDS + SPREAD - 1`` words that two documents share holds a common window.
 
 One document keeps each passage: the smallest ``doc_id`` of the paragraph's component, or of the
-window's holders. Its other occurrences are removals.
+window's holders. Its other occurrences are removals, if what repeats there in a row is long enough: a window,
+neighbouring paragraphs of ``PASSAGE_WORDS`` words together, or the whole document.
 """
 
 from __future__ import annotations
@@ -29,12 +31,17 @@ from ringmatch.llm.components import components
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-PARAGRAPH_WORDS = 50
+#: Repeated paragraphs in a row that hold fewer words together are left where they are.
+PASSAGE_WORDS = 50
+#: A line with fewer words is short; a block of short lines holds so many at least, and four or so times as many at most.
+LINE_WORDS = 50
 WINDOW_WORDS = 36
 SPREAD = 16
 GRAM_WORDS = 3
-#: A pair at similarity s shares a band with probability 1 - (1 - s^3)^10: 0.999 at 0.8.
-BANDS, ROWS = 10, 3
+#: A pair at similarity s shares a band with probability 1 - (1 - s^2)^7: 0.999 at 0.8.
+BANDS, ROWS = 7, 2
+#: Pieces of one digest beyond which it is looked up in a broadcast table instead of meeting in one task.
+HEAVY = 4_096
 #: Paragraphs of a band bucket compared in one block.
 BLOCK = 1_024
 
@@ -98,15 +105,19 @@ def window_starts(hashes: np.ndarray, window: int, spread: int, gram: int = GRAM
     return chosen[chosen + window <= len(hashes)]
 
 
+#: A place: the piece's words ``[word, word + words)`` of a document with ``total`` words, and its code points.
+PLACE = "doc_id long, start long, stop long, word int, words int, total int"
+
+
 def windows(docs: DataFrame, window: int = WINDOW_WORDS, spread: int = SPREAD) -> DataFrame:
-    """``doc_id, digest, start, stop``: every window of every whole text, by a 128-bit digest of its words."""
+    """Places and 128-bit digests of every window of every whole text."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for batch in batches:
             for s in range(0, len(batch), 500):
-                digests, starts, stops, ids = [], [], [], []
+                digests, parts = [], []
                 for doc_id, text in zip(batch["doc_id"].iloc[s : s + 500], batch["text"].iloc[s : s + 500]):
                     hashes, first, last = word_hashes(text)
                     at = window_starts(hashes, window, spread)
@@ -114,53 +125,100 @@ def windows(docs: DataFrame, window: int = WINDOW_WORDS, spread: int = SPREAD) -
                         continue
                     data = hashes.tobytes()
                     digests += [xxhash.xxh3_128_digest(data[8 * a : 8 * (a + window)]) for a in at.tolist()]
-                    starts.append(first[at])
-                    stops.append(last[at + window - 1])
-                    ids.append(np.full(len(at), doc_id))
+                    same = np.full(len(at), 1)
+                    parts.append((doc_id * same, first[at], last[at + window - 1], at, window * same, len(hashes) * same))
                 if digests:
-                    yield pd.DataFrame(
-                        {
-                            "doc_id": np.concatenate(ids),
-                            "digest": digests,
-                            "start": np.concatenate(starts),
-                            "stop": np.concatenate(stops),
-                        }
-                    )
+                    columns = ("doc_id", "start", "stop", "word", "words", "total")
+                    rows = {c: np.concatenate(x) for c, x in zip(columns, zip(*parts))}
+                    yield pd.DataFrame(rows | {"digest": digests})
 
     texts = texts_of(docs).where(F.col("doc_id").isNotNull())
-    return texts.mapInPandas(cut, "doc_id long, digest binary, start long, stop long")
+    return texts.mapInPandas(cut, f"{PLACE}, digest binary")
 
 
-def window_repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, start, stop, keeper``: all windows that stand in more than one document, with who keeps them."""
-    held = windows(docs).groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
-    shared = written(held.where("keeper <> last").select(F.col("digest").alias("__digest"), "keeper"), "shared")
-    return windows(docs).join(shared, F.col("digest") == F.col("__digest")).select("doc_id", "start", "stop", "keeper")
+def _places_of(places: DataFrame, shared: DataFrame) -> DataFrame:
+    """The places whose digest is in ``shared`` (``digest, keeper, held``), with the keeper.
+
+    Digests that more than ``HEAVY`` pieces and a 4,096th of all pieces have, so at most 4,096 of them, are looked up in a
+    broadcast table; the pieces of all others meet their digest in a shuffle.
+    """
+    shared = shared.select(F.col("digest").alias("__digest"), "keeper", "held")
+    most = max(HEAVY, (shared.agg(F.sum("held")).first()[0] or 0) // 4_096)
+    columns = ["doc_id", "start", "stop", "word", "words", "total", "keeper"]
+    met = F.col("digest") == F.col("__digest")
+    heavy, light = shared.where(F.col("held") > most), shared.where(F.col("held") <= most)
+    if heavy.isEmpty():
+        return places.join(light, met).select(*columns)
+    rest = places.join(F.broadcast(heavy.select(F.col("__digest").alias("__heavy"))), F.col("digest") == F.col("__heavy"), "left_anti")
+    return places.join(F.broadcast(heavy), met).select(*columns).unionByName(rest.join(light, met).select(*columns))
 
 
-def paragraphs(docs: DataFrame, least: int = PARAGRAPH_WORDS) -> DataFrame:
-    """``doc_id, start, stop, digest, text`` of lines with at least ``least`` words."""
+def window_repeats(docs: DataFrame) -> DataFrame:
+    """Places of all windows that stand in more than one document, with who keeps them."""
+    places = written(windows(docs), "windows")
+    held = places.groupBy("digest").agg(
+        F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("held")
+    )
+    shared = written(held.where("keeper <> last").drop("last"), "shared")
+    return _places_of(places, shared).withColumn("exact", F.lit(True))
+
+
+def _pieces(text: str) -> tuple[int, list[tuple[int, int, int, int, str]]]:
+    """Words of a text, and its paragraphs ``(start, stop, word, words, joined)``: lines and blocks of short lines."""
+    import xxhash
+
+    out, at, word = [], 0, 0
+    block: list[tuple[int, int, int, list[str]]] = []
+
+    def close() -> None:
+        if len(block) > 1 and sum(len(b[3]) for b in block) >= LINE_WORDS:
+            joined = " ".join(w for b in block for w in b[3])
+            out.append((block[0][0], block[-1][1], block[0][2], sum(len(b[3]) for b in block), joined))
+        block.clear()
+
+    held = 0
+    for line in text.split("\n"):
+        words = line.split()
+        count = len(words)
+        if count >= SHINGLE_WORDS:
+            joined = " ".join(words)
+            out.append((at, at + len(line), word, count, joined))
+        if not 0 < count < LINE_WORDS:
+            close()
+            held = 0
+        else:
+            block.append((at, at + len(line), word, words))
+            held += count
+            # A block ends at a line of its own choice, so that copies end alike whatever stands before.
+            if held >= 4 * LINE_WORDS or held >= LINE_WORDS and xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) % 4 == 0:
+                close()
+                held = 0
+        at += len(line) + 1
+        word += count
+    close()
+    return word, out
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """Places, digests and texts (words joined by single spaces) of all paragraphs."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        columns = ["doc_id", "start", "stop", "word", "words", "total", "digest", "text"]
         for batch in batches:
             for s in range(0, len(batch), 500):
                 rows = []
                 for doc_id, text in zip(batch["doc_id"].iloc[s : s + 500], batch["text"].iloc[s : s + 500]):
-                    at = 0
-                    for line in text.split("\n"):
-                        words = line.split() if len(line) >= 2 * least - 1 else ()
-                        if len(words) >= least:
-                            joined = " ".join(words)
-                            digest = xxhash.xxh3_128_digest(joined.encode("utf-8", "surrogatepass"))
-                            rows.append((doc_id, at, at + len(line), digest, joined))
-                        at += len(line) + 1
+                    total, pieces = _pieces(text)
+                    for start, stop, word, words, joined in pieces:
+                        digest = xxhash.xxh3_128_digest(joined.encode("utf-8", "surrogatepass"))
+                        rows.append((doc_id, start, stop, word, words, total, digest, joined))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "start", "stop", "digest", "text"])
+                    yield pd.DataFrame(rows, columns=columns)
 
     texts = texts_of(docs).where(F.col("doc_id").isNotNull())
-    return texts.mapInPandas(cut, "doc_id long, start long, stop long, digest binary, text string")
+    return texts.mapInPandas(cut, f"{PLACE}, digest binary, text string")
 
 
 def shingle_set(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
@@ -265,14 +323,16 @@ def similar_paragraphs(distinct: DataFrame, similarity: float = SIMILARITY) -> D
     """``a, b``: spanning links between distinct paragraphs (``line, text``) that are similar enough."""
     keys = distinct.select("line", "text").mapInPandas(_bands, "line long, keys array<long>")
     keys = written(keys.select("line", F.explode("keys").alias("key")), "bands")
-    # Paragraphs that meet in one band mostly meet in others too: of buckets with the same members (equal
-    # count and two equal 64-bit member hashes) one is verified.
+    # Most keys have one paragraph. Those that meet in one band mostly meet in others too: of buckets with the
+    # same members (equal count and two equal 64-bit member hashes) one is verified.
+    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select(F.col("key").alias("__many"))
+    keys = written(keys.join(many, F.col("key") == F.col("__many")).select("line", "key"), "met")
     sizes = keys.groupBy("key").agg(
         F.count("*").alias("held"),
         F.bit_xor(F.xxhash64("line")).alias("one"),
         F.bit_xor(F.xxhash64(F.lit("two"), F.col("line"))).alias("two"),
     )
-    sizes = sizes.where("held > 1").groupBy("held", "one", "two").agg(F.min("key").alias("key"))
+    sizes = sizes.groupBy("held", "one", "two").agg(F.min("key").alias("key"))
     sizes = sizes.select(F.col("key").alias("__key"), F.ceil(F.col("held") / BLOCK).cast("int").alias("parts"))
     placed = keys.join(sizes, F.col("key") == F.col("__key")).withColumn(
         "block", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int")
@@ -287,39 +347,64 @@ def similar_paragraphs(distinct: DataFrame, similarity: float = SIMILARITY) -> D
 
 
 def paragraph_repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, start, stop, keeper``: paragraphs whose component stands in more than one document."""
+    """Places of paragraphs whose component stands in more than one document, with who keeps them."""
     lines = paragraphs(docs)
     # Copies collapse before anything is compared; the smallest and largest holder tell whether they repeat.
     holders = lines.groupBy("digest").agg(
-        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("text").alias("text")
+        F.min("doc_id").alias("first"),
+        F.max("doc_id").alias("last"),
+        F.count(F.lit(1)).alias("held"),
+        F.first("text").alias("text"),
     )
     distinct = written(holders.withColumn("line", F.monotonically_increasing_id()), "paragraphs")
     roots = components(durable(similar_paragraphs(distinct)))
-    rooted = distinct.select("digest", "line", "first", "last").join(roots, F.col("line") == F.col("node"), "left")
-    rooted = durable(rooted.select("digest", "first", "last", F.coalesce("root", "line").alias("root")))
+    rooted = distinct.select("digest", "line", "first", "last", "held").join(roots, F.col("line") == F.col("node"), "left")
+    rooted = durable(rooted.select("digest", "first", "last", "held", F.coalesce("root", "line").alias("root")))
     kept = rooted.groupBy("root").agg(F.min("first").alias("keeper"), F.max("last").alias("until"))
     kept = kept.where("keeper <> until").select(F.col("root").alias("__root"), "keeper")
-    shared = rooted.join(kept, F.col("root") == F.col("__root")).select(F.col("digest").alias("__digest"), "keeper")
-    shared = written(shared, "repeated")
-    places = lines.select("doc_id", "start", "stop", "digest")
-    return places.join(shared, F.col("digest") == F.col("__digest")).select("doc_id", "start", "stop", "keeper")
+    shared = rooted.join(kept, F.col("root") == F.col("__root")).select("digest", "keeper", "held")
+    return _places_of(lines.drop("text"), written(shared, "repeated")).withColumn("exact", F.lit(False))
+
+
+def _long_enough(spans: list[dict], least: int) -> list[dict]:
+    """The places that stand in a row of repeated words with a window in it, of ``least`` words, or of all words."""
+    out: list[dict] = []
+    row: list[dict] = []
+    end = 0
+
+    def close() -> None:
+        if row and (any(s["exact"] for s in row) or end - row[0]["word"] >= min(least, row[0]["total"])):
+            out.extend(row)
+
+    for span in sorted(spans, key=lambda s: s["word"]):
+        if row and span["word"] > end:
+            close()
+            row, end = [], 0
+        row.append(span)
+        end = max(end, span["word"] + span["words"])
+    close()
+    return out
 
 
-def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for doc_id, spans in zip(batch["doc_id"], batch["spans"]):
-            run: list | None = None
-            for keeper, start, stop in sorted((s["keeper"], s["start"], s["stop"]) for s in spans):
-                if run is not None and keeper == run[3] and start <= run[2]:
-                    run[2] = max(run[2], stop)
-                    continue
-                if run is not None:
-                    out.append(tuple(run))
-                run = [doc_id, start, stop, keeper, keeper == doc_id]
-            if run is not None:
-                out.append(tuple(run))
-        yield pd.DataFrame(out, columns=["doc_id", "start", "stop", "keeper_id", "kept"])
+def _merged(least: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, spans in zip(batch["doc_id"], batch["spans"]):
+                joined: list | None = None
+                for s in sorted(_long_enough(spans, least), key=lambda s: (s["keeper"], s["word"], s["words"])):
+                    if joined is not None and s["keeper"] == joined[3] and s["word"] <= joined[5]:
+                        joined[2] = max(joined[2], s["stop"])
+                        joined[5] = max(joined[5], s["word"] + s["words"])
+                        continue
+                    if joined is not None:
+                        out.append(tuple(joined[:5]))
+                    joined = [doc_id, s["start"], s["stop"], s["keeper"], s["keeper"] == doc_id, s["word"] + s["words"]]
+                if joined is not None:
+                    out.append(tuple(joined[:5]))
+            yield pd.DataFrame(out, columns=["doc_id", "start", "stop", "keeper_id", "kept"])
+
+    return run
 
 
 def removals(passages: DataFrame) -> DataFrame:
@@ -338,19 +423,21 @@ def removals(passages: DataFrame) -> DataFrame:
     return passages.where("not kept").groupBy("doc_id").agg(F.aggregate(spans, start, step).alias("spans"))
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, least: int = PASSAGE_WORDS) -> DataFrame:
     """``doc_id, start, stop, keeper_id, kept``: the passages of each document that others repeat.
 
-    Spans are in code points, the end exclusive; overlapping spans with one keeper are joined, and those
-    with different keepers are rows of their own, so no keeper is lost. ``kept`` rows stand in the document that keeps the passage, all
+    Spans are in code points, the end exclusive; overlapping and neighbouring spans with one keeper are joined, and those
+    with different keepers are rows of their own, so no keeper is lost. Repeated paragraphs in a row that hold fewer
+    than ``least`` words together have no row, unless they are the whole document. ``kept`` rows stand in the document that keeps the passage, all
     others are removals. A document with neither has no row. Repeats inside one document alone are
     left. Null and blank texts have no passages, rows with a null id neither keep nor lose any, rows
     that share an id count as one document, an empty table gives no rows, other columns are ignored.
     """
     ship_package(docs.sparkSession)
-    spans = window_repeats(docs).unionByName(paragraph_repeats(docs)).distinct()
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "keeper")).alias("spans"))
-    return durable(per_doc.mapInPandas(_merged, "doc_id long, start long, stop long, keeper_id long, kept boolean"))
+    spans = window_repeats(docs).unionByName(paragraph_repeats(docs))
+    place = F.struct("start", "stop", "word", "words", "total", "keeper", "exact")
+    per_doc = spans.groupBy("doc_id").agg(F.collect_list(place).alias("spans"))
+    return durable(per_doc.mapInPandas(_merged(least), "doc_id long, start long, stop long, keeper_id long, kept boolean"))
 
 
 def clustered(passages: DataFrame) -> DataFrame:
