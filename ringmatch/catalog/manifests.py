@@ -14,6 +14,7 @@ from ringmatch.functions.vectors import quantise
 from ringmatch.operators import audits, fingerprints, index, provenance
 from ringmatch.session import scratch_path
 from ringmatch.sources import tables
+from ringmatch.sources.ledger import Ledger, StaleArtifact
 
 # Pair list with some blank annotations, wrong ids and escaping paths.
 PAIR_LIST_SQL = f"""{S.PAIRS},
@@ -492,6 +493,44 @@ def v1_reusable_artifacts(spark, sf):
     return provenance.reusable_artifacts(*metadata(spark, sf))
 
 
+LEDGER_TOTAL = S.q("list_sum(v)")
+
+
+@query(
+    "v1_artifact_ledger",
+    f"""WITH {S.GALLERY}, t AS (SELECT vec_id % 4 AS part, count(*) AS n, sum({LEDGER_TOTAL}) AS total FROM gallery GROUP BY 1)
+    SELECT 'part' || part AS artifact, part < 2 AS usable, CAST(CASE part WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS BIGINT) AS number,
+           CASE WHEN part < 2 THEN n ELSE 0 END AS rows, CAST(CASE WHEN part < 2 THEN total ELSE 0 END AS BIGINT) AS total_q,
+           CASE part WHEN 2 THEN 'artifact' ELSE '' END AS differing FROM t""",
+)
+def v1_artifact_ledger(spark, sf):
+    """Four banks: one committed, one replaced by a newer version, one of another artifact, one that was never committed."""
+    ledger = Ledger(spark, scratch_path(spark, "ledger"))
+    gallery = X.gallery(spark, sf).select("id", "direction", (F.col("vec_id") % 4).alias("part"))
+    expected = {"artifact": "new", "angular_bins": X.BINS}
+    rows = {k: gallery.filter(F.col("part") == k).select("id", "direction") for k in range(4)}
+    ledger.publish("bank", "part0", rows[0], expected)
+    ledger.publish("bank", "part1", rows[1].limit(1), expected | {"artifact": "old"})
+    ledger.publish("bank", "part1", rows[1], expected)
+    ledger.publish("bank", "part2", rows[2], expected | {"artifact": "old"})
+    rows[3].write.parquet(f"{ledger.root}/data/bank/part3/half")
+    wanted = spark.createDataFrame([(f"part{k}", key, str(v)) for k in range(3) for key, v in expected.items()], "artifact string, key string, value string")
+    differing = ledger.mismatches(wanted, "bank").groupBy("artifact").agg(F.array_join(F.array_sort(F.collect_set("key")), ",").alias("differing"))
+    total = F.sum(quantise(F.aggregate("direction", F.lit(0.0), lambda a, x: a + x))).alias("total_q")
+    found = None
+    for k in range(4):
+        try:
+            held = ledger.open("bank", f"part{k}", expected)
+            number = ledger.version("bank", f"part{k}").number
+        except StaleArtifact:
+            held, number = rows[k].limit(0), 0
+        one = held.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(total, F.lit(0)).alias("total_q")).select(
+            F.lit(f"part{k}").alias("artifact"), F.lit(number > 0).alias("usable"), F.lit(number).cast("bigint").alias("number"), "rows", "total_q"
+        )
+        found = one if found is None else found.unionByName(one)
+    return found.join(differing, "artifact", "left").fillna("", ["differing"])
+
+
 @query(
     "v2_build_missing",
     f"""WITH {S.GALLERY} SELECT id, {S.q("list_sum(v)")} AS total_q, {S.seed("id", "'bank'")} % 3 = 0 AS reused FROM gallery""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -12,6 +12,7 @@ from ringmatch.operators import assignment, batches
 from ringmatch.operators.audits import require_empty
 from ringmatch.operators.lookups import plan_lookup
 from ringmatch.operators.mining import pool_mismatch
+from ringmatch.plans.evaluate import open_pool
 from ringmatch.session import durable
 
 
@@ -56,12 +57,19 @@ def hard_rows(
 
 
 def plan_epoch(
-    locations: DataFrame, epoch: int, settings: PlanSettings, pool: DataFrame | None = None, rows: int | None = None
+    locations: DataFrame,
+    epoch: int,
+    settings: PlanSettings,
+    pool: DataFrame | None = None,
+    rows: int | None = None,
+    pool_root: str | None = None,
+    pool_metadata: Mapping[str, object] | None = None,
 ) -> DataFrame:
     """Plan of one epoch: ``epoch, step, position, kind, batch, fov_deg, location, source_epoch, orientation_mode``.
 
     ``locations`` holds the distinct ``location`` ids of one dataset's manifest; ``pool`` is needed
-    only when the epoch's stage asks for hard batches. A pool of another source epoch than the newest
+    only when the epoch's stage asks for hard batches. Instead of ``pool``, ``pool_root`` names the ledger of the
+    mined pools and ``pool_metadata`` what the pool must have been mined with (besides its source epoch). A pool of another source epoch than the newest
     earlier refresh, or one that lacks a FoV, is refused, and so is a plan that fails its audit.
     """
     found = plan_lookup(locations.sparkSession, epoch, settings.stages, settings.refresh)
@@ -79,6 +87,9 @@ def plan_epoch(
     if hard_batches:
         if source is None:
             raise ValueError(f"No pool is older than epoch {epoch}")
+        if pool is None and pool_root is not None:
+            expected = {**(pool_metadata or {}), "source_epoch": source}
+            pool = open_pool(locations.sparkSession, pool_root, source, expected)
         if pool is None:
             raise FileNotFoundError("Hard batches need the mined pool of every FoV")
         require_empty(pool_mismatch(pool, source, settings.fovs), f"The pool is not that of epoch {source}")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -133,19 +133,52 @@ def relative_to_root(df: DataFrame, column: str, root: str) -> DataFrame:
 
 
 def write_once(df: DataFrame, path: str, overwrite: bool = False, partition_by: tuple[str, ...] = ()) -> str:
-    """Parquet sink that refuses an existing target unless told to replace it."""
-    writer = df.write.mode("overwrite" if overwrite else "errorifexists")
+    """Parquet sink that refuses an existing target unless told to replace it.
+
+    A replacement is written beside the target and takes its place by renaming when it is whole, so a
+    failing one leaves the old table as it was. The new rows may come from the old table.
+    """
+    files = _FileSystem(df.sparkSession, path)
+    replaces = files.exists(path)
+    if replaces and not overwrite:
+        raise FileExistsError(f"{path} holds a table and overwriting was not asked for")
+    target = f"{path.rstrip('/')}.{uuid.uuid4().hex}.new" if replaces else path
+    writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     try:
-        writer.parquet(path)
-    except AnalysisException as error:
-        if "PATH_ALREADY_EXISTS" in str(error):
-            raise FileExistsError(f"{path} holds a table and overwriting was not asked for") from error
+        writer.parquet(target)
+    except Exception:
+        if replaces:
+            files.delete(target)
         raise
+    if replaces:
+        old = f"{target[: -len('new')]}old"
+        files.rename(path, old)
+        files.rename(target, path)
+        files.delete(old)
+        df.sparkSession.catalog.refreshByPath(path)
     return path
 
 
+class _FileSystem:
+    """The few file operations of a table swap, on whatever file system a path names."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self._files.exists(self._path(path))
+
+    def rename(self, path: str, to: str) -> None:
+        if not self._files.rename(self._path(path), self._path(to)):
+            raise OSError(f"{path} could not be renamed to {to}")
+
+    def delete(self, path: str) -> None:
+        self._files.delete(self._path(path), True)
+
+
 def parquet_rows(spark: SparkSession, path: str) -> DataFrame:
     """Row count of a Parquet table; no data column is read."""
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
