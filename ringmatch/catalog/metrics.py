@@ -15,6 +15,7 @@ from ringmatch.plans.selection import incomplete_validations, select_best
 from ringmatch.session import scratch_path
 from ringmatch.sources import logs
 from ringmatch.streaming import best
+from ringmatch.streaming import validations as stream_validations
 
 SIMPLE_SCHEMA = T.StructType(
     [
@@ -175,6 +176,24 @@ def e5_select_best(spark, sf):
     return chosen.select("run", settled(F.col("best_macro_recall")).alias("best_macro_q"), "best_epoch")
 
 
+@query(
+    "t1_streaming_validations",
+    f"""WITH {MACRO_SQL} SELECT run, {settled_sql("max(macro)")} AS best_macro_q, arg_min(epoch, (-macro, epoch)) AS best_epoch
+    FROM macro WHERE n = 4 GROUP BY run""",
+)
+def t1_streaming_validations(spark, sf):
+    """Validations whose FoVs arrive one by one, in three appends of the log."""
+    path, state = scratch_path(spark, "log"), scratch_path(spark, "state")
+    fovs = F.create_map(F.col("fov_deg").cast("string"), F.create_map(F.lit("R@1"), F.col("recall_at_1")))
+    records = recalls(spark, sf).select("run", "epoch", F.lit("validation").alias("record_type"), fovs.alias("fovs"))
+    for part in range(3):
+        logs.append_log(records.filter(F.pmod(F.xxhash64("run", "epoch", F.col("fovs").cast("string")), F.lit(3)) == part), path)
+    stream = logs.stream_log(spark, path, files_per_trigger=4)
+    stream_validations.start_validation_stream(stream, X.CROP_FOVS, state, scratch_path(spark, "stream")).awaitTermination()
+    chosen = stream_validations.read_best_validations(spark, state)
+    return chosen.select("run", settled(F.col("best_macro_recall")).alias("best_macro_q"), "best_epoch")
+
+
 @query("e5_incomplete_validations", f"WITH {MACRO_SQL} SELECT run, epoch, n AS fov_rows FROM macro WHERE n <> 4")
 def e5_incomplete_validations(spark, sf):
     return incomplete_validations(spark, validation_log(spark, sf), X.CROP_FOVS)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ringmatch.functions.paths import file_stem, is_relative_inside, under_root
+from ringmatch.sources.files import Files
 
 # Fixed column contract of a pair manifest, in order.
 MANIFEST_SCHEMA = T.StructType(
@@ -138,7 +139,7 @@ def write_once(df: DataFrame, path: str, overwrite: bool = False, partition_by:
     A replacement is written beside the target and takes its place by renaming when it is whole, so a
     failing one leaves the old table as it was. The new rows may come from the old table.
     """
-    files = _FileSystem(df.sparkSession, path)
+    files = Files(df.sparkSession, path)
     replaces = files.exists(path)
     if replaces and not overwrite:
         raise FileExistsError(f"{path} holds a table and overwriting was not asked for")
@@ -161,24 +162,6 @@ def write_once(df: DataFrame, path: str, overwrite: bool = False, partition_by:
     return path
 
 
-class _FileSystem:
-    """The few file operations of a table swap, on whatever file system a path names."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._files = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def exists(self, path: str) -> bool:
-        return self._files.exists(self._path(path))
-
-    def rename(self, path: str, to: str) -> None:
-        if not self._files.rename(self._path(path), self._path(to)):
-            raise OSError(f"{path} could not be renamed to {to}")
-
-    def delete(self, path: str) -> None:
-        self._files.delete(self._path(path), True)
-
-
 def parquet_rows(spark: SparkSession, path: str) -> DataFrame:
     """Row count of a Parquet table; no data column is read."""
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))

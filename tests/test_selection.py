@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 from ringmatch.operators import recall, selection
 from ringmatch.plans.selection import incomplete_validations, select_best
 from ringmatch.sources import logs
-from ringmatch.streaming import best
+from ringmatch.streaming import best, snapshot, validations
 
 FOVS = (360, 180, 90, 70)
 
@@ -93,6 +93,33 @@ def test_stream_replay_equals_the_batch_result(spark, tmp_path):
     assert got == want and len(got) == 4
 
 
+def test_streamed_validations_equal_the_batch_result(spark, tmp_path):
+    """FoVs one by one over many batches, one doubled after it was complete, one not finite; restarts; few files."""
+    log, state, check = (str(tmp_path / n) for n in ("log", "state", "check"))
+    whole = [(f"r{k % 3}", k, f, ((k * 7 + f) % 11) / 11) for k in range(12) for f in FOVS]
+    late = [("r0", 0, 360, 0.9), ("r1", 1, 180, float("nan")), ("r2", 50, 360, 1.0), ("r1", 4, 90, 0.5)]
+    records = [(run, epoch, {fov: value}) for run, epoch, fov, value in whole if (run, epoch, fov) != ("r1", 1, 180)]
+    parts = [records[i::4] for i in range(4)] + [[(run, epoch, {fov: value})] for run, epoch, fov, value in late]
+    for part in parts:
+        logs.append_log(validation(spark, part).coalesce(1), log)
+        stream = logs.stream_log(spark, log, files_per_trigger=1)
+        validations.start_validation_stream(stream, FOVS, state, check).awaitTermination()
+        held = {tuple(r) for r in validations.read_best_validations(spark, state).collect()}
+        assert held == {tuple(r) for r in select_best(spark, log, FOVS, skip_incomplete=True).collect()}
+    found = {(r.run, r.epoch) for r in validations.read_validations(spark, state).collect()}
+    assert found == {(f"r{k % 3}", k) for k in range(12)} - {("r0", 0), ("r1", 1), ("r1", 4)}
+    versions = snapshot.Snapshot(spark, state).versions()
+    assert len(versions) == 2 and len(list((tmp_path / "state").iterdir())) == 2
+    # The same batch again, as after a failure between the write and the stream's own commit.
+    before = sorted(map(tuple, snapshot.Snapshot(spark, state).read().collect()))
+    again = spark.read.parquet(f"{state}/v={versions[-1]}").filter(F.col("batch") == versions[-1])
+    again.write.parquet(str(tmp_path / "again"))
+    rows = spark.read.parquet(str(tmp_path / "again"))
+    newest = lambda m: m.orderBy(F.desc("batch")).dropDuplicates(["run", "epoch"])
+    snapshot.Snapshot(spark, state).merge(rows, versions[-1], newest)
+    assert sorted(map(tuple, snapshot.Snapshot(spark, state).read().collect())) == before
+
+
 def test_step_rollup_and_fov_totals(spark):
     schema = T.StructType([logs.LOG_SCHEMA[c] for c in ("run", "epoch", "step", "record_type", "batch_kind", "loss", "joint_in_batch_accuracy", "fov_counts")])
     rows = [("a", 1, s, "train_step", "hard" if s % 2 else "normal", float(s), s / 10, {"360": 8, "70": s}) for s in range(1, 6)]
