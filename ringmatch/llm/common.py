@@ -28,10 +28,16 @@ def texts_of(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id"), whole_text().alias("text"), *more)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once as a table in the shared folder and read again; lineage ends there."""
+def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+    """The rows, written once as a table in the shared folder and read again; lineage ends there.
+
+    ``compact``: with a denser encoding of numbers and stronger compression, for large tables.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write
+    if compact:
+        writer = writer.option("compression", "zstd").option("parquet.writer.version", "v2")
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -106,11 +106,11 @@ def window_starts(hashes: np.ndarray, window: int, spread: int, gram: int = GRAM
 
 
 #: A place: the piece's words ``[word, word + words)`` of a document with ``total`` words, and its code points.
-PLACE = "doc_id long, start long, stop long, word int, words int, total int"
+PLACE = "doc_id long, start int, stop int, word int, words int, total int"
 
 
 def windows(docs: DataFrame, window: int = WINDOW_WORDS, spread: int = SPREAD) -> DataFrame:
-    """Places and 128-bit digests of every window of every whole text."""
+    """Places and 96-bit digests of every window of every whole text."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -124,7 +124,7 @@ def windows(docs: DataFrame, window: int = WINDOW_WORDS, spread: int = SPREAD) -
                     if not len(at):
                         continue
                     data = hashes.tobytes()
-                    digests += [xxhash.xxh3_128_digest(data[8 * a : 8 * (a + window)]) for a in at.tolist()]
+                    digests += [xxhash.xxh3_128_digest(data[8 * a : 8 * (a + window)])[:12] for a in at.tolist()]
                     same = np.full(len(at), 1)
                     parts.append((doc_id * same, first[at], last[at + window - 1], at, window * same, len(hashes) * same))
                 if digests:
@@ -155,12 +155,12 @@ def _places_of(places: DataFrame, shared: DataFrame) -> DataFrame:
 
 def window_repeats(docs: DataFrame) -> DataFrame:
     """Places of all windows that stand in more than one document, with who keeps them."""
-    places = written(windows(docs), "windows")
-    held = places.groupBy("digest").agg(
+    # Windows are many and quickly cut, so they are cut twice instead of being stored.
+    held = windows(docs).groupBy("digest").agg(
         F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("held")
     )
     shared = written(held.where("keeper <> last").drop("last"), "shared")
-    return _places_of(places, shared).withColumn("exact", F.lit(True))
+    return _places_of(windows(docs), shared).withColumn("exact", F.lit(True))
 
 
 def _pieces(text: str) -> tuple[int, list[tuple[int, int, int, int, str]]]:
@@ -168,29 +168,28 @@ def _pieces(text: str) -> tuple[int, list[tuple[int, int, int, int, str]]]:
     import xxhash
 
     out, at, word = [], 0, 0
-    block: list[tuple[int, int, int, list[str]]] = []
+    block: list[tuple[int, int, int, str]] = []
 
     def close() -> None:
-        if len(block) > 1 and sum(len(b[3]) for b in block) >= LINE_WORDS:
-            joined = " ".join(w for b in block for w in b[3])
-            out.append((block[0][0], block[-1][1], block[0][2], sum(len(b[3]) for b in block), joined))
+        if len(block) > 1 and held >= LINE_WORDS:
+            out.append((block[0][0], block[-1][1], block[0][2], held, " ".join(b[3] for b in block)))
         block.clear()
 
     held = 0
     for line in text.split("\n"):
         words = line.split()
         count = len(words)
+        joined = " ".join(words)
         if count >= SHINGLE_WORDS:
-            joined = " ".join(words)
             out.append((at, at + len(line), word, count, joined))
         if not 0 < count < LINE_WORDS:
             close()
             held = 0
         else:
-            block.append((at, at + len(line), word, words))
+            block.append((at, at + len(line), word, joined))
             held += count
             # A block ends at a line of its own choice, so that copies end alike whatever stands before.
-            if held >= 4 * LINE_WORDS or held >= LINE_WORDS and xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) % 4 == 0:
+            if held >= 4 * LINE_WORDS or held >= LINE_WORDS and xxhash.xxh3_64_intdigest(joined.encode("utf-8", "surrogatepass")) % 4 == 0:
                 close()
                 held = 0
         at += len(line) + 1
@@ -322,7 +321,7 @@ def _verify(similarity: float):
 def similar_paragraphs(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``a, b``: spanning links between distinct paragraphs (``line, text``) that are similar enough."""
     keys = distinct.select("line", "text").mapInPandas(_bands, "line long, keys array<long>")
-    keys = written(keys.select("line", F.explode("keys").alias("key")), "bands")
+    keys = written(keys.select("line", F.explode("keys").alias("key")), "bands", compact=True)
     # Most keys have one paragraph. Those that meet in one band mostly meet in others too: of buckets with the
     # same members (equal count and two equal 64-bit member hashes) one is verified.
     many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select(F.col("key").alias("__many"))
@@ -356,7 +355,7 @@ def paragraph_repeats(docs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("held"),
         F.first("text").alias("text"),
     )
-    distinct = written(holders.withColumn("line", F.monotonically_increasing_id()), "paragraphs")
+    distinct = written(holders.withColumn("line", F.monotonically_increasing_id()), "paragraphs", compact=True)
     roots = components(durable(similar_paragraphs(distinct)))
     rooted = distinct.select("digest", "line", "first", "last", "held").join(roots, F.col("line") == F.col("node"), "left")
     rooted = durable(rooted.select("digest", "first", "last", "held", F.coalesce("root", "line").alias("root")))
