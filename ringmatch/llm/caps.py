@@ -5,12 +5,19 @@ so a few hundred codewords span many thousand directions, and a vector finds all
 its cap by list-decoding block by block. Vectors that share a filter are compared exactly. A pair is
 counted in the first filter that both share, so nothing has to be made distinct afterwards. Copies
 of a vector are one row.
+
+Vectors with directions in common would crowd into the same filters. Directions that a bounded sample shows to be
+common are left out of the coordinates that are filtered: what two near vectors differ by does not grow by that, so
+they stay near in the rest, by a bound that follows from the length of their rest. Vectors with a shorter rest than
+planned are compared with all others in blocks. How many directions go, how long the rest must be and how large the
+caps are is what costs least by the sample's cosines; links are decided on the original vectors.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +28,15 @@ from ringmatch.llm.common import durable, each_run, ship_package
 from ringmatch.llm.components import components
 from ringmatch.llm.vectors import matrix, usable, usable_vectors
 
-#: Unrelated vectors in a filter on average; the cap's height follows from it.
-FILTER_ROWS = 64
+#: Unrelated vectors in a filter on average that are tried; the cap's height follows from it.
+FILTER_ROWS = (64, 16, 4)
+#: Vectors in the sample that the plan is made from, and numbers of common directions that are tried.
+SAMPLE = 4_096
+COMMON = (0, 1, 2, 4, 8)
+#: Shares of vectors whose rest may be shorter than planned, so that they are compared with all.
+SHORT = (0.0, 0.001, 0.01)
+#: Putting a vector into one more filter costs as much as comparing it with so many.
+MEMBER_ROWS = 40
 #: Filters per code that two vectors at the least similarity share on average. Several turned codes miss far
 #: fewer pairs than one of the same total size.
 SHARED = 2
@@ -36,6 +50,7 @@ CODEWORDS = 512
 BLOCK = 1_024
 
 
+@lru_cache(maxsize=32)
 def sphere_tail(dimension: int) -> tuple[np.ndarray, np.ndarray]:
     """Cosines, rising, and the share of the unit sphere that has at least this cosine to a direction."""
     if dimension < 2:
@@ -136,11 +151,12 @@ class Filters:
 
     How many codes it takes is measured: products of codewords are no independent directions, and the
     sphere's tails depend on the dimension. As the codes are turned at random, what random pairs of a
-    cosine show holds for the pairs of any table.
+    cosine show holds for the pairs of any table. ``whole`` is false if too few of the pairs meet with as many codes
+    as there may be; then filters are no way to find them.
     """
 
-    def __init__(self, dimension: int, rows: int, similarity: float):
-        cosine = cap_height(dimension, min(0.25, FILTER_ROWS / max(rows, 1)), similarity)
+    def __init__(self, dimension: int, rows: int, similarity: float, filter_rows: float = FILTER_ROWS[0]):
+        cosine = cap_height(dimension, min(0.25, filter_rows / max(rows, 1)), similarity)
         wanted = max(64.0, SHARED / max(1e-12, both_above(dimension, cosine, similarity)))
         blocks = min(dimension, max(2, math.ceil(math.log(wanted) / math.log(CODEWORDS))))
         width = min(CODEWORDS, math.ceil(wanted ** (1 / blocks)))
@@ -151,11 +167,10 @@ class Filters:
             code = ProductCode(dimension, blocks, width, cosine * math.sqrt(dimension), len(self.codes))
             self.codes.append(code)
             shared += code.shared(a, b)
-        if not shared.all():
-            raise ValueError(f"{MOST_CODES} codes leave pairs of cosine {similarity} in {dimension} dimensions apart")
+        self.whole = bool(shared.all())
         self.per_code = width**blocks
-        if self.per_code * len(self.codes) >= 1 << 31:
-            raise ValueError("Filter numbers take 31 bits")
+        #: Numbers of filters take 64 bits where 32 do not hold them.
+        self.number = np.int32 if self.per_code * len(self.codes) < 1 << 31 else np.int64
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Offsets per row and, row by row, the ascending numbers of the filters that hold it."""
@@ -167,18 +182,77 @@ class Filters:
         row, number = np.concatenate(rows), np.concatenate(numbers)
         order = np.lexsort((number, row))
         offsets = np.searchsorted(row[order], np.arange(len(unit) + 1))
-        return offsets.astype(np.int32), number[order].astype(np.int32)
-
-
-def _decode(filters: Filters, dimension: int):
+        return offsets.astype(np.int32), number[order].astype(self.number)
+
+
+class Plan:
+    """The coordinates that are filtered, the least length of a vector in them, and the filters."""
+
+    def __init__(self, sample: np.ndarray, rows: int, similarity: float):
+        dimension = sample.shape[1]
+        unit = _unit(sample)
+        _, turned = np.linalg.eigh(unit.T @ unit)
+        draw = np.random.default_rng(3)
+        i, j = draw.integers(0, len(unit), (2, 20_000))
+        i, j = i[i != j], j[i != j]
+        least = None
+        for common in COMMON:
+            if common and (dimension - common < 8 or len(unit) < 64):
+                break
+            rest = unit @ turned[:, : dimension - common]
+            length = np.sqrt((rest * rest).sum(axis=1))
+            fine = length > 1e-6
+            cosine = ((rest[i] * rest[j]).sum(axis=1) / np.maximum(length[i] * length[j], 1e-12))[fine[i] & fine[j]]
+            for short in SHORT if common else SHORT[:1]:
+                reach = float(np.quantile(length, short)) if common else 1.0
+                near = 1 - (1 - similarity) / max(reach * reach, 1e-9)
+                if common and near < 0.5:
+                    continue
+                for filter_rows in FILTER_ROWS:
+                    cost = self._cost(dimension - common, rows, near, filter_rows, cosine) + short * rows
+                    if least is None or cost < least[0]:
+                        least = (cost, common, reach if common else 0.0, near, filter_rows)
+        _, common, self.reach, near, filter_rows = least
+        self.turn = None if not common else np.ascontiguousarray(turned[:, : dimension - common])
+        self.filters = Filters(dimension - common, rows, near if common else similarity, filter_rows)
+        if not self.filters.whole:
+            self.reach = math.inf  # no filters: all are compared with all
+
+    @staticmethod
+    def _cost(dimension: int, rows: int, near: float, filter_rows: float, cosine: np.ndarray) -> float:
+        """Vectors that one is compared with, filters that it is put into counted along."""
+        height = cap_height(dimension, min(0.25, filter_rows / max(rows, 1)), near)
+        steps = np.linspace(-0.3, 1.0, 14)
+        met = np.array([both_above(dimension, height, x) for x in steps.tolist()])
+        filters = 3 * LEAST_SHARED / max(1e-12, both_above(dimension, height, near))
+        share = both_above(dimension, height, 1.0)
+        unrelated = float(np.interp(cosine, steps, met).mean()) if len(cosine) else share * share
+        return filters * (unrelated * rows + MEMBER_ROWS * share)
+
+    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Offsets and filters as :meth:`Filters.decode`, and which rows are compared with all instead."""
+        unit = _unit(x)
+        if self.turn is not None:
+            unit = unit @ self.turn
+        length = np.sqrt((unit * unit).sum(axis=1))
+        short = length < self.reach
+        if short.all():
+            return np.zeros(len(x) + 1, dtype=np.int32), np.zeros(0, dtype=self.filters.number), short
+        row = np.flatnonzero(~short)
+        offsets, numbers = self.filters.decode(unit[row] / length[row, None])
+        sizes = np.zeros(len(x), dtype=np.int32)
+        sizes[row] = np.diff(offsets)
+        return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), numbers, short
+
+
+def _decode(plan: Plan, dimension: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
-                x = matrix(part.column(1), dimension)
-                offsets, numbers = filters.decode(_unit(x))
+                offsets, numbers, short = plan.decode(matrix(part.column(1), dimension))
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(numbers))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["class_id", "filters"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(short)], ["class_id", "filters", "short"])
 
     return run
 
@@ -262,6 +336,57 @@ def _link(dimension: int, similarity: float):
     return run
 
 
+def _link_short(dimension: int, similarity: float):
+    """Groups of a block of short vectors and a block of all: links of the former to the latter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in each_run(batches, "group"):
+            held = pa.Table.from_batches(list(parts)).combine_chunks()
+            asks = held.column("asks").to_numpy(zero_copy_only=False)
+            if asks.all() or not asks.any():
+                continue
+            ids, n = held.column("class_id").to_numpy(), held.column("n").to_numpy()
+            short = held.column("short").to_numpy(zero_copy_only=False)
+            unit = _unit(matrix(held.column("embedding").combine_chunks(), dimension))
+            near = (unit[asks] @ unit[~asks].T >= similarity) & (ids[asks][:, None] != ids[~asks][None, :])
+            row, column = np.nonzero(near)
+            if not len(row):
+                continue
+            a, b = ids[asks][row], ids[~asks][column]
+            # A pair of two short ones is met from both sides and counted for the one that asks.
+            back = ~short[~asks][column]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([a, b[back]])),
+                    pa.array(np.concatenate([n[~asks][column], n[asks][row[back]]])),
+                    pa.array(np.concatenate([b, a[back]])),
+                ],
+                ["class_id", "links", "root"],
+            )
+
+    return run
+
+
+def _short_links(full: DataFrame, total: int, dimension: int, similarity: float) -> DataFrame | None:
+    """Links of the short vectors to all others, block by block; None if there are none."""
+    asking = full.where("short")
+    count = asking.count()
+    if not count:
+        return None
+    blocks, asked = max(1, math.ceil(total / BLOCK)), max(1, math.ceil(count / BLOCK))
+    columns = ["class_id", "embedding", "n", "short"]
+
+    def side(rows: DataFrame, own: int, others: int, asks: bool) -> DataFrame:
+        mine = F.pmod(F.xxhash64("class_id"), F.lit(own)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        placed = rows.select(*columns, mine.alias("mine"), each.alias("other"), F.lit(asks).alias("asks"))
+        return placed.withColumn("group", F.concat_ws(":", *(("mine", "other") if asks else ("other", "mine"))))
+
+    both = side(asking, asked, blocks, True).unionByName(side(full, blocks, asked, False))
+    dealt = both.repartition(F.col("group")).sortWithinPartitions("group")
+    return dealt.select("group", *columns, "asks").mapInArrow(_link_short(dimension, similarity), LINKS)
+
+
 def near_vectors(vectors: DataFrame, similarity: float = 0.9) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors`` (``vec_id, embedding``).
 
@@ -279,8 +404,15 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.9) -> DataFrame:
     alone = vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if not total:
         return alone.withColumn("kept", F.col("vec_id").isNotNull())
-    decode = _decode(Filters(dimension, total, similarity), dimension)
-    lists = durable(classes.select("class_id", "embedding").mapInArrow(decode, "class_id long, filters array<int>"))
+    share = min(1.0, 2 * SAMPLE / total)
+    picked = classes.where(F.pmod(F.xxhash64("class_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    sample = [r["embedding"] for r in picked.orderBy(F.xxhash64("class_id")).limit(SAMPLE).select("embedding").collect()]
+    if not sample:
+        sample = [classes.first()["embedding"]]
+    plan = Plan(np.array(sample, dtype=np.float64), total, similarity)
+    kind = "int" if plan.filters.number is np.int32 else "long"
+    schema = f"class_id long, filters array<{kind}>, short boolean"
+    lists = durable(classes.select("class_id", "embedding").mapInArrow(_decode(plan, dimension), schema))
     members = lists.select("class_id", F.explode("filters").alias("filter"))
     sizes = members.groupBy("filter").agg(F.count("*").alias("held")).where("held > 1")
     sizes = durable(sizes.select(F.col("filter").alias("__filter"), F.ceil(F.col("held") / BLOCK).cast("int").alias("parts")))
@@ -292,9 +424,13 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.9) -> DataFrame:
         "class_id", "filter", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
     full = classes.select("class_id", "embedding", "n").join(lists, "class_id")
-    dealt = met.join(full, "class_id").withColumn("group", F.concat_ws(":", "filter", "low", "high"))
+    dealt = met.join(full.drop("short"), "class_id").withColumn("group", F.concat_ws(":", "filter", "low", "high"))
+    # Only smaller filters matter in a group: the pair may have been counted there.
+    dealt = dealt.withColumn("filters", F.filter("filters", lambda f: f < F.col("filter")))
     dealt = dealt.repartition(F.col("group")).sortWithinPartitions("group")
-    found = durable(dealt.mapInArrow(_link(dimension, similarity), LINKS))
+    found = dealt.mapInArrow(_link(dimension, similarity), LINKS)
+    more = _short_links(full.drop("filters"), total, dimension, similarity) if plan.reach else None
+    found = durable(found if more is None else found.unionByName(more))
     partners = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
     by_class = durable(

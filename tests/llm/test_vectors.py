@@ -54,6 +54,57 @@ def test_links_equal_brute_force(spark, monkeypatch, block):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
+def leaning(seed, count, dimension, mean_cosine):
+    """Vectors that lean to one direction, so that two of them have this cosine on average; near pairs among them."""
+    draw = np.random.default_rng(seed)
+    x = draw.standard_normal((count, dimension))
+    x[:, 0] += np.sqrt(dimension * mean_cosine / (1 - mean_cosine))
+    x[1 : count // 20 : 2] = x[0 : count // 20 - 1 : 2] + 0.33 * draw.standard_normal((len(x[1 : count // 20 : 2]), dimension))
+    return x @ np.linalg.qr(draw.standard_normal((dimension, dimension)))[0]
+
+
+@pytest.mark.parametrize("mean_cosine", [0.0, 0.3, 0.5])
+def test_leaning_vectors_cost_no_more_than_a_share_of_all_pairs(mean_cosine):
+    x = leaning(6, 20_000, 64, mean_cosine)
+    plan = caps.Plan(x[:: len(x) // caps.SAMPLE][: caps.SAMPLE], 50_000, 0.9)
+    offsets, numbers, short = plan.decode(x)
+    load = np.bincount(np.unique(numbers, return_inverse=True)[1])
+    compared = float((load.astype(float) ** 2).sum()) / len(x) ** 2 + short.mean()
+    assert compared < 0.15
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = [(k, k + 1) for k in range(0, len(x) // 20 - 1, 2) if unit[k] @ unit[k + 1] >= 0.9]
+    missed = [
+        not (short[a] or short[b]) and not len(np.intersect1d(numbers[offsets[a] : offsets[a + 1]], numbers[offsets[b] : offsets[b + 1]]))
+        for a, b in near
+    ]
+    assert len(near) > 100 and sum(missed) == 0
+
+
+def test_a_thousand_million_rows_are_planned():
+    plan = caps.Plan(leaning(7, 2_000, 64, 0.0), 1_000_000_000, 0.9)
+    assert plan.filters.whole and plan.filters.number is np.int64
+    a, b = caps.pairs_at(64, 0.9, 200, 5)
+    (s, x), (t, y) = plan.filters.decode(a), plan.filters.decode(b)
+    assert all(len(np.intersect1d(x[s[k] : s[k + 1]], y[t[k] : t[k + 1]])) for k in range(200))
+
+
+@pytest.mark.parametrize("codes", [caps.MOST_CODES, 1])
+def test_short_rests_and_failing_filters_are_compared_with_all(spark, monkeypatch, codes):
+    """Leaning vectors, some of them hardly off the common direction; and a code too few, so that all are compared."""
+    monkeypatch.setattr(caps, "MOST_CODES", codes)
+    monkeypatch.setattr(caps, "BLOCK", 128)
+    x = leaning(8, 900, 32, 0.6)
+    common = x.mean(axis=0)
+    x[850:] = common + 0.05 * x[850:]
+    rows = [(k, v.tolist()) for k, v in enumerate(x.astype(np.float32))]
+    m = x.astype(np.float32).astype(np.float64)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    roots = components_of(range(900), lambda a, b: near[a, b])
+    want = [(k, int(near[k].sum()) - 1, roots[k], roots[k] == k) for k in range(900)]
+    assert sorted(map(tuple, caps.near_vectors(table(spark, rows)).collect())) == want
+
+
 def test_filters_find_pairs_at_the_least_similarity():
     draw = np.random.default_rng(2)
     a = draw.standard_normal((1_500, 64))
