@@ -214,10 +214,10 @@ def validation_log(spark, sf):
 
 BATCH = 50
 A11_SQL = f"""WITH {S.QUERIES},{S.ROTATED},
-side AS (SELECT query_id, vec_id // {BATCH} AS batch, v, list_transform(v, lambda x, i: CASE WHEN (i - 1) % 8 >= 4 THEN x ELSE 0.0::DOUBLE END) AS vo
-         FROM queries WHERE fov_deg = 360),
+side AS (SELECT query_id, vec_id // {BATCH} AS batch, v, list_transform(v, lambda x, i: CASE WHEN (i - 1) % 8 >= 4 THEN x ELSE 0.0::DOUBLE END) AS vo,
+         nv FROM queries WHERE fov_deg = CASE vec_id % 4 WHEN 0 THEN 360 WHEN 1 THEN 180 WHEN 2 THEN 90 ELSE 45 END),
 tiles AS (SELECT gid, k, rv, CAST(gid AS BIGINT) // {BATCH} AS batch FROM rotated),
-m AS (SELECT batch, query_id AS i, gid AS j, max(list_inner_product(v, rv) / 8) AS s, max(list_inner_product(vo, rv) / 8) AS o
+m AS (SELECT batch, query_id AS i, gid AS j, max(list_inner_product(v, rv) / nv) AS s, max(list_inner_product(vo, rv) / nv) AS o
       FROM side JOIN tiles USING (batch) GROUP BY ALL),
 stacked AS (SELECT batch, i, j, 'joint' AS kind, s FROM m UNION ALL SELECT batch, i, j, 'order', o FROM m),
 n AS (SELECT *, s / 0.07::DOUBLE - ln(sum(exp(s / 0.07::DOUBLE)) OVER (PARTITION BY kind, batch, i)) AS lr,
@@ -234,7 +234,9 @@ FROM losses a JOIN losses b ON a.batch = b.batch AND a.kind = 'joint' AND b.kind
 
 @query("a11_contrastive_diagnostics", A11_SQL)
 def a11_contrastive_diagnostics(spark, sf):
-    queries = X.queries(spark, sf, fovs=(360,))
+    """Planned batches of 50 rows with all FoVs in turn, so that masks differ inside a batch."""
+    fov = F.element_at(X.fov_list(X.BIN_FOVS), (F.col("vec_id") % 4 + 1).cast("int"))
+    queries = X.queries(spark, sf).filter(F.col("fov_deg") == fov)
     tiles = X.gallery(spark, sf).select(F.col("id").alias("positive_id"), F.col("direction").alias("tile"))
     rows = queries.join(tiles, "positive_id").select(
         F.floor(F.col("vec_id") / BATCH).cast("bigint").alias("batch"),
@@ -243,7 +245,7 @@ def a11_contrastive_diagnostics(spark, sf):
         "valid",
         "tile",
     )
-    out = contrast.contrastive_diagnostics(rows, X.BINS, X.CHANNELS, 4, BATCH)
+    out = contrast.contrastive_diagnostics(rows, X.BINS, X.CHANNELS, 4, block_rows=32)
     names = {"joint_loss": "joint_q", "order_loss": "order_q", "total_loss": "total_q"}
     names |= {"joint_accuracy": "joint_accuracy_q", "order_accuracy": "order_accuracy_q"}
     return out.select("batch", "rows", *[quantise(F.col(c)).alias(n) for c, n in names.items()])

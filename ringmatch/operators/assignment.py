@@ -97,7 +97,7 @@ def assign_neighbours(
         offered = offered.filter(F.col("place") >= F.col("next")).drop("next")
         if falling:
             if order is None:
-                order = durable(shuffled_index(locations.select("location"), [*seed_items, "fallback_order"], ["location"]))
+                order = durable(shuffled_index(locations.select("location"), [*seed_items, "fallback_order"], ["location"], rows=rows))
             rest = fallback_places(short.filter("until IS NOT NULL"), order, rows, pool_size, seed_items)
             rest = rest.join(reserved, "candidate", "left_anti")
             offered = offered.unionByName(rest.select("priority", "place", "candidate"))

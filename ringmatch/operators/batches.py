@@ -19,11 +19,13 @@ def _pick(values: Sequence[int], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(int(v)).cast("bigint") for v in values]), (index + 1).cast("int"))
 
 
-def hard_anchors(locations: DataFrame, hard_batches: int, fovs: Sequence[int], seed_items: Sequence[object]) -> DataFrame:
+def hard_anchors(
+    locations: DataFrame, hard_batches: int, fovs: Sequence[int], seed_items: Sequence[object], rows: int | None = None
+) -> DataFrame:
     """First ``hard_batches x FoVs`` shuffled locations, dealt by batch, then FoV (offset 0)."""
     count = len(fovs)
     index = F.col("shuffle_index")
-    order = shuffled_index(locations.select("location"), [*seed_items, "hard_anchors"], ["location"])
+    order = shuffled_index(locations.select("location"), [*seed_items, "hard_anchors"], ["location"], rows=rows)
     return order.filter(index < hard_batches * count).select(
         F.lit("hard").alias("kind"),
         int_div(index, F.lit(count).cast("bigint")).alias("batch"),
@@ -40,6 +42,7 @@ def normal_fill(
     per_fov: int,
     fovs: Sequence[int],
     seed_items: Sequence[object],
+    rows: int | None = None,
 ) -> DataFrame:
     """Shuffle the unused locations and cut them into FoV groups batch after batch; the rest is left out."""
     free = locations.select("location")
@@ -47,7 +50,7 @@ def normal_fill(
         free = free.join(used.select("location"), "location", "left_anti")
     count = len(fovs)
     index = F.col("shuffle_index")
-    order = shuffled_index(free, [*seed_items, "normal_locations"], ["location"])
+    order = shuffled_index(free, [*seed_items, "normal_locations"], ["location"], rows=rows)
     group = int_div(index, F.lit(per_fov).cast("bigint"))
     return order.filter(index < normal_batches * per_fov * count).select(
         F.lit("normal").alias("kind"),
@@ -87,7 +90,7 @@ def batch_schedule(spark: SparkSession, normal_batches: int, hard_batches: int,
         F.when(number < normal_batches, "normal").otherwise("hard").alias("kind"),
         F.when(number < normal_batches, number).otherwise(number - normal_batches).alias("batch"),
     )
-    return shuffled_index(batches, [*seed_items, "batch_schedule"], ["kind", "batch"], name="step")
+    return shuffled_index(batches, [*seed_items, "batch_schedule"], ["kind", "batch"], name="step", rows=normal_batches + hard_batches)
 
 
 def shard(position: Column, per_shard: int) -> Column:

@@ -69,13 +69,15 @@ def shuffled_index(
     id_cols: Sequence[str],
     partition_cols: Sequence[str] = (),
     name: str = "shuffle_index",
-    block_bits: int = 12,
+    rows: int | None = None,
 ) -> DataFrame:
     """0-based position in the keyed random order of the rows.
 
-    The order is by seed, then by id. The seed is uniform, so its leading bits give even blocks;
-    raise ``block_bits`` with the row count (2^bits blocks).
+    The order is by seed, then by id. The seed is uniform, so its leading bits give even blocks, about as many as
+    a block has rows. ``rows``: how many rows there are, about; they are counted where the caller does not know.
     """
+    rows = df.count() if rows is None else rows
+    block_bits = min(32, max(4, (max(rows, 1).bit_length() + 1) // 2))
     keyed = df.withColumn("_seed", stable_seed(*seed_items, *[F.col(c) for c in id_cols]))
     numbered = blocked_row_number(
         keyed,

@@ -41,7 +41,7 @@ def hard_rows(
     fovs = list(settings.fovs)
     need = settings.per_fov - 1
     fov_order = F.create_map(*[F.lit(x) for i, f in enumerate(fovs) for x in (int(f), i)])
-    anchors = batches.hard_anchors(locations, hard_batches, fovs, seed_items)
+    anchors = batches.hard_anchors(locations, hard_batches, fovs, seed_items, rows)
     priority = F.element_at(fov_order, F.col("fov_deg").cast("int")).cast("bigint") * hard_batches + F.col("batch")
     anchors = durable(anchors.withColumn("priority", priority))
     low, high = settings.rank_range
@@ -95,7 +95,7 @@ def plan_epoch(
         require_empty(pool_mismatch(pool, source, settings.fovs), f"The pool is not that of epoch {source}")
         used = hard_rows(locations, pool, hard_batches, settings, seed_items, rows)
     normal = batches.normal_fill(
-        locations, used, steps - hard_batches, settings.per_fov, settings.fovs, seed_items
+        locations, used, steps - hard_batches, settings.per_fov, settings.fovs, seed_items, rows
     )
     all_rows = normal if used is None else normal.unionByName(used)
     placed = batches.interleave(all_rows, settings.fovs, seed_items)
