@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from ringmatch.catalog import fixtures as X
 from ringmatch.catalog import sql as S
 from ringmatch.catalog.registry import query
-from ringmatch.functions.canonical import canonical_json, sha256_json
+from ringmatch.functions.canonical import canonical_json, canonical_map_json, colliding_keys, sha256_json
 from ringmatch.functions.paths import fill_template, is_relative_inside, numeric_id
 from ringmatch.functions.seeds import stable_seed
 from ringmatch.functions.vectors import quantise
-from ringmatch.operators import audits, fingerprints, index, provenance
+from ringmatch.operators import audits, batches, fingerprints, index, provenance
 from ringmatch.session import scratch_path
 from ringmatch.sources import tables
 from ringmatch.sources.ledger import Ledger, StaleArtifact
@@ -531,6 +531,68 @@ def v1_artifact_ledger(spark, sf):
     return found.join(differing, "artifact", "left").fillna("", ["differing"])
 
 
+MERGE_SHARDS = 7
+
+
+@query(
+    "x3_shard_outputs",
+    f"""WITH {S.PAIRS}, l AS (SELECT id, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM pairs),
+    s AS (SELECT *, ((i + 1) * {MERGE_SHARDS} - 1) // n AS shard FROM l),
+    p AS (SELECT *, i - min(i) OVER (PARTITION BY shard) AS place, count(*) OVER (PARTITION BY shard) AS size FROM s),
+    o AS (SELECT shard, CASE WHEN shard = 4 AND place IN (3, 4) THEN 7 - place ELSE place END AS place, id FROM p
+          WHERE NOT (shard = 2 AND place = 10) AND shard <> 6
+          UNION ALL SELECT shard, place, id FROM p WHERE shard = 5 AND place = size - 1)
+    SELECT p.shard, CAST(max(coalesce(k.rows, 0)) AS BIGINT) AS rows, count(*) AS expected_rows,
+           coalesce(max(k.rows) = count(*) AND max(k.places) = max(k.rows) AND max(k.last) = max(k.rows) - 1, false) AS contiguous,
+           coalesce(max(k.rows) = count(*) AND max(k.places) = max(k.rows) AND max(k.last) = max(k.rows) - 1 AND max(k.moved) = 0, false) AS in_order
+    FROM p LEFT JOIN (SELECT o.shard, count(*) AS rows, count(DISTINCT o.place) AS places, max(o.place) AS last,
+                             count(*) FILTER (WHERE o.id <> q.id) AS moved
+                      FROM o JOIN p q ON q.shard = o.shard AND q.place = o.place GROUP BY o.shard) k ON k.shard = p.shard
+    GROUP BY p.shard""",
+)
+def x3_shard_outputs(spark, sf):
+    """Seven shard outputs: one with a gap, one with two rows swapped, one with a row twice, one missing."""
+    rows = X.table(spark, sf, "orders").count()
+    listed = X.pairs(spark, sf).select((F.col("ordinal") - 1).cast("bigint").alias("index"), "id")
+    low = F.element_at(F.array(*[F.lit(rows * r // MERGE_SHARDS) for r in range(MERGE_SHARDS)]), (F.col("shard") + 1).cast("int"))
+    high = F.element_at(F.array(*[F.lit(rows * (r + 1) // MERGE_SHARDS) for r in range(MERGE_SHARDS)]), (F.col("shard") + 1).cast("int"))
+    number = batches.shard_of_index(F.col("index"), rows, MERGE_SHARDS)
+    placed = listed.withColumn("shard", number).withColumn("place", F.col("index") - low)
+    kept = placed.filter(~((F.col("shard") == 2) & (F.col("place") == 10)) & (F.col("shard") != 6))
+    swapped = (F.col("shard") == 4) & F.col("place").isin(3, 4)
+    outputs = kept.select("shard", F.when(swapped, 7 - F.col("place")).otherwise(F.col("place")).alias("place"), "id")
+    twice = placed.filter((F.col("shard") == 5) & (F.col("index") == high - 1)).select("shard", "place", "id")
+    return audits.shard_outputs_audit(outputs.unionByName(twice), listed, rows, MERGE_SHARDS)
+
+
+LINES_SQL = "lines AS (SELECT l_orderkey, l_linenumber AS k, CAST(l_quantity AS BIGINT) AS q FROM lineitem)"
+
+
+@query(
+    "p15_map_keys",
+    f"""WITH {LINES_SQL}, e AS (SELECT l_orderkey, CAST(k * 5 AS VARCHAR) AS k, max(q) AS q FROM lines GROUP BY ALL)
+    SELECT l_orderkey, '{{' || string_agg('"' || k || '":' || q, ',' ORDER BY k) || '}}' AS json FROM e GROUP BY l_orderkey""",
+)
+def p15_map_keys(spark, sf):
+    """Number keys become strings and are put in string order: 10 before 5."""
+    lines = X.table(spark, sf, "lineitem").groupBy("l_orderkey", (F.col("l_linenumber") * 5).alias("key")).agg(
+        F.max(F.col("l_quantity").cast("bigint")).alias("value")
+    )
+    entries = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct("key", "value")).alias("entries"))
+    return entries.select("l_orderkey", canonical_map_json(F.col("entries")).alias("json"))
+
+
+@query(
+    "p15_colliding_keys",
+    f"""WITH {LINES_SQL} SELECT l_orderkey, CAST(k // 2 AS VARCHAR) AS json_key, count(*) AS copies FROM lines
+    GROUP BY ALL HAVING count(*) > 1""",
+)
+def p15_colliding_keys(spark, sf):
+    """Keys that differ as numbers of two types and are equal as strings."""
+    lines = X.table(spark, sf, "lineitem").select("l_orderkey", F.floor(F.col("l_linenumber") / 2).alias("key"))
+    return colliding_keys(lines, ["l_orderkey"], "key")
+
+
 @query(
     "v2_build_missing",
     f"""WITH {S.GALLERY} SELECT id, {S.q("list_sum(v)")} AS total_q, {S.seed("id", "'bank'")} % 3 = 0 AS reused FROM gallery""",

@@ -111,6 +111,25 @@ def a16_step_rollup(spark, sf):
     )
 
 
+@query(
+    "a16_fov_totals",
+    f"""WITH {LOG_SQL}, f AS (SELECT run, epoch, 360 AS fov, k % 5 AS n FROM numbered WHERE record_type <> 'view'
+        UNION ALL SELECT run, epoch, 70, 3 FROM numbered WHERE record_type <> 'view' AND k % 2 = 0)
+    SELECT run, epoch, CAST(fov AS BIGINT) AS fov_deg, CAST(sum(n) AS BIGINT) AS rows FROM f GROUP BY ALL""",
+)
+def a16_fov_totals(spark, sf):
+    """Rows per FoV of the step records in a written log; records of other kinds do not count."""
+    both = F.create_map(F.lit("360"), F.col("k") % 5, F.lit("70"), F.lit(3).cast("bigint"))
+    one = F.create_map(F.lit("360"), F.col("k") % 5)
+    kind = F.when(F.col("record_type") == "view", "validation").otherwise("train_step")
+    records = metric_log(spark, sf).select(
+        "run", "epoch", "step", kind.alias("record_type"), F.when(F.col("k") % 2 == 0, both).otherwise(one).alias("fov_counts")
+    )
+    path = scratch_path(spark, "log")
+    logs.append_log(records, path)
+    return selection.fov_totals(logs.read_log(spark, path))
+
+
 @query(
     "w10_best_so_far",
     f"""WITH {LOG_SQL}, p AS (SELECT run, step, loss, max(loss) OVER (PARTITION BY run ORDER BY step

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ringmatch.functions.crops import int_div
+
 from ringmatch.functions.paths import is_relative_inside, numeric_id
 
 
@@ -198,3 +200,36 @@ def require_empty(violations: DataFrame, message: str, shown: int = 3) -> None:
     examples = violations.limit(shown).coalesce(1).collect()
     if examples:
         raise ValueError(f"{message}: first={[tuple(r) for r in examples]}")
+
+
+def shard_outputs_audit(outputs: DataFrame, expected: DataFrame, rows: int, shards: int) -> DataFrame:
+    """Whether shard outputs, put one after the other, are the expected list: one row per shard.
+
+    ``outputs``: ``shard, place`` (0-based, in the shard's own output), ``id``; ``expected``: ``index, id`` of the whole list
+    of ``rows``. A shard covers a contiguous range of the list. ``contiguous``: its places are 0, 1, 2, ... up to the end of its
+    range, each once. ``in_order``: a digest over (place, id), which merges in any order of rows but depends on
+    every row's place, equals that of the list's range. Nothing is sorted, and no shard is held in one task.
+    """
+    bounds = [(rows * r // shards, rows * (r + 1) // shards) for r in range(shards)]
+    number = int_div((F.col("index") + 1) * shards - 1, F.lit(rows).cast("bigint"))
+    low = F.element_at(F.array(*[F.lit(b).cast("bigint") for b, _ in bounds]), (F.col("shard") + 1).cast("int"))
+
+    def digest(df: DataFrame) -> list:
+        whole = F.bit_xor(F.xxhash64("place", "id")).alias("digest"), F.bit_xor(F.xxhash64("id", "place")).alias("other")
+        return [F.count(F.lit(1)).alias("rows"), F.min("place").alias("first"), F.max("place").alias("last"), *whole]
+
+    listed = expected.select(number.alias("shard"), "index", "id").withColumn("place", F.col("index") - low)
+    wanted = listed.groupBy("shard").agg(*digest(listed))
+    found = outputs.groupBy("shard").agg(*digest(outputs), F.count_distinct("place").alias("places"))
+    wanted = wanted.select("shard", F.col("rows").alias("expected_rows"), F.col("digest").alias("_digest"), F.col("other").alias("_other"))
+    joined = wanted.join(found, "shard", "full_outer")
+    contiguous = (F.col("rows") == F.col("expected_rows")) & (F.col("places") == F.col("rows")) & (F.col("first") == 0)
+    contiguous = F.coalesce(contiguous & (F.col("last") == F.col("rows") - 1), F.lit(False))
+    equal = F.col("digest").eqNullSafe(F.col("_digest")) & F.col("other").eqNullSafe(F.col("_other"))
+    return joined.select(
+        "shard",
+        F.coalesce("rows", F.lit(0)).alias("rows"),
+        F.coalesce("expected_rows", F.lit(0)).alias("expected_rows"),
+        contiguous.alias("contiguous"),
+        (contiguous & equal).alias("in_order"),
+    )

@@ -30,7 +30,8 @@ def local_session(cpus: int | str = "*", app: str = "ringmatch", shuffle_partiti
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
 
-    Only where the session names none is a folder made here, for single-machine runs.
+    Only where the session names none is a folder made here, and only for runs on one machine: executors on
+    others could not read it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -39,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ringmatch-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

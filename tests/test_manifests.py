@@ -258,3 +258,22 @@ def test_bank_and_pool_stores_replace_only_their_partition(spark, tmp_path):
     assert banks.pool_epochs(spark, path) == [16, 24]
     assert banks.publish_newest(spark, path, str(tmp_path / "new")) == 24
     assert banks.pool_epochs(spark, str(tmp_path / "new")) == [24]
+
+
+def test_shard_outputs_are_compared_by_place(spark):
+    from ringmatch.operators import audits
+
+    names = [f"x{i:02d}" for i in range(20)]
+    listed = spark.createDataFrame(list(enumerate(names)), "index bigint, id string")
+    whole = [(0, p, names[p]) for p in range(6)] + [(1, p, names[6 + p]) for p in range(7)] + [(2, p, names[13 + p]) for p in range(7)]
+
+    def found(rows):
+        frame = spark.createDataFrame(rows, "shard int, place bigint, id string").repartition(4)
+        return {r.shard: (r.contiguous, r.in_order) for r in audits.shard_outputs_audit(frame, listed, 20, 3).collect()}
+
+    assert set(found(whole).values()) == {(True, True)}
+    swapped = [(s, {2: 3, 3: 2}.get(p, p) if s == 1 else p, i) for s, p, i in whole]
+    assert found(swapped) == {0: (True, True), 1: (True, False), 2: (True, True)}
+    assert found(whole[1:])[0] == (False, False) and found(whole[:13])[2] == (False, False)
+    assert found(whole + whole[-1:])[2] == found(whole + 2 * whole[-1:])[2] == (False, False)
+    assert found([*whole[:-1], (2, 6, "other")])[2] == (True, False)
