@@ -299,21 +299,79 @@ def linked_roots(sets: list[np.ndarray], similarity: float, sides: np.ndarray |
     return labels
 
 
-def _verify(similarity: float):
+def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of many texts one after the other, sorted per text, and where each text's begin."""
+    hashes, starts, _ = word_hashes("\n".join(texts))
+    owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+    n = max(0, len(hashes) - SHINGLE_WORDS + 1)
+    shingles = np.zeros(n, dtype=np.uint64)
+    for k in range(SHINGLE_WORDS):
+        shingles = shingles * np.uint64(_BASE) + hashes[k : k + n]
+    inside = np.flatnonzero(owner[:n] == owner[SHINGLE_WORDS - 1 : SHINGLE_WORDS - 1 + n])
+    values, of = _mixed(shingles[inside]), owner[inside]
+    # Texts of fewer words are one shingle.
+    for short in np.flatnonzero(np.bincount(of, minlength=len(texts)) == 0).tolist():
+        values, of = np.append(values, shingle_set(texts[short])), np.append(of, short)
+    order = np.lexsort((values, of))
+    values, of = values[order], of[order]
+    fresh = np.ones(len(values), dtype=bool)
+    fresh[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
+    return values[fresh], np.searchsorted(of[fresh], np.arange(len(texts) + 1))
+
+
+def _verified(groups: list[pa.Table], similarity: float) -> pa.RecordBatch:
+    """Links of many groups: pairs all at once, larger groups one by one."""
+    texts = [t for g in groups for t in g.column("text").to_pylist()]
+    lines = np.concatenate([g.column("line").to_numpy() for g in groups])
+    values, bounds = shingle_sets(texts)
+    sizes = np.diff(bounds)
+    first = np.concatenate([[0], np.cumsum([g.num_rows for g in groups])])
+    counts = np.diff(first)
+    across = np.array([g.column("low")[0].as_py() != g.column("high")[0].as_py() for g in groups])
+    a, b = [], []
+    pairs = np.flatnonzero(counts == 2)
+    if len(pairs):
+        group_of = np.full(len(texts), -1)
+        group_of[first[pairs]] = group_of[first[pairs] + 1] = np.arange(len(pairs))
+        of = np.repeat(group_of, sizes)
+        kept, at = values[of >= 0], of[of >= 0]
+        order = np.lexsort((kept, at))
+        kept, at = kept[order], at[order]
+        twice = (kept[1:] == kept[:-1]) & (at[1:] == at[:-1])
+        common = np.bincount(at[1:][twice], minlength=len(pairs))
+        total = sizes[first[pairs]] + sizes[first[pairs] + 1]
+        near = common >= similarity * (total - common)
+        blocks = np.concatenate([g.column("block").to_numpy() for g in groups])
+        near &= ~across[pairs] | (blocks[first[pairs]] != blocks[first[pairs] + 1])
+        a.append(lines[first[pairs][near] + 1])
+        b.append(lines[first[pairs][near]])
+    for number in np.flatnonzero(counts > 2).tolist():
+        rows = range(first[number], first[number + 1])
+        sets = [values[bounds[r] : bounds[r + 1]] for r in rows]
+        sides = groups[number].column("block").to_numpy() if across[number] else None
+        labels = linked_roots(sets, similarity, sides)
+        other = np.flatnonzero(labels != np.arange(len(labels)))
+        a.append(lines[first[number] + other])
+        b.append(lines[first[number] + labels[other]])
+    none = [np.zeros(0, dtype=np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or none)), pa.array(np.concatenate(b or none))], ["a", "b"])
+
+
+def _verify(similarity: float, together: int = 400_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.Table] = []
+        size = 0
         for _, parts in each_run(batches, "group"):
             held = pa.Table.from_batches(list(parts))
             if held.num_rows < 2:
                 continue
-            lines = held.column("line").to_numpy()
-            block = held.column("block").to_numpy()
-            across = held.column("low")[0].as_py() != held.column("high")[0].as_py()
-            sets = [shingle_set(t) for t in held.column("text").to_pylist()]
-            labels = linked_roots(sets, similarity, block if across else None)
-            other = labels != np.arange(len(lines))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lines[other]), pa.array(lines[labels[other]])], ["a", "b"]
-            )
+            waiting.append(held)
+            size += held.column("text").nbytes + 500
+            if size >= together:
+                yield _verified(waiting, similarity)
+                waiting, size = [], 0
+        if waiting:
+            yield _verified(waiting, similarity)
 
     return run
 

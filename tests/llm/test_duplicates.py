@@ -262,6 +262,14 @@ def test_linked_roots_equal_brute_force_jaccard():
     assert pairs == {(a, b): got[a] == got[b] for a in range(60) for b in range(60)}
 
 
+def test_shingle_sets_of_many_texts_equal_those_of_each():
+    texts = [prose(3, 40), "", "one", "a b c d", "a b c d e", prose(4, 200), "x " * 50, prose(3, 40)]
+    values, bounds = passages.shingle_sets(texts)
+    assert len(bounds) == len(texts) + 1
+    for k, text in enumerate(texts):
+        assert values[bounds[k] : bounds[k + 1]].tolist() == passages.shingle_set(text).tolist()
+
+
 def test_similar_paragraphs_reach_high_recall(spark):
     rows, pairs = [], []
     for k in range(150):
