@@ -34,7 +34,8 @@ HELD_WORDS = 500_000
 #: Marks that end a word.
 MARKS = frozenset(".,;:!?")
 GAP = 0xFFFFFFFF
-NO_ID = 1 << 33
+#: Tasks that the occurrences of a word too long for the broadcast table are dealt over.
+LONG_WORD_TASKS = 32
 
 
 def plain(text: str, whole: list[str]) -> list[str]:
@@ -122,7 +123,11 @@ def rare_ids(gaps: DataFrame, tokenizer, narrow: bool) -> DataFrame:
             batch["doc_id"] = batch["doc_id"].astype("Int64")
             yield batch[["doc_id", "print", "at", "ids"]]
 
-    met = gaps.repartition(F.col("word")).sortWithinPartitions("word")
+    # Longer words never enter the broadcast table, however often they occur: their occurrences are dealt over
+    # some tasks, each of which encodes the word once.
+    long = F.char_length("word") > LONGEST_FREQUENT
+    salt = F.when(long, F.pmod(F.xxhash64("doc_id", "print", "at"), F.lit(LONG_WORD_TASKS))).otherwise(F.lit(0))
+    met = gaps.withColumn("salt", salt).repartition(F.col("word"), F.col("salt")).sortWithinPartitions("word")
     return met.mapInPandas(encode, "doc_id long, print long, at int, ids binary")
 
 
@@ -147,14 +152,13 @@ def _named(docs: DataFrame) -> DataFrame:
     """``doc_id, print, text`` such that the first two name a text; ids are not null.
 
     Where every id occurs once, ``print`` is 0, which costs nothing on the way; else it tells texts under
-    one id apart, and null ids are 0 with ``NO_ID`` added to it.
+    one id apart by 63 bits of a hash, and its lowest bit marks a null id.
     """
     texts = texts_of(docs)
     counts = texts.groupBy("doc_id").count().where("doc_id is null or count > 1")
     if counts.isEmpty():
         return texts.select("doc_id", F.lit(0).cast("long").alias("print"), "text")
-    no_id = F.when(F.col("doc_id").isNull(), F.lit(NO_ID)).otherwise(F.lit(0))
-    mark = F.crc32(F.col("text").cast("binary")) + no_id
+    mark = F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("doc_id").isNull().cast("long"))
     return texts.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), mark.alias("print"), "text")
 
 
@@ -227,7 +231,7 @@ def encode_documents(
     filled = rare_ids(gaps, tokenizer, narrow)
     per_text = filled.groupBy("doc_id", "print").agg(F.collect_list(F.struct("at", "ids")).alias("gaps"))
     joined = split.select("doc_id", "print", "numbers").join(per_text, ["doc_id", "print"], "left")
-    own = F.when(F.col("print") < NO_ID, F.col("doc_id")).alias("doc_id")
+    own = F.when(F.col("print").bitwiseAND(F.lit(1)) == 0, F.col("doc_id")).alias("doc_id")
     pieces = spark.sparkContext.broadcast(piece_table(text) if decode else [])
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

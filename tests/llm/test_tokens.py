@@ -157,3 +157,16 @@ def test_any_white_space_between_words():
     encode = packing._ids_of_text(open(BYTE, encoding="utf-8").read())
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts] == want
+
+
+def test_many_null_ids_and_a_hot_long_word(spark):
+    """Texts without ids are told apart; a word of 90 letters in every text is dealt over tasks and still right."""
+    library = Tokenizer.from_file(WORD)
+    hot = "licence" * 13
+    rows = [(None, f"{prose(k, 6)} {hot} {'q' * 70}{k}") for k in range(300)] + [(k % 40, f"{hot} {prose(1_000 + k, 5)}") for k in range(200)]
+    want = []
+    for doc_id, text in rows:
+        ids = library.encode(text, add_special_tokens=False).ids
+        want.append((doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()))
+    got = word_table.digests(word_table.encode_documents(documents(spark, rows), WORD, frequent_words=5, decode=True))
+    assert rows_of(got, "doc_id", "n_tokens", "ids_sha256") == sorted(want, key=repr)
