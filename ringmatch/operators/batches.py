@@ -166,3 +166,43 @@ def plan_audit(plan: DataFrame, fovs: Sequence[int], per_fov: int, shards: int =
     )
     both = totals.unionByName(shard_audit, allowMissingColumns=True)
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
+def plan_faults(plan: DataFrame, fovs: Sequence[int], per_fov: int, shards: int = 1) -> DataFrame:
+    """One row with everything that makes a plan unusable, in one job over two aggregates.
+
+    ``steps, rows, distinct_locations, unbalanced_shards`` as :func:`plan_audit`, the rows of unknown FoVs, and the batches
+    whose positions are not exactly 0 to the batch size.
+    """
+    batch_rows = per_fov * len(fovs)
+    number = shard(F.col("position"), batch_rows // shards)
+    parts = plan.groupBy("step", number.alias("shard")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_distinct("position").alias("places"),
+        F.min("position").alias("first"),
+        F.max("position").alias("last"),
+        F.count_if(~F.col("fov_deg").isin([int(f) for f in fovs])).alias("unknown"),
+        *[F.count_if(F.col("fov_deg") == int(f)).alias(f"fov_{int(f)}") for f in fovs],
+    )
+    off = F.lit(False)
+    for f in fovs:
+        off = off | (F.col(f"fov_{int(f)}") != per_fov // shards)
+    per_step = parts.groupBy("step").agg(
+        F.sum("rows").alias("rows"),
+        F.sum("places").alias("places"),
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+        F.sum("unknown").alias("unknown"),
+        F.count_if(off).alias("off"),
+    )
+    whole = (F.col("rows") == batch_rows) & (F.col("places") == batch_rows) & (F.col("first") == 0) & (F.col("last") == batch_rows - 1)
+    totals = per_step.agg(
+        F.count(F.lit(1)).alias("steps"),
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum("off"), F.lit(0)).alias("unbalanced_shards"),
+        F.coalesce(F.sum("unknown"), F.lit(0)).alias("unknown_fovs"),
+        F.count_if(~whole).alias("position_gaps"),
+    )
+    places = plan.groupBy("location").count().agg(F.count(F.lit(1)).alias("distinct_locations"))
+    both = totals.unionByName(places, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])

@@ -117,11 +117,13 @@ def plan_epoch(
 
 def check_plan(plan: DataFrame, steps: int, settings: PlanSettings, shards: int = 1) -> None:
     """Refuse a plan that reuses a location, has the wrong length or is off its FoV quota."""
-    audit = batches.plan_audit(plan, settings.fovs, settings.per_fov, shards).first()
+    audit = batches.plan_faults(plan, settings.fovs, settings.per_fov, shards).first()
     rows = steps * settings.batch_rows
     if audit["steps"] != steps or audit["rows"] != rows or audit["distinct_locations"] != rows:
         raise RuntimeError(f"Epoch plan reuses a location or has the wrong length: {audit.asDict()}")
     if audit["unbalanced_shards"]:
         raise RuntimeError(f"{audit['unbalanced_shards']} shards are not FoV-balanced")
-    require_empty(batches.unknown_fovs(plan, settings.fovs), "Unsupported FoVs in the plan")
-    require_empty(batches.position_gaps(plan, settings.batch_rows), "Positions must cover every batch row once")
+    if audit["unknown_fovs"]:
+        raise RuntimeError(f"{audit['unknown_fovs']} plan rows have unsupported FoVs")
+    if audit["position_gaps"]:
+        raise RuntimeError(f"{audit['position_gaps']} batches do not have every position once")
