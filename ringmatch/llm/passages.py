@@ -139,18 +139,21 @@ def windows(docs: DataFrame, window: int = WINDOW_WORDS, spread: int = SPREAD) -
 def _places_of(places: DataFrame, shared: DataFrame) -> DataFrame:
     """The places whose digest is in ``shared`` (``digest, keeper, held``), with the keeper.
 
-    Digests that more than ``HEAVY`` pieces and a 4,096th of all pieces have, so at most 4,096 of them, are looked up in a
-    broadcast table; the pieces of all others meet their digest in a shuffle.
+    Digests that more than ``HEAVY`` pieces and a 4,096th of all pieces have, so at most 4,096 of them, are copied, and
+    their pieces are dealt over the copies; a broadcast table says how many there are. The places are cut once.
     """
-    shared = shared.select(F.col("digest").alias("__digest"), "keeper", "held")
     most = max(HEAVY, (shared.agg(F.sum("held")).first()[0] or 0) // 4_096)
+    copies = F.greatest(F.lit(1), F.ceil(F.col("held") / most).cast("int"))
+    shared = shared.select(F.col("digest").alias("__digest"), "keeper", copies.alias("copies"))
+    heavy = shared.where("copies > 1").select(F.col("__digest").alias("__heavy"), F.col("copies").alias("__copies"))
+    number = F.lit(0)
+    if not heavy.isEmpty():
+        places = places.join(F.broadcast(heavy), F.col("digest") == F.col("__heavy"), "left")
+        number = F.pmod(F.xxhash64("doc_id", "start"), F.coalesce("__copies", F.lit(1))).cast("int")
+    dealt = shared.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    met = (F.col("digest") == F.col("__digest")) & (F.col("__number") == F.col("__copy"))
     columns = ["doc_id", "start", "stop", "word", "words", "total", "keeper"]
-    met = F.col("digest") == F.col("__digest")
-    heavy, light = shared.where(F.col("held") > most), shared.where(F.col("held") <= most)
-    if heavy.isEmpty():
-        return places.join(light, met).select(*columns)
-    rest = places.join(F.broadcast(heavy.select(F.col("__digest").alias("__heavy"))), F.col("digest") == F.col("__heavy"), "left_anti")
-    return places.join(F.broadcast(heavy), met).select(*columns).unionByName(rest.join(light, met).select(*columns))
+    return places.withColumn("__number", number).join(dealt, met).select(*columns)
 
 
 def window_repeats(docs: DataFrame) -> DataFrame:
