@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ringmatch.sources.files import Files
 
 KEPT = 2
+#: Rows of the version before for each file of a version.
+FILE_ROWS = 1 << 20
 
 
 class Snapshot:
@@ -38,9 +40,11 @@ class Snapshot:
     def merge(self, changed: DataFrame, batch_id: int, reduce: Callable[[DataFrame], DataFrame]) -> None:
         """Write version ``batch_id``: ``reduce`` over the rows of the version before and the changed ones."""
         before = [n for n in self.versions() if n < batch_id]
-        rows = changed
+        rows, files = changed, 1
         if before:
-            rows = self.spark.read.parquet(f"{self.path}/v={before[-1]}").unionByName(changed)
-        reduce(rows).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
+            held = self.spark.read.parquet(f"{self.path}/v={before[-1]}")
+            rows, files = held.unionByName(changed), 1 + held.count() // FILE_ROWS
+        # A shuffle: one task that reduced every partition would hold the memory of all of them at once.
+        reduce(rows).repartition(files).write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
         for number in before[: 1 - KEPT]:
             self._files.delete(f"{self.path}/v={number}")

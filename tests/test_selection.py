@@ -130,3 +130,21 @@ def test_step_rollup_and_fov_totals(spark):
     macro = recall.macro_recall(spark.createDataFrame([(1, f, 0.5) for f in FOVS[:3]], "epoch int, fov_deg bigint, recall_at_1 double"), FOVS, ["epoch"]).first()
     assert macro.macro_recall is None and not macro.complete
     assert selection.best_records(frame.select("run", "epoch", F.col("loss").alias("s")), "s").first().best_s == 5.0
+
+
+def test_a_snapshot_is_reduced_by_many_tasks_and_written_as_few_files(spark, tmp_path, monkeypatch):
+    """The task that writes takes part in no reduction, so its memory does not grow with the partitions."""
+    rows = spark.createDataFrame([(f"r{k}", float(k % 7)) for k in range(40)], "run string, s double")
+    state = snapshot.Snapshot(spark, str(tmp_path / "state"))
+
+    def best(merged):
+        return merged.repartition(5, "run").withColumn("task", F.spark_partition_id())
+
+    def files(version):
+        return list((tmp_path / "state" / f"v={version}").glob("*.parquet"))
+
+    state.merge(rows, 0, best)
+    assert len(files(0)) == 1 and len({r.task for r in state.read().collect()}) > 1
+    monkeypatch.setattr(snapshot, "FILE_ROWS", 20)
+    state.merge(rows.withColumn("task", F.lit(0)), 1, lambda m: m.groupBy("run", "s").agg(F.max("task").alias("task")))
+    assert len(files(1)) == 3 and state.read().count() == 40
