@@ -45,7 +45,7 @@ PLAIN_BYTES = 128 << 20
 #: A text is parsed in stretches of so many symbols; a phrase ends where its stretch ends.
 STRETCH = 512
 #: Texts parsed together hold about so many characters.
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
 
 RESULT = "lang_pred string, score double, mean_phrase double, known boolean"
 _LETTER = regex.compile(r"\p{L}")
@@ -132,10 +132,14 @@ class Parser:
     def write_out(self) -> None:
         """Every state and symbol in one table: place of the next state's row, and whether a phrase ends."""
         width = len(self.start)
-        place = self.base[:, None] + np.arange(width, dtype=np.int32)
-        goes = self.owner[place] == np.arange(len(self.base), dtype=np.int32)[:, None]
-        following = np.where(goes, self.target[place], self.start)
-        self.steps = (following * (2 * width) + ~goes).astype(np.int32).ravel()
+        steps = np.empty((len(self.base), width), dtype=np.int32)
+        for first in range(0, len(steps), 4_096):
+            state = np.arange(first, min(first + 4_096, len(steps)), dtype=np.int32)[:, None]
+            place = self.base[state] + np.arange(width, dtype=np.int32)
+            goes = self.owner[place] == state
+            following = np.where(goes, self.target[place], self.start)
+            steps[first : first + 4_096] = following * (2 * width) + ~goes
+        self.steps = steps.ravel()
 
     def phrases(self, grid: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """``grid[t]`` holds symbol t of every stretch; stretches are sorted by falling length."""
@@ -264,6 +268,13 @@ class Model:
 
     _ready = False
 
+    def release(self) -> None:
+        """Drop the plain tables: a worker that waits for its next task, of whatever query, holds the double arrays only."""
+        for parser in self.parsers:
+            parser.steps = None
+        self.alphabet._table = None
+        self._ready = False
+
     def classify(self, texts: list[str]) -> list[tuple[str, float, float, bool]]:
         """Language, score, mean phrase length (letters and separators) of each whole text, and whether it is in it."""
         if not self._ready and sum(4 * len(p.base) * len(p.start) for p in self.parsers) <= PLAIN_BYTES:
@@ -333,18 +344,21 @@ def classifier(docs_session, model: Model):
     @F.pandas_udf(RESULT)
     def classify(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         here = sent.value
-        for series in texts:
-            rows: list[tuple[str, float, float, bool]] = []
-            part: list[str] = []
-            size = 0
-            for text in series:
-                part.append(text or "")
-                size += len(part[-1])
-                if size >= TOGETHER:
-                    rows += here.classify(part)
-                    part, size = [], 0
-            rows += here.classify(part) if part else []
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "mean_phrase", "known"])
+        try:
+            for series in texts:
+                rows: list[tuple[str, float, float, bool]] = []
+                part: list[str] = []
+                size = 0
+                for text in series:
+                    part.append(text or "")
+                    size += len(part[-1])
+                    if size >= TOGETHER:
+                        rows += here.classify(part)
+                        part, size = [], 0
+                rows += here.classify(part) if part else []
+                yield pd.DataFrame(rows, columns=["lang_pred", "score", "mean_phrase", "known"])
+        finally:
+            here.release()
 
     return classify
 

@@ -1,6 +1,7 @@
 """Cross-parsing against a search in the sample, held-out accuracy, awkward rows."""
 
 import numpy as np
+import pandas as pd
 
 from ringmatch.llm import language
 from tests.llm.helpers import AWKWARD, documents, prose
@@ -111,3 +112,14 @@ def test_nothing_to_learn_from(spark):
     found = language.identify(documents(spark, [(1, "some text", None), (2, None, "aa")])).collect()
     assert {r["lang_pred"] for r in found} == {"und"}
     assert language.identify(documents(spark, [])).count() == 0
+
+
+def test_a_waiting_worker_holds_no_plain_tables(spark):
+    model = language.fit(documents(spark, labelled()))
+    classify = language.classifier(spark, model)
+    texts = [prose(0, 7), prose(1, 8), None, "12"]
+    found = [tuple(r) for frame in classify.func(iter([pd.Series(texts)])) for r in frame.itertuples(index=False)]
+    assert [r[0] for r in found] == ["aa", "bb", "und", "und"]
+    assert all(p.steps is None for p in model.parsers)
+    again = [tuple(r) for frame in classify.func(iter([pd.Series(texts)])) for r in frame.itertuples(index=False)]
+    assert again == found
