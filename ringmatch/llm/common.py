@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ringmatch.session import durable, scratch_path, ship_package
 
-__all__ = ["durable", "each_run", "read_table", "scratch_path", "ship_package", "texts_of", "whole_text", "written"]
+__all__ = [
+    "durable", "each_run", "each_slice", "frugal", "read_table", "scratch_path", "ship_package", "texts_of", "whole_text", "written",
+]
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,6 +46,33 @@ def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The task function; when its task ends, memory that it has freed goes back to the system.
+
+    A Python worker waits for the next task, of whatever query, and would keep what the last one needed at most.
+    """
+
+    @wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; others free at once or not at all
+            if trim is not None:
+                trim(0)
+
+    return task
+
+
+def each_slice(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that only a few texts at a time are Python strings."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def each_run(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, Iterator[pa.RecordBatch]]]:
     """Runs of equal ``key`` in batches sorted by it, each as an iterator over its slices.
 

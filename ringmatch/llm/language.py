@@ -14,14 +14,16 @@ from __future__ import annotations
 import pickle
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringmatch.llm.common import ship_package
+from ringmatch.llm.common import frugal, ship_package
 
 #: Symbols of training text per language: the sample is bounded whatever the table's size. Every
 #: text that is classified is read whole.
@@ -332,7 +334,7 @@ def fit(docs: DataFrame) -> Model:
             yield pd.DataFrame({"lang": batch["lang"], "parser": [pickle.dumps(p) for p in parsers]})
 
     names = spark.createDataFrame([(n,) for n in sorted(samples)], "lang string").repartition(max(1, len(samples)), "lang")
-    built = {r["lang"]: pickle.loads(r["parser"]) for r in names.mapInPandas(build, "lang string, parser binary").collect()}
+    built = {r["lang"]: pickle.loads(r["parser"]) for r in names.mapInPandas(frugal(build), "lang string, parser binary").collect()}
     return Model(alphabet, {name: p for name, p in built.items() if p is not None})
 
 
@@ -341,25 +343,30 @@ def classifier(docs_session, model: Model):
     ship_package(docs_session)
     sent = docs_session.sparkContext.broadcast(model)
 
-    @F.pandas_udf(RESULT)
-    def classify(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         here = sent.value
         try:
-            for series in texts:
+            for array in texts:
                 rows: list[tuple[str, float, float, bool]] = []
                 part: list[str] = []
                 size = 0
-                for text in series:
+                for text in chain.from_iterable(array.slice(s, 500).to_pylist() for s in range(0, len(array), 500)):
                     part.append(text or "")
                     size += len(part[-1])
                     if size >= TOGETHER:
                         rows += here.classify(part)
                         part, size = [], 0
                 rows += here.classify(part) if part else []
-                yield pd.DataFrame(rows, columns=["lang_pred", "score", "mean_phrase", "known"])
+                kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.StructArray.from_arrays(columns, names=["lang_pred", "score", "mean_phrase", "known"])
         finally:
             here.release()
 
+    @F.arrow_udf(RESULT)
+    def classify(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from frugal(found)(texts)
+
     return classify
 
 

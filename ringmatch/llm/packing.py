@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringmatch.llm import words
-from ringmatch.llm.common import durable, each_run, ship_package, texts_of
+from ringmatch.llm.common import durable, each_run, each_slice, frugal, ship_package, texts_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 #: Pieces in a bucket on average. A bucket leaves at most its open bins unfilled.
 BUCKET_PIECES = 100_000
 OPEN_BINS = 512
+#: Words whose ids a task keeps, in each of the cache's two generations.
+CACHED_WORDS = 200_000
 
 
 _ENCODERS: dict[int, tuple[words.Words, words.Words]] = {}
@@ -41,7 +43,7 @@ def _after_space(encode) -> words.Words:
             return cache[word[:-1]] + closing[word[-1]]
         return encode(" " + word)
 
-    cache = words.Words(make)
+    cache = words.Words(make, CACHED_WORDS)
     return cache
 
 
@@ -78,6 +80,12 @@ def _ids_of_text(tokenizer_text: str):
     return ids
 
 
+def forget_words(tokenizer_text: str) -> None:
+    """Empty this worker's word caches; the tokenizer stays loaded."""
+    for cache in _ENCODERS.get(hash(tokenizer_text), ()):
+        cache.forget()
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0) -> DataFrame:
     """Each document's ids plus ``end_id``, cut into pieces of at most ``size`` tokens.
 
@@ -91,22 +99,26 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id:
         tokenizer = spark.sparkContext.broadcast(file.read())
     end = int(end_id).to_bytes(4, "little")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _ids_of_text(tokenizer.value)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
-                ids = encode(text) + end
-                total, start, piece = len(ids) // 4, 0, 0
-                while start < total:
-                    stop = start + ((total - start) % size or size)
-                    rows.append((doc_id, piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
-                    start, piece = stop, piece + 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
-
-    return texts_of(docs).mapInPandas(cut, PIECES)
+        try:
+            for batch in each_slice(batches):
+                rows = []
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                    ids = encode(text) + end
+                    total, start, piece = len(ids) // 4, 0, 0
+                    while start < total:
+                        stop = start + ((total - start) % size or size)
+                        rows.append((doc_id, piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
+                        start, piece = stop, piece + 1
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+        finally:
+            forget_words(tokenizer.value)
+
+    return texts_of(docs).mapInArrow(frugal(cut), PIECES)
 
 
 class OpenBins:
@@ -172,7 +184,7 @@ def pack(
                     columns, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
                 )
 
-    return dealt.mapInArrow(place, PACKED)
+    return dealt.mapInArrow(frugal(place), PACKED)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringmatch.llm.common import durable, each_run, ship_package, texts_of, written
+from ringmatch.llm.common import durable, each_run, each_slice, frugal, ship_package, texts_of, written
 from ringmatch.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -109,31 +109,37 @@ def window_starts(hashes: np.ndarray, window: int, spread: int, gram: int = GRAM
 PLACE = "doc_id long, start int, stop int, word int, words int, total int"
 
 
+def _rows_of(places: list, digests: list[bytes], texts: list[str] | None = None) -> pa.RecordBatch:
+    """Places (a list per column of ``PLACE``) with their digests, and texts where there are any."""
+    columns = [pa.array(x, pa.int32() if k else pa.int64()) for k, x in enumerate(places)] + [pa.array(digests, pa.binary())]
+    names = ["doc_id", "start", "stop", "word", "words", "total", "digest"]
+    if texts is not None:
+        columns, names = [*columns, pa.array(texts, pa.string())], [*names, "text"]
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
 def windows(docs: DataFrame, window: int = WINDOW_WORDS, spread: int = SPREAD) -> DataFrame:
     """Places and 96-bit digests of every window of every whole text."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
-            for s in range(0, len(batch), 500):
-                digests, parts = [], []
-                for doc_id, text in zip(batch["doc_id"].iloc[s : s + 500], batch["text"].iloc[s : s + 500]):
-                    hashes, first, last = word_hashes(text)
-                    at = window_starts(hashes, window, spread)
-                    if not len(at):
-                        continue
-                    data = hashes.tobytes()
-                    digests += [xxhash.xxh3_128_digest(data[8 * a : 8 * (a + window)])[:12] for a in at.tolist()]
-                    same = np.full(len(at), 1)
-                    parts.append((doc_id * same, first[at], last[at + window - 1], at, window * same, len(hashes) * same))
-                if digests:
-                    columns = ("doc_id", "start", "stop", "word", "words", "total")
-                    rows = {c: np.concatenate(x) for c, x in zip(columns, zip(*parts))}
-                    yield pd.DataFrame(rows | {"digest": digests})
+        for batch in each_slice(batches):
+            digests, parts = [], []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                hashes, first, last = word_hashes(text)
+                at = window_starts(hashes, window, spread)
+                if not len(at):
+                    continue
+                data = hashes.tobytes()
+                digests += [xxhash.xxh3_128_digest(data[8 * a : 8 * (a + window)])[:12] for a in at.tolist()]
+                same = np.full(len(at), 1)
+                parts.append((doc_id * same, first[at], last[at + window - 1], at, window * same, len(hashes) * same))
+            if digests:
+                yield _rows_of([np.concatenate(x) for x in zip(*parts)], digests)
 
     texts = texts_of(docs).where(F.col("doc_id").isNotNull())
-    return texts.mapInPandas(cut, f"{PLACE}, digest binary")
+    return texts.mapInArrow(frugal(cut), f"{PLACE}, digest binary")
 
 
 def _places_of(places: DataFrame, shared: DataFrame) -> DataFrame:
@@ -204,23 +210,22 @@ def _pieces(text: str) -> tuple[int, list[tuple[int, int, int, int, str]]]:
 def paragraphs(docs: DataFrame) -> DataFrame:
     """Places, digests and texts (words joined by single spaces) of all paragraphs."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        columns = ["doc_id", "start", "stop", "word", "words", "total", "digest", "text"]
-        for batch in batches:
-            for s in range(0, len(batch), 500):
-                rows = []
-                for doc_id, text in zip(batch["doc_id"].iloc[s : s + 500], batch["text"].iloc[s : s + 500]):
-                    total, pieces = _pieces(text)
-                    for start, stop, word, words, joined in pieces:
-                        digest = xxhash.xxh3_128_digest(joined.encode("utf-8", "surrogatepass"))
-                        rows.append((doc_id, start, stop, word, words, total, digest, joined))
-                if rows:
-                    yield pd.DataFrame(rows, columns=columns)
+        for batch in each_slice(batches):
+            rows = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                total, pieces = _pieces(text)
+                for start, stop, word, words, joined in pieces:
+                    digest = xxhash.xxh3_128_digest(joined.encode("utf-8", "surrogatepass"))
+                    rows.append((doc_id, start, stop, word, words, total, digest, joined))
+            if rows:
+                *places, digests, joined = map(list, zip(*rows))
+                yield _rows_of(places, digests, joined)
 
     texts = texts_of(docs).where(F.col("doc_id").isNotNull())
-    return texts.mapInPandas(cut, f"{PLACE}, digest binary, text string")
+    return texts.mapInArrow(frugal(cut), f"{PLACE}, digest binary, text string")
 
 
 def shingle_set(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
@@ -381,7 +386,7 @@ def _verify(similarity: float, together: int = 400_000):
 
 def similar_paragraphs(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``a, b``: spanning links between distinct paragraphs (``line, text``) that are similar enough."""
-    keys = distinct.select("line", "text").mapInPandas(_bands, "line long, keys array<long>")
+    keys = distinct.select("line", "text").mapInPandas(frugal(_bands), "line long, keys array<long>")
     keys = written(keys.select("line", F.explode("keys").alias("key")), "bands", compact=True)
     # Most keys have one paragraph. Those that meet in one band mostly meet in others too: of buckets with the
     # same members (equal count and two equal 64-bit member hashes) one is verified.
@@ -403,7 +408,7 @@ def similar_paragraphs(distinct: DataFrame, similarity: float = SIMILARITY) -> D
     full = met.join(distinct.select("line", "text"), "line")
     dealt = full.withColumn("group", F.concat_ws(":", "key", "low", "high"))
     dealt = dealt.repartition(F.col("group")).sortWithinPartitions("group", "line")
-    return dealt.select("group", "line", "block", "low", "high", "text").mapInArrow(_verify(similarity), "a long, b long")
+    return dealt.select("group", "line", "block", "low", "high", "text").mapInArrow(frugal(_verify(similarity)), "a long, b long")
 
 
 def paragraph_repeats(docs: DataFrame) -> DataFrame:
@@ -497,7 +502,7 @@ def repeated_passages(docs: DataFrame, least: int = PASSAGE_WORDS) -> DataFrame:
     spans = window_repeats(docs).unionByName(paragraph_repeats(docs))
     place = F.struct("start", "stop", "word", "words", "total", "keeper", "exact")
     per_doc = spans.groupBy("doc_id").agg(F.collect_list(place).alias("spans"))
-    return durable(per_doc.mapInPandas(_merged(least), "doc_id long, start long, stop long, keeper_id long, kept boolean"))
+    return durable(per_doc.mapInPandas(frugal(_merged(least)), "doc_id long, start long, stop long, keeper_id long, kept boolean"))
 
 
 def clustered(passages: DataFrame) -> DataFrame:

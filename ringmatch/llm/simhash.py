@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringmatch.llm.common import durable, ship_package, texts_of
+from ringmatch.llm.common import durable, each_slice, frugal, ship_package, texts_of
 from ringmatch.llm.components import components
 
 #: A key with more fingerprints is cut further by eight bits of the other half before comparing.
@@ -49,12 +49,13 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     """``doc_id, fingerprint`` (the 64 bits as a signed long) of every whole text; null text: zero."""
     ship_package(docs.sparkSession)
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bits = np.array([_fingerprint(t, words_per_shingle) for t in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fingerprint": bits.view(np.int64)})
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in each_slice(batches):
+            bits = np.array([_fingerprint(t, words_per_shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64)
+            ids = batch.column("doc_id").cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(bits.view(np.int64))], ["doc_id", "fingerprint"])
 
-    return texts_of(docs).mapInPandas(make, "doc_id long, fingerprint long")
+    return texts_of(docs).mapInArrow(frugal(make), "doc_id long, fingerprint long")
 
 
 def _half(fingerprint: Column, wild: Column) -> Column:

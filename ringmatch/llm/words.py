@@ -89,6 +89,11 @@ class Words(dict):
         super().__init__()
         self.make, self.room, self.old = make, room, {}
 
+    def forget(self) -> None:
+        """Drop all words of both generations."""
+        self.clear()
+        self.old = {}
+
     def __missing__(self, word: str):
         value = self.old.get(word)
         if value is None:

@@ -170,3 +170,17 @@ def test_many_null_ids_and_a_hot_long_word(spark):
         want.append((doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()))
     got = word_table.digests(word_table.encode_documents(documents(spark, rows), WORD, frequent_words=5, decode=True))
     assert rows_of(got, "doc_id", "n_tokens", "ids_sha256") == sorted(want, key=repr)
+
+
+def test_a_task_leaves_no_words_in_its_worker(spark, docs):
+    """Workers wait for tasks of other queries: the caches that packing filled are empty by then."""
+    assert packing.token_pieces(docs, BYTE).count() > len(ROWS)
+
+    def held(batches):
+        from ringmatch.llm import packing as loaded
+
+        for batch in batches:
+            batch["id"] = sum(len(c) + len(c.old) for pair in loaded._ENCODERS.values() for c in pair)
+            yield batch
+
+    assert {r["id"] for r in spark.range(64).repartition(16).mapInPandas(held, "id long").collect()} == {0}
