@@ -237,3 +237,20 @@ def test_probes_come_by_rising_cost():
     assert len({tuple(sorted(v)) for v in visits}) == len(visits) == 27 and visits[0] == ()
     costs = [cost(v) for v in visits]
     assert costs == sorted(costs)
+
+
+def test_the_setting_sends_few_rows_at_every_size():
+    """Copies of points and visits of queries, on 3,000 and 15,000 rows of which a twentieth ask."""
+    draw = np.random.default_rng(9)
+    x = draw.standard_normal((15_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sent = []
+    for rows in (3_000, 15_000):
+        ids = np.arange(rows)
+        q, found, _ = neighbours.best_of(x[:rows:20][:150], ids[::20][:150], x[:rows], ids, 20)
+        hashes = neighbours.calibrated(64, rows, 1.0, 0, x[:rows:20][q], x[found], queries=rows // 20)
+        turns = [neighbours.ranks_of(hashes, x[:rows:20][q], x[found], t) for t in range(hashes.tables)]
+        assert (np.min(turns, axis=0) < hashes.probes).mean() >= neighbours.RECALL
+        sent.append(hashes.tables * (rows + rows // 20 * hashes.probes))
+        assert sent[-1] <= 4 * rows
+    assert sent[1] <= 6 * sent[0]
