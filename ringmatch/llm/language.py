@@ -14,11 +14,9 @@ from __future__ import annotations
 import pickle
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -343,28 +341,26 @@ def classifier(docs_session, model: Model):
     ship_package(docs_session)
     sent = docs_session.sparkContext.broadcast(model)
 
-    def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         here = sent.value
         try:
-            for array in texts:
+            for series in texts:
                 rows: list[tuple[str, float, float, bool]] = []
                 part: list[str] = []
                 size = 0
-                for text in chain.from_iterable(array.slice(s, 500).to_pylist() for s in range(0, len(array), 500)):
+                for text in series:
                     part.append(text or "")
                     size += len(part[-1])
                     if size >= TOGETHER:
                         rows += here.classify(part)
                         part, size = [], 0
                 rows += here.classify(part) if part else []
-                kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
-                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-                yield pa.StructArray.from_arrays(columns, names=["lang_pred", "score", "mean_phrase", "known"])
+                yield pd.DataFrame(rows, columns=["lang_pred", "score", "mean_phrase", "known"])
         finally:
             here.release()
 
-    @F.arrow_udf(RESULT)
-    def classify(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.pandas_udf(RESULT)
+    def classify(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from frugal(found)(texts)
 
     return classify
