@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringmatch.llm.common import durable, each_run, each_slice, frugal, ship_package, texts_of, written
+from ringmatch.llm.common import durable, each_slice, frugal, ship_package, texts_of, written
 from ringmatch.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -45,7 +45,12 @@ HEAVY = 4_096
 #: Paragraphs of a band bucket compared in one block.
 BLOCK = 1_024
 
-_WHITE = np.zeros(0x3001, dtype=bool)
+#: Texts of about so many characters are hashed in one go: few calls, and arrays that stay in a core's cache.
+TOGETHER = 60_000
+#: Buckets of at most so many paragraphs meet where their smallest one is, so that a text they share is hashed once.
+SMALL = 64
+
+_WHITE = np.zeros(0x3002, dtype=bool)
 _WHITE[[*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = np.ones(1, dtype=np.uint64)
@@ -72,37 +77,74 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and stop (code points) of every word; words stand between white space."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    white = _WHITE[np.minimum(points, 0x3000)] & (points <= 0x3000)
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], white, [True]]).astype(np.int8)))
+    white = np.ones(len(points) + 2, dtype=bool)
+    white[1:-1] = _WHITE.take(points, mode="clip")
+    edge = np.flatnonzero(white[1:] != white[:-1])
     starts, stops = edge[::2], edge[1::2]
     power, inverse = _powers(len(points) + 1)
     sums = np.zeros(len(points) + 1, dtype=np.uint64)
-    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power[1:], out=sums[1:])
+    sums[1:] = points
+    sums[1:] += np.uint64(1)
+    sums[1:] *= power[1:]
+    np.cumsum(sums[1:], out=sums[1:])
     return _mixed((sums[stops] - sums[starts]) * inverse[starts]), starts, stops
 
 
-def window_starts(hashes: np.ndarray, window: int, spread: int, gram: int = GRAM_WORDS) -> np.ndarray:
-    """Words at which windows begin: the first least gram of every ``spread`` neighbouring ones."""
+def _together(texts: list[str], most: int = TOGETHER) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of about ``most`` characters together."""
+    first, size = 0, 0
+    for at, text in enumerate(texts):
+        size += len(text) + 1
+        if size >= most or at + 1 == len(texts):
+            yield first, at + 1
+            first, size = at + 1, 0
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and stop of every word of many texts, as if each stood alone; where each text's words begin; whose each is."""
+    hashes, starts, stops = word_hashes("\n".join(texts))
+    begin = np.zeros(len(texts) + 1, dtype=np.int64)
+    np.cumsum([len(t) + 1 for t in texts], out=begin[1:])
+    bounds = np.searchsorted(starts, begin)
+    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    return hashes, starts - begin[owner], stops - begin[owner], bounds, owner
+
+
+def window_starts(
+    hashes: np.ndarray, window: int, spread: int, gram: int = GRAM_WORDS, bounds: np.ndarray | None = None
+) -> np.ndarray:
+    """Words at which windows begin: the first least gram of every ``spread`` neighbouring ones.
+
+    ``bounds``: where each text's words begin, and their number, if the words are those of many texts.
+    """
+    bounds = np.array([0, len(hashes)]) if bounds is None else bounds
     n = len(hashes) - gram + 1
-    if len(hashes) < window or n < 1:
+    sizes = np.diff(bounds)
+    if n < 1 or not (sizes >= window).any():
         return np.zeros(0, dtype=np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     grams = np.zeros(n, dtype=np.uint64)
     for k in range(gram):
-        grams = grams * np.uint64(_BASE) + hashes[k : k + n]
+        grams *= np.uint64(_BASE)
+        grams += hashes[k : k + n]
     grams = _mixed(grams)
-    if n < spread:
-        chosen = np.array([int(grams.argmin())])
-    else:
-        # Least gram and its place in runs of 1, 2, 4, ... up to ``spread`` neighbours; ties: the first.
-        place, span = np.arange(n), 1
-        while span < spread:
-            step = min(span, spread - span)
-            left = grams[:-step] <= grams[step:]
-            grams = np.where(left, grams[:-step], grams[step:])
-            place = np.where(left, place[:-step], place[step:])
-            span += step
-        chosen = place[np.concatenate([[True], place[1:] != place[:-1]])]
-    return chosen[chosen + window <= len(hashes)]
+    # Texts of less than ``spread`` grams have one run.
+    few = np.flatnonzero((sizes >= max(window, gram)) & (sizes - gram + 1 < spread)).tolist()
+    single = [bounds[t] + grams[bounds[t] : bounds[t + 1] - gram + 1].argmin() for t in few]
+    # Least gram and its place in runs of 1, 2, 4, ... up to ``spread`` neighbours; ties: the first.
+    place, span = np.arange(n), 1
+    while span < spread and len(place):
+        step = min(span, spread - span)
+        left = grams[:-step] <= grams[step:]
+        grams = np.where(left, grams[:-step], grams[step:])
+        place = np.where(left, place[:-step], place[step:])
+        span += step
+    # A run's last word is in the text of its first one.
+    place = place[owner[: len(place)] == owner[gram + spread - 2 :][: len(place)]]
+    fresh = np.ones(len(place), dtype=bool)
+    fresh[1:] = place[1:] != place[:-1]
+    chosen = np.sort(np.concatenate([place[fresh], np.array(single, dtype=np.int64)]))
+    return chosen[chosen + window <= bounds[1:][owner[chosen]]]
 
 
 #: A place: the piece's words ``[word, word + words)`` of a document with ``total`` words, and its code points.
@@ -110,36 +152,38 @@ PLACE = "doc_id long, start int, stop int, word int, words int, total int"
 
 
 def _rows_of(places: list, digests: list[bytes], texts: list[str] | None = None) -> pa.RecordBatch:
-    """Places (a list per column of ``PLACE``) with their digests, and texts where there are any."""
+    """Places (a list per column of ``PLACE``, or of its first ones) with their digests, and texts where there are any."""
     columns = [pa.array(x, pa.int32() if k else pa.int64()) for k, x in enumerate(places)] + [pa.array(digests, pa.binary())]
-    names = ["doc_id", "start", "stop", "word", "words", "total", "digest"]
+    names = [*["doc_id", "start", "stop", "word", "words", "total"][: len(places)], "digest"]
     if texts is not None:
         columns, names = [*columns, pa.array(texts, pa.string())], [*names, "text"]
     return pa.RecordBatch.from_arrays(columns, names)
 
 
-def windows(docs: DataFrame, window: int = WINDOW_WORDS, spread: int = SPREAD) -> DataFrame:
-    """Places and 96-bit digests of every window of every whole text."""
+def windows(docs: DataFrame, window: int = WINDOW_WORDS, spread: int = SPREAD, placed: bool = True) -> DataFrame:
+    """Places and 96-bit digests of every window of every whole text; only ``doc_id, digest`` if not ``placed``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in each_slice(batches):
+            doc_ids, texts = batch.column("doc_id").to_numpy(), batch.column("text").to_pylist()
             digests, parts = [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                hashes, first, last = word_hashes(text)
-                at = window_starts(hashes, window, spread)
-                if not len(at):
-                    continue
-                data = hashes.tobytes()
-                digests += [xxhash.xxh3_128_digest(data[8 * a : 8 * (a + window)])[:12] for a in at.tolist()]
-                same = np.full(len(at), 1)
-                parts.append((doc_id * same, first[at], last[at + window - 1], at, window * same, len(hashes) * same))
+            for low, high in _together(texts):
+                hashes, first, last, bounds, owner = words_of(texts[low:high])
+                at = window_starts(hashes, window, spread, bounds=bounds)
+                data = memoryview(hashes.tobytes())
+                digests += [xxhash.xxh3_128_digest(data[a : a + 8 * window])[:12] for a in (8 * at).tolist()]
+                of = owner[at]
+                place = [doc_ids[low + of]]
+                if placed:
+                    place += [first[at], last[at + window - 1], at - bounds[of], np.full(len(at), window), np.diff(bounds)[of]]
+                parts.append(place)
             if digests:
                 yield _rows_of([np.concatenate(x) for x in zip(*parts)], digests)
 
     texts = texts_of(docs).where(F.col("doc_id").isNotNull())
-    return texts.mapInArrow(frugal(cut), f"{PLACE}, digest binary")
+    return texts.mapInArrow(frugal(cut), f"{PLACE if placed else 'doc_id long'}, digest binary")
 
 
 def _places_of(places: DataFrame, shared: DataFrame) -> DataFrame:
@@ -165,7 +209,7 @@ def _places_of(places: DataFrame, shared: DataFrame) -> DataFrame:
 def window_repeats(docs: DataFrame) -> DataFrame:
     """Places of all windows that stand in more than one document, with who keeps them."""
     # Windows are many and quickly cut, so they are cut twice instead of being stored.
-    held = windows(docs).groupBy("digest").agg(
+    held = windows(docs, placed=False).groupBy("digest").agg(
         F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("held")
     )
     shared = written(held.where("keeper <> last").drop("last"), "shared")
@@ -207,25 +251,30 @@ def _pieces(text: str) -> tuple[int, list[tuple[int, int, int, int, str]]]:
     return word, out
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """Places, digests and texts (words joined by single spaces) of all paragraphs."""
+def paragraphs(docs: DataFrame, placed: bool = True, texts: bool = True) -> DataFrame:
+    """Places, digests and texts (words joined by single spaces) of all paragraphs.
+
+    Only ``doc_id`` of the place if not ``placed``; no texts if not ``texts``.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in each_slice(batches):
-            rows = []
+            pieces, owners, totals = [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                total, pieces = _pieces(text)
-                for start, stop, word, words, joined in pieces:
-                    digest = xxhash.xxh3_128_digest(joined.encode("utf-8", "surrogatepass"))
-                    rows.append((doc_id, start, stop, word, words, total, digest, joined))
-            if rows:
-                *places, digests, joined = map(list, zip(*rows))
-                yield _rows_of(places, digests, joined)
+                total, found = _pieces(text)
+                pieces += found
+                owners += [doc_id] * len(found)
+                totals += [total] * len(found)
+            if pieces:
+                start, stop, word, words, joined = zip(*pieces)
+                digests = [xxhash.xxh3_128_digest(j.encode("utf-8", "surrogatepass")) for j in joined]
+                places = [owners, start, stop, word, words, totals] if placed else [owners]
+                yield _rows_of(places, digests, joined if texts else None)
 
-    texts = texts_of(docs).where(F.col("doc_id").isNotNull())
-    return texts.mapInArrow(frugal(cut), f"{PLACE}, digest binary, text string")
+    read = texts_of(docs).where(F.col("doc_id").isNotNull())
+    return read.mapInArrow(frugal(cut), f"{PLACE if placed else 'doc_id long'}, digest binary" + ", text string" * texts)
 
 
 def shingle_set(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
@@ -238,44 +287,51 @@ def shingle_set(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(_mixed(out))
 
 
-def _least_hashes(texts: list[str], factor: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    """``[texts, factors]``: the least hash of each text's shingles under every factor, many texts in one go."""
-    hashes, starts, _ = word_hashes("\n".join(texts))
-    owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+def _shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text of all word shingles of many texts, in order, repeats included; a shorter text is one shingle."""
+    hashes, _, _, bounds, owner = words_of(texts)
     n = max(0, len(hashes) - SHINGLE_WORDS + 1)
     shingles = np.zeros(n, dtype=np.uint64)
     for k in range(SHINGLE_WORDS):
-        shingles = shingles * np.uint64(_BASE) + hashes[k : k + n]
-    inside = np.flatnonzero(owner[:n] == owner[SHINGLE_WORDS - 1 : SHINGLE_WORDS - 1 + n])
-    shingles, owner = _mixed(shingles[inside]), owner[inside]
+        shingles *= np.uint64(_BASE)
+        shingles += hashes[k : k + n]
+    inside = np.flatnonzero(owner[:n] == owner[SHINGLE_WORDS - 1 :][:n])
+    values, of = _mixed(shingles[inside]), owner[inside]
+    short = np.flatnonzero(np.diff(bounds) < SHINGLE_WORDS)
+    if len(short):
+        values = np.concatenate([values, *(shingle_set(texts[t]) for t in short.tolist())])
+        of = np.concatenate([of, short])
+        order = np.argsort(of, kind="stable")
+        values, of = values[order], of[order]
+    return values, of
+
+
+def _least_hashes(texts: list[str], factor: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """``[texts, factors]``: the least hash of each text's shingles under every factor, many texts in one go."""
+    shingles, owner = _shingles(texts)
+    first = np.searchsorted(owner, np.arange(len(texts)))
     out = np.zeros((len(texts), len(factor)), dtype=np.uint64)
-    if len(owner):
-        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    for k in range(len(factor)):
         # The shingle hashes are mixed already, so one multiplication and one addition order them anew.
-        out[owner[first]] = np.minimum.reduceat(shingles[:, None] * factor + shift, first, axis=0)
-    for short in sorted(set(range(len(texts))) - set(owner.tolist())):
-        out[short] = shingle_set(texts[short])[0] * factor + shift
+        out[:, k] = np.minimum.reduceat(shingles * factor[k] + shift[k], first)
     return out
 
 
-def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     draw = np.random.default_rng(1)
     factor = draw.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
     shift = draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-    for batch in batches:
-        texts, keys, part, size = batch["text"].tolist(), [], [], 0
-        for at, text in enumerate(texts):
-            part.append(text)
-            size += len(text)
-            if size < 200_000 and at + 1 < len(texts):
-                continue
-            least = _least_hashes(part, factor, shift).reshape(len(part), BANDS, ROWS)
-            key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(part), BANDS))
+    for batch in each_slice(batches, 2_000):
+        texts, keys = batch.column("text").to_pylist(), []
+        for low, high in _together(texts):
+            least = _least_hashes(texts[low:high], factor, shift).reshape(high - low, BANDS, ROWS)
+            key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (high - low, BANDS))
             for row in range(ROWS):
                 key = _mixed(key * np.uint64(_BASE) + least[:, :, row])
-            keys += key.view(np.int64).tolist()
-            part, size = [], 0
-        yield pd.DataFrame({"line": batch["line"], "keys": keys})
+            keys.append(key.view(np.int64).ravel())
+        if keys:
+            lines = np.repeat(batch.column("line").to_numpy(), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(lines), pa.array(np.concatenate(keys))], ["line", "key"])
 
 
 def linked_roots(sets: list[np.ndarray], similarity: float, sides: np.ndarray | None = None) -> np.ndarray:
@@ -307,113 +363,134 @@ def linked_roots(sets: list[np.ndarray], similarity: float, sides: np.ndarray |
     return labels
 
 
+def _sorted_runs(values: np.ndarray, bounds: np.ndarray) -> None:
+    """Sort each run of the values in place."""
+    ends = bounds.tolist()
+    for low, high in zip(ends, ends[1:]):
+        values[low:high].sort()
+
+
 def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of many texts one after the other, sorted per text, and where each text's begin."""
-    hashes, starts, _ = word_hashes("\n".join(texts))
-    owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
-    n = max(0, len(hashes) - SHINGLE_WORDS + 1)
-    shingles = np.zeros(n, dtype=np.uint64)
-    for k in range(SHINGLE_WORDS):
-        shingles = shingles * np.uint64(_BASE) + hashes[k : k + n]
-    inside = np.flatnonzero(owner[:n] == owner[SHINGLE_WORDS - 1 : SHINGLE_WORDS - 1 + n])
-    values, of = _mixed(shingles[inside]), owner[inside]
-    # Texts of fewer words are one shingle.
-    for short in np.flatnonzero(np.bincount(of, minlength=len(texts)) == 0).tolist():
-        values, of = np.append(values, shingle_set(texts[short])), np.append(of, short)
-    order = np.lexsort((values, of))
-    values, of = values[order], of[order]
+    values, of = _shingles(texts)
+    _sorted_runs(values, np.searchsorted(of, np.arange(len(texts) + 1)))
     fresh = np.ones(len(values), dtype=bool)
     fresh[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
     return values[fresh], np.searchsorted(of[fresh], np.arange(len(texts) + 1))
 
 
-def _verified(groups: list[pa.Table], similarity: float) -> pa.RecordBatch:
-    """Links of many groups: pairs all at once, larger groups one by one."""
-    texts = [t for g in groups for t in g.column("text").to_pylist()]
-    lines = np.concatenate([g.column("line").to_numpy() for g in groups])
-    values, bounds = shingle_sets(texts)
-    sizes = np.diff(bounds)
-    first = np.concatenate([[0], np.cumsum([g.num_rows for g in groups])])
-    counts = np.diff(first)
-    across = np.array([g.column("low")[0].as_py() != g.column("high")[0].as_py() for g in groups])
-    a, b = [], []
-    pairs = np.flatnonzero(counts == 2)
+def _group_starts(held: pa.Table) -> np.ndarray:
+    """Rows at which another group begins, the first one included."""
+    fresh = np.zeros(held.num_rows, dtype=bool)
+    fresh[:1] = True
+    for name in ("key", "low", "high"):
+        column = held.column(name).to_numpy()
+        fresh[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(fresh)
+
+
+def _verified(held: pa.Table, first: np.ndarray, similarity: float) -> pa.RecordBatch:
+    """Links of many groups, which begin at the rows ``first``: pairs all at once, larger groups one by one."""
+    counts = np.diff(np.append(first, held.num_rows))
+    lines, blocks = held.column("line").to_numpy(), held.column("block").to_numpy()
+    across = (held.column("low").to_numpy() != held.column("high").to_numpy())[first]
+    # A text that stands in several groups is hashed once; one that is alone in its group, not at all.
+    met = np.flatnonzero(np.repeat(counts, counts) > 1)
+    _, at, which = np.unique(lines[met], return_index=True, return_inverse=True)
+    texts = held.column("text").take(pa.array(met[at])).to_pylist()
+    parts = [shingle_sets(texts[low:high]) for low, high in _together(texts)]
+    values = np.concatenate([v for v, _ in parts] or [np.zeros(0, dtype=np.uint64)])
+    sizes = np.concatenate([np.diff(b) for _, b in parts] or [np.zeros(0, dtype=np.int64)])
+    ends = np.cumsum(sizes)
+    place = np.full(held.num_rows, -1)
+    place[met] = which
+
+    def sets_of(rows: np.ndarray) -> list[np.ndarray]:
+        of = place[rows]
+        return [values[low:high] for low, high in zip((ends[of] - sizes[of]).tolist(), ends[of].tolist())]
+
+    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    pairs = first[counts == 2]
     if len(pairs):
-        group_of = np.full(len(texts), -1)
-        group_of[first[pairs]] = group_of[first[pairs] + 1] = np.arange(len(pairs))
-        of = np.repeat(group_of, sizes)
-        kept, at = values[of >= 0], of[of >= 0]
-        order = np.lexsort((kept, at))
-        kept, at = kept[order], at[order]
-        twice = (kept[1:] == kept[:-1]) & (at[1:] == at[:-1])
-        common = np.bincount(at[1:][twice], minlength=len(pairs))
-        total = sizes[first[pairs]] + sizes[first[pairs] + 1]
+        both = np.concatenate(sets_of(np.stack([pairs, pairs + 1], axis=1).ravel()))
+        total = sizes[place[pairs]] + sizes[place[pairs + 1]]
+        bounds = np.concatenate([[0], np.cumsum(total)])
+        _sorted_runs(both, bounds)
+        twice = np.zeros(len(both), dtype=np.int64)
+        twice[1:] = both[1:] == both[:-1]
+        twice[bounds[:-1]] = 0
+        common = np.add.reduceat(twice, bounds[:-1])
         near = common >= similarity * (total - common)
-        blocks = np.concatenate([g.column("block").to_numpy() for g in groups])
-        near &= ~across[pairs] | (blocks[first[pairs]] != blocks[first[pairs] + 1])
-        a.append(lines[first[pairs][near] + 1])
-        b.append(lines[first[pairs][near]])
+        near &= ~across[counts == 2] | (blocks[pairs] != blocks[pairs + 1])
+        a.append(lines[pairs[near] + 1])
+        b.append(lines[pairs[near]])
     for number in np.flatnonzero(counts > 2).tolist():
-        rows = range(first[number], first[number + 1])
-        sets = [values[bounds[r] : bounds[r + 1]] for r in rows]
-        sides = groups[number].column("block").to_numpy() if across[number] else None
-        labels = linked_roots(sets, similarity, sides)
+        rows = np.arange(first[number], first[number] + counts[number])
+        labels = linked_roots(sets_of(rows), similarity, blocks[rows] if across[number] else None)
         other = np.flatnonzero(labels != np.arange(len(labels)))
-        a.append(lines[first[number] + other])
-        b.append(lines[first[number] + labels[other]])
-    none = [np.zeros(0, dtype=np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or none)), pa.array(np.concatenate(b or none))], ["a", "b"])
+        a.append(lines[rows[other]])
+        b.append(lines[rows[labels[other]]])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
 def _verify(similarity: float, together: int = 400_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.Table] = []
-        size = 0
-        for _, parts in each_run(batches, "group"):
-            held = pa.Table.from_batches(list(parts))
-            if held.num_rows < 2:
+        waiting: list[pa.RecordBatch] = []
+        size, enough = 0, together
+        for batch in each_slice(batches):
+            waiting.append(batch)
+            size += batch.column("text").nbytes + 100 * batch.num_rows
+            if size < enough:
                 continue
-            waiting.append(held)
-            size += held.column("text").nbytes + 500
-            if size >= together:
-                yield _verified(waiting, similarity)
-                waiting, size = [], 0
+            # The last group may go on in the next batch.
+            held = pa.Table.from_batches(waiting).combine_chunks()
+            first = _group_starts(held)
+            if len(first) > 1:
+                yield _verified(held.slice(0, first[-1]), first[:-1], similarity)
+                held = held.slice(first[-1])
+            waiting = held.to_batches()
+            size = held.column("text").nbytes + 100 * held.num_rows
+            enough = max(together, 2 * size)
         if waiting:
-            yield _verified(waiting, similarity)
+            held = pa.Table.from_batches(waiting).combine_chunks()
+            if held.num_rows:
+                yield _verified(held, _group_starts(held), similarity)
 
     return run
 
 
 def similar_paragraphs(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``a, b``: spanning links between distinct paragraphs (``line, text``) that are similar enough."""
-    keys = distinct.select("line", "text").mapInPandas(frugal(_bands), "line long, keys array<long>")
-    keys = written(keys.select("line", F.explode("keys").alias("key")), "bands", compact=True)
+    keys = distinct.select("line", "text").mapInArrow(frugal(_bands), "line long, key long")
+    keys = written(keys, "bands", compact=True)
     # Most keys have one paragraph. Those that meet in one band mostly meet in others too: of buckets with the
     # same members (equal count and two equal 64-bit member hashes) one is verified.
     many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select(F.col("key").alias("__many"))
     keys = written(keys.join(many, F.col("key") == F.col("__many")).select("line", "key"), "met")
     sizes = keys.groupBy("key").agg(
         F.count("*").alias("held"),
+        F.min("line").alias("least"),
         F.bit_xor(F.xxhash64("line")).alias("one"),
         F.bit_xor(F.xxhash64(F.lit("two"), F.col("line"))).alias("two"),
     )
-    sizes = sizes.groupBy("held", "one", "two").agg(F.min("key").alias("key"))
-    sizes = sizes.select(F.col("key").alias("__key"), F.ceil(F.col("held") / BLOCK).cast("int").alias("parts"))
+    sizes = sizes.groupBy("held", "one", "two").agg(F.min("key").alias("key"), F.min("least").alias("least"))
+    # A paragraph is the smallest of at most one bucket per band, so no more than that many small ones meet.
+    near = F.when(F.col("held") <= SMALL, F.col("least")).otherwise(F.col("key")).alias("near")
+    sizes = sizes.select(F.col("key").alias("__key"), near, F.ceil(F.col("held") / BLOCK).cast("int").alias("parts"))
     placed = keys.join(sizes, F.col("key") == F.col("__key")).withColumn(
         "block", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int")
     )
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "line", "key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+        "line", "near", "key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
     full = met.join(distinct.select("line", "text"), "line")
-    dealt = full.withColumn("group", F.concat_ws(":", "key", "low", "high"))
-    dealt = dealt.repartition(F.col("group")).sortWithinPartitions("group", "line")
-    return dealt.select("group", "line", "block", "low", "high", "text").mapInArrow(frugal(_verify(similarity)), "a long, b long")
+    dealt = full.repartition("near", "low", "high").sortWithinPartitions("near", "low", "high", "key", "line")
+    return dealt.select("key", "line", "block", "low", "high", "text").mapInArrow(frugal(_verify(similarity)), "a long, b long")
 
 
 def paragraph_repeats(docs: DataFrame) -> DataFrame:
     """Places of paragraphs whose component stands in more than one document, with who keeps them."""
-    lines = paragraphs(docs)
+    lines = paragraphs(docs, placed=False)
     # Copies collapse before anything is compared; the smallest and largest holder tell whether they repeat.
     holders = lines.groupBy("digest").agg(
         F.min("doc_id").alias("first"),
@@ -428,7 +505,7 @@ def paragraph_repeats(docs: DataFrame) -> DataFrame:
     kept = rooted.groupBy("root").agg(F.min("first").alias("keeper"), F.max("last").alias("until"))
     kept = kept.where("keeper <> until").select(F.col("root").alias("__root"), "keeper")
     shared = rooted.join(kept, F.col("root") == F.col("__root")).select("digest", "keeper", "held")
-    return _places_of(lines.drop("text"), written(shared, "repeated")).withColumn("exact", F.lit(False))
+    return _places_of(paragraphs(docs, texts=False), written(shared, "repeated")).withColumn("exact", F.lit(False))
 
 
 def _long_enough(spans: list[dict], least: int) -> list[dict]:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -270,6 +271,55 @@ def test_shingle_sets_of_many_texts_equal_those_of_each():
         assert values[bounds[k] : bounds[k + 1]].tolist() == passages.shingle_set(text).tolist()
 
 
+def test_windows_of_many_texts_begin_where_those_of_each_do():
+    texts = ["", prose(1, 300), "a b c", prose(2, 36), "x " * 90, " ", prose(3, 35), "😀 " + prose(4, 70), prose(1, 300)]
+    hashes, starts, stops, bounds, owner = passages.words_of(texts)
+    for window, spread in ((36, 16), (10, 16), (5, 3)):
+        want = []
+        for k, text in enumerate(texts):
+            alone, first, last = passages.word_hashes(text)
+            mine = slice(bounds[k], bounds[k + 1])
+            assert hashes[mine].tolist() == alone.tolist() and set(owner[mine].tolist()) <= {k}
+            assert starts[mine].tolist() == first.tolist() and stops[mine].tolist() == last.tolist()
+            want += (bounds[k] + passages.window_starts(alone, window, spread)).tolist()
+        assert passages.window_starts(hashes, window, spread, bounds=bounds).tolist() == want
+
+
+def test_verified_groups_hash_a_shared_text_once_and_link_as_brute_force(monkeypatch):
+    draw = random.Random(4)
+    texts = [edited(prose(k // 6, 60), k, k % 4) for k in range(48)]
+    sets = [set(passages.shingle_set(t).tolist()) for t in texts]
+    rows, links = [], []
+    for key in range(40):
+        of = sorted(draw.sample(range(6 * (key % 8), 6 * (key % 8) + 6), 1 + key % 5))
+        high = key % 3 and 1
+        held = [(line, key, 0, high, line % 2 if high else 0, texts[line]) for line in of]
+        rows += held
+        links += [
+            (x[0], y[0]) for x in held for y in held
+            if x[0] < y[0] and (not high or x[4] != y[4])
+            and len(sets[x[0]] & sets[y[0]]) >= 0.8 * len(sets[x[0]] | sets[y[0]])
+        ]
+    columns = list(map(list, zip(*rows)))
+    held = pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["line", "key", "low", "high", "block", "text"])
+    hashed = []
+    whole = passages.shingle_sets
+    monkeypatch.setattr(passages, "shingle_sets", lambda t: hashed.extend(t) or whole(t))
+
+    def roots(found):
+        got = components_of(range(48), lambda x, y: (x, y) in found or (y, x) in found)
+        return [got[k] for k in range(48)]
+
+    for together, size in ((10**9, 1_000), (1, 7), (3_000, 3)):
+        hashed.clear()
+        parts = [held.slice(k, size) for k in range(0, held.num_rows, size)]
+        out = [r for batch in passages._verify(0.8, together)(iter(parts)) for r in batch.to_pylist()]
+        assert roots({(r["a"], r["b"]) for r in out}) == roots(set(links))
+        if together == 10**9:
+            met = {r[0] for r in rows if sum(r[1] == q[1] for q in rows) > 1}
+            assert sorted(hashed) == sorted(texts[k] for k in met)
+
+
 def test_similar_paragraphs_reach_high_recall(spark):
     rows, pairs = [], []
     for k in range(150):
