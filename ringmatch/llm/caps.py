@@ -2,9 +2,10 @@
 
 Filter directions form a random product code: a direction is one codeword per block of coordinates,
 so a few hundred codewords span many thousand directions, and a vector finds all directions within
-its cap by list-decoding block by block. Vectors that share a filter are compared exactly. A pair is
-counted in the first filter that both share, so nothing has to be made distinct afterwards. Copies
-of a vector are one row.
+its cap by list-decoding block by block. Vectors that share a filter are compared by sketches of a byte per
+coordinate, with a bound on what those leave out; the few that may have a partner there are then compared
+exactly. So only those bring vectors and lists of filters along. A pair is counted in the first filter that
+both share, so nothing has to be made distinct afterwards. Copies of a vector are one row.
 
 Vectors with directions in common would crowd into the same filters. Directions that a bounded sample shows to be
 common are left out of the coordinates that are filtered: what two near vectors differ by does not grow by that, so
@@ -48,6 +49,10 @@ MOST_CODES = 256
 CODEWORDS = 512
 #: A filter with more vectors is compared in pairs of blocks of about this size.
 BLOCK = 1_024
+#: Groups of up to so many vectors are compared many at a time, and so many values at once.
+SMALL_GROUP, VALUES = 256, 1 << 21
+#: More than single precision errs in the cosine of two sketches.
+SKETCH_SLACK = 1e-4
 
 
 @lru_cache(maxsize=32)
@@ -250,13 +255,114 @@ def _decode(plan: Plan, dimension: int):
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
-                offsets, numbers, short = plan.decode(matrix(part.column(1), dimension))
+                x = matrix(part.column(1), dimension)
+                offsets, numbers, short = plan.decode(x)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(numbers))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(short)], ["class_id", "filters", "short"])
+                columns = [part.column(0), lists, pa.array(short), pa.array(list(map(bytes, sketches(x))), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["class_id", "filters", "short", "sketch"])
 
     return run
 
 
+def sketches(x: np.ndarray) -> np.ndarray:
+    """Rows of bytes: two single-precision numbers, the step and the error, then a signed byte per coordinate.
+
+    Step times bytes is no farther from the unit vector than the error. The error's square is added to it, so that the
+    cosine of two vectors is at most that of their sketches plus both errors.
+    """
+    unit = _unit(x)
+    step = (np.abs(unit).max(axis=1) / 127).astype(np.float32)
+    small = np.rint(unit / step[:, None]).clip(-127, 127)
+    rest = unit - small * step[:, None].astype(np.float64)
+    error = np.sqrt((rest * rest).sum(axis=1))
+    head = np.stack([step, (error + error * error).astype(np.float32)], axis=1)
+    return np.concatenate([head.view(np.uint8), small.astype(np.int8).view(np.uint8)], axis=1)
+
+
+def may_link(sketch: np.ndarray, side: np.ndarray, starts: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows may reach ``similarity`` with another row of their group; groups begin at ``starts``.
+
+    ``side`` 0: with any row of the group; else only with rows of the other side.
+    """
+    sizes = np.diff(np.append(starts, len(sketch)))
+    head = np.ascontiguousarray(sketch[:, :8]).view(np.float32)
+    unit = sketch[:, 8:].view(np.int8) * head[:, :1]
+    error, found = head[:, 1], np.zeros(len(sketch), dtype=bool)
+    least = np.float32(similarity - SKETCH_SLACK)
+    # Groups of about one size, filled up to the largest, are one array.
+    width = np.where(sizes > SMALL_GROUP, sizes, 1 << np.ceil(np.log2(np.maximum(sizes, 2))).astype(np.int64))
+    for wide in np.unique(width[sizes > 1]).tolist():
+        groups = np.flatnonzero((width == wide) & (sizes > 1))
+        step = max(1, VALUES // (wide * max(wide, unit.shape[1])))
+        for s in range(0, len(groups), step):
+            first, size = starts[groups[s : s + step]], sizes[groups[s : s + step]]
+            there = np.arange(wide) < size[:, None]
+            row = np.where(there, first[:, None] + np.arange(wide), first[:, None])
+            held = unit[row]
+            cosine = np.matmul(held, held.transpose(0, 2, 1))
+            near = cosine + error[row][:, :, None] >= least - error[row][:, None, :]
+            if side.any():
+                of = side[row]
+                near &= (of[:, :, None] != of[:, None, :]) | (of[:, :, None] == 0)
+            near &= there[:, None, :]
+            near[:, np.arange(wide), np.arange(wide)] = False
+            found[row[near.any(axis=2) & there]] = True
+    return found
+
+
+def _may_link(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+            data = rows.column("sketch").combine_chunks()
+            width = len(data[0].as_py())
+            sketch = np.frombuffer(data.buffers()[2], dtype=np.uint8)[data.offset * width :][: len(data) * width]
+            some = may_link(sketch.reshape(-1, width), rows.column("side").to_numpy(), starts, similarity)
+            kept = rows.select(["filter", "class_id"]).filter(pa.array(some)).combine_chunks()
+            return pa.RecordBatch.from_arrays([c.combine_chunks() for c in kept.columns], ["filter", "class_id"])
+
+        waiting = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if waiting is None else pa.concat_tables([waiting, rows]).combine_chunks()
+            keys = [rows.column(c).to_numpy() for c in ("filter", "pair")]
+            new = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))
+            starts = np.flatnonzero(new)
+            # The last group may go on in the next batch.
+            waiting = rows.slice(int(starts[-1]))
+            if len(starts) > 1:
+                yield found(rows.slice(0, int(starts[-1])).combine_chunks(), starts[:-1])
+        if waiting is not None:
+            yield found(waiting.combine_chunks(), np.zeros(1, dtype=np.int64))
+
+    return run
+
+
+def _open_members(lists: DataFrame, kind: str, similarity: float) -> DataFrame:
+    """``filter, class_id``: vectors that may have a partner in the filter, by their sketches."""
+    held = lists.select("class_id", "sketch", F.explode("filters").alias("filter"))
+    large = held.groupBy("filter").agg(F.count("*").alias("held")).where(F.col("held") > BLOCK)
+    large = durable(large.select(F.col("filter").alias("__filter"), F.ceil(F.col("held") / BLOCK).cast("int").alias("parts")))
+    zero = F.lit(0).cast("byte")
+    if large.isEmpty():
+        met = held.select("filter", F.lit(0).cast("long").alias("pair"), zero.alias("side"), "class_id", "sketch")
+    else:
+        # A block meets itself and every other block of its filter.
+        parts = F.coalesce("parts", F.lit(1))
+        block = F.pmod(F.xxhash64("class_id"), parts).cast("long")
+        placed = held.join(large, F.col("filter") == F.col("__filter"), "left").withColumn("block", block)
+        met = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).select(
+            "filter",
+            (F.least("block", "other") * parts + F.greatest("block", "other")).alias("pair"),
+            F.when(F.col("block") < F.col("other"), 1).when(F.col("block") > F.col("other"), 2).otherwise(0).cast("byte").alias("side"),
+            "class_id",
+            "sketch",
+        )
+    dealt = met.repartition("filter", "pair").sortWithinPartitions("filter", "pair")
+    return dealt.mapInArrow(_may_link(similarity), f"filter {kind}, class_id long").distinct()
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -411,9 +517,10 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.9) -> DataFrame:
         sample = [classes.first()["embedding"]]
     plan = Plan(np.array(sample, dtype=np.float64), total, similarity)
     kind = "int" if plan.filters.number is np.int32 else "long"
-    schema = f"class_id long, filters array<{kind}>, short boolean"
+    schema = f"class_id long, filters array<{kind}>, short boolean, sketch binary"
     lists = durable(classes.select("class_id", "embedding").mapInArrow(_decode(plan, dimension), schema))
-    members = lists.select("class_id", F.explode("filters").alias("filter"))
+    members = durable(_open_members(lists, kind, similarity))
+    lists = lists.drop("sketch")
     sizes = members.groupBy("filter").agg(F.count("*").alias("held")).where("held > 1")
     sizes = durable(sizes.select(F.col("filter").alias("__filter"), F.ceil(F.col("held") / BLOCK).cast("int").alias("parts")))
     # A block meets itself and every other block of its filter.

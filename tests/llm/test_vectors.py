@@ -1,5 +1,7 @@
 """Near-equal vectors and nearest neighbours against brute force."""
 
+import os
+
 import numpy as np
 import pytest
 
@@ -134,6 +136,53 @@ def test_filters_find_pairs_whatever_the_row_count(rows):
         assert np.diff(s).min() > 0
 
 
+def test_only_vectors_that_may_have_partners_bring_their_lists_along(spark, monkeypatch, tmp_path):
+    """Ten near pairs among unrelated vectors: the groups that are compared exactly hold few bytes of all memberships."""
+    draw = np.random.default_rng(12)
+    x = draw.standard_normal((1_500, 48))
+    x[10:20] = x[:10] + 0.2 * draw.standard_normal((10, 48))
+    rows = [(k, v.tolist()) for k, v in enumerate(x.astype(np.float32))]
+    plain, folder = caps._link, str(tmp_path)
+
+    def counting(dimension, similarity):
+        run = plain(dimension, similarity)
+
+        def counted(batches):
+            def each():
+                for batch in batches:
+                    with open(f"{folder}/{os.getpid()}", "a") as out:
+                        out.write(f"{batch.nbytes}\n")
+                    yield batch
+
+            yield from run(each())
+
+        return counted
+
+    monkeypatch.setattr(caps, "_link", counting)
+    got = {r.vec_id: r.n_links for r in caps.near_vectors(table(spark, rows)).collect()}
+    assert got == {k: int(k < 20) for k in range(1_500)}
+    compared = sum(int(n) for f in tmp_path.iterdir() for n in f.read_text().split())
+    assert 0 < compared < 0.1 * 1_500 * 48 * 4 * 20
+
+
+def test_sketches_bound_the_cosine_and_groups_may_have_any_size():
+    draw = np.random.default_rng(13)
+    x = draw.standard_normal((900, 24))
+    x[600:700] = x[599] + 0.3 * draw.standard_normal((100, 24))
+    unit, sketch = caps._unit(x), caps.sketches(x)
+    head = np.ascontiguousarray(sketch[:, :8]).view(np.float32).astype(np.float64)
+    held = sketch[:, 8:].view(np.int8) * head[:, :1]
+    assert (unit @ unit.T <= held @ held.T + head[:, 1:] + head[:, 1] + 1e-6).all()
+    starts = np.array([0, 1, 3, 8, 40, 300, 300 + caps.SMALL_GROUP + 2, 890])
+    side = np.zeros(900, dtype=np.int8)
+    side[300:890] = draw.integers(1, 3, 590)
+    group = np.searchsorted(starts, np.arange(900), side="right")
+    near = (unit @ unit.T >= 0.9) & (group[:, None] == group) & ((side[:, None] != side) | (side == 0))
+    np.fill_diagonal(near, False)
+    found = caps.may_link(sketch, side, starts, 0.9)
+    assert found[near.any(axis=1)].all() and near.any() and found.mean() < 0.2
+
+
 def test_no_vectors(spark):
     assert caps.near_vectors(table(spark, [])).count() == 0
     assert [tuple(r) for r in caps.near_vectors(table(spark, [(5, None)])).collect()] == [(5, 0, 5, True)]
